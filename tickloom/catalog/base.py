@@ -145,7 +145,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "fxlong": (["fx"], " UNION ALL ".join(f"SELECT date, '{c}' AS ccy, {c} AS rate FROM fx" for c in ("c1", "c2", "c3", "c4", "c5"))),
     "fxret": (
         ["fxlong"],
-        """SELECT date, CAST(avg(coalesce(ln(greatest(rate, 1e-6)) - ln(greatest(prev, 1e-6)), 0.0)) AS FLOAT) AS eur_fx_logret
+        """SELECT date, CAST(avg(CASE WHEN rate IS NOT NULL AND prev IS NOT NULL THEN ln(greatest(rate, 1e-6)) - ln(greatest(prev, 1e-6)) ELSE 0.0 END) AS FLOAT) AS eur_fx_logret
         FROM (SELECT *, last_value(rate IGNORE NULLS) OVER (PARTITION BY ccy ORDER BY date
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM fxlong) GROUP BY date""",
     ),

@@ -253,7 +253,7 @@ def d11(spark, sf):
     "d12_non_finite_report",
     """SELECT 'v' AS "column", count(*) FILTER (WHERE event_type IN ('error', 'click')) AS n_bad,
     min(event_id) FILTER (WHERE event_type IN ('error', 'click')) AS first_event_id FROM events
-    UNION ALL SELECT 'value', 0, NULL FROM events GROUP BY ALL""",
+    UNION ALL SELECT 'value', count(*) FILTER (WHERE value IS NULL), min(event_id) FILTER (WHERE value IS NULL) FROM events""",
 )
 def d12(spark, sf):
     t = F.col("event_type")

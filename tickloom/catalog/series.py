@@ -176,10 +176,12 @@ def e13b(spark, sf):
 
 def _sums(df, n_features: int, n_targets: int):
     """Comparable view of window arrays: sizes, per-feature sums and the last step."""
+    def added(i: int):
+        return lambda acc, v: acc + F.coalesce(F.element_at(v, i + 1).cast("double"), F.lit(0.0))
+
     cols = {"n_steps": F.size("x"), "n_ok": F.size(F.filter("m", lambda v: v))}
     for i in range(n_features):
-        part = lambda acc, v, i=i: acc + F.coalesce(F.element_at(v, i + 1).cast("double"), F.lit(0.0))
-        cols[f"sum_{i}"] = F.aggregate("x", F.lit(0.0), part)
+        cols[f"sum_{i}"] = F.aggregate("x", F.lit(0.0), added(i))
         cols[f"last_{i}"] = F.element_at(F.element_at("x", -1), i + 1).cast("double")
     for i in range(n_targets):
         cols[f"y_{i}"] = F.element_at("y", i + 1).cast("double")

@@ -28,7 +28,11 @@ _EVENT_SCHEMA = T.StructType(
     ]
 )
 _EVENTS_SQL = f"""SELECT event_id, CAST(ts AS DATE) AS ts, user_id, event_type, {rs('value::FLOAT', 'value')},
-    CAST(0 AS DOUBLE) AS rate, CAST(0 AS INTEGER) AS level, CAST(NULL AS BOOLEAN) AS flag FROM events"""
+    CAST(0 AS DOUBLE) AS rate, CAST(0 AS INTEGER) AS level, value > 50 AS flag FROM events"""
+
+
+def _flagged_events(spark, sf):
+    return views.table(spark, sf, "events").withColumn("flag", F.col("value") > 50)
 
 
 # --- A: sources and sinks ---------------------------------------------------------------
@@ -69,7 +73,7 @@ def a3(spark, sf):
 @query("a4_append_staged", _EVENTS_SQL)
 def a4(spark, sf):
     """Half of the table is appended first, then the rest by resuming from the stored mark."""
-    e = views.table(spark, sf, "events")
+    e = _flagged_events(spark, sf)
     half = e.agg(F.floor(F.max("event_id") / 2)).first()[0]
     path = scratch_path(spark, "events")
     ingest.append_staged(spark, lambda mark: e.where(F.col("event_id") <= half), "event_id", path, _EVENT_SCHEMA)
@@ -197,7 +201,7 @@ def b3(spark, sf):
 
 @query("b4_align_to_schema", _EVENTS_SQL)
 def b4(spark, sf):
-    return tidy(clean.align_to_schema(views.table(spark, sf, "events"), _EVENT_SCHEMA))
+    return tidy(clean.align_to_schema(_flagged_events(spark, sf), _EVENT_SCHEMA))
 
 
 @query("b5_floor_day", "SELECT event_id, CAST(ts AS DATE) AS day FROM events")

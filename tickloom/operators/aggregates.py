@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,6 +100,33 @@ def coverage_report(panel: DataFrame, lookback: int, hmax: int, start: str, end:
     return seen.withColumns({"label_start": lo, "label_end": hi})
 
 
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str], limit: int | None = None) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of equal keys from ordered batches, cut into pieces of ``limit`` rows."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        *closed, held = [g for _, g in held.groupby(keys, sort=False, dropna=False)] or [held]
+        yield from closed
+        while limit is not None and len(held) > limit:
+            yield held.iloc[:limit]
+            held = held.iloc[limit:]
+    if held is not None and len(held):
+        yield held
+
+
+def _packed(frames: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Small frames joined to larger ones, to pay the Arrow transfer once per many keys."""
+    buffer, n = [], 0
+    for frame in frames:
+        buffer.append(frame)
+        n += max(len(frame), 1)
+        if n >= rows:
+            yield pd.concat(buffer, ignore_index=True)
+            buffer, n = [], 0
+    if buffer:
+        yield pd.concat(buffer, ignore_index=True)
+
+
 def apply_by_key(
     df: DataFrame,
     keys: list[str],
@@ -114,40 +142,29 @@ def apply_by_key(
     Rows are range-partitioned on keys and order, so a key with very many rows is spread over
     several tasks. ``partial`` sees one ordered piece of at most ``chunk_rows`` rows of a key;
     ``merge`` sees all partial results of that key, in order, and returns the final rows.
-    Partial rows must hold the keys; a ``_piece`` order column is added to what they return.
+    Partial results must hold the keys.
     """
-    tool = df.sparkSession.createDataFrame([], partial_schema).schema
-    inner = T.StructType([*tool.fields, T.StructField("_part", T.IntegerType()), T.StructField("_piece", T.LongType())])
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, number, held = TaskContext.get().partitionId(), 0, None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            runs = held.groupby(keys, sort=False, dropna=False)
-            *closed, tail = [g for _, g in runs] or [held]
-            ready = list(closed)
-            if len(tail) >= chunk_rows:
-                ready, tail = [*ready, tail], None
-            held = tail
-            for piece in ready:
-                for at in range(0, len(piece), chunk_rows):
-                    yield emit(piece.iloc[at : at + chunk_rows], part, number)
-                    number += 1
-        if held is not None and len(held):
-            yield emit(held, part, number)
-
-    def emit(piece: pd.DataFrame, part: int, number: int) -> pd.DataFrame:
-        key = tuple(piece[k].iloc[0] for k in keys)
-        return partial(key, piece.reset_index(drop=True)).assign(_part=part, _piece=number)
-
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_part", "_piece"], kind="stable").drop(columns=["_part", "_piece"])
-        return merge(key, pdf.reset_index(drop=True))
-
-    sorted_df = df.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by)
-    return sorted_df.mapInPandas(pieces, inner).groupBy(*keys).applyInPandas(finish, schema)
+    fields = (T.StructType.fromDDL(partial_schema) if isinstance(partial_schema, str) else partial_schema).fields
+    inner = T.StructType([*fields, T.StructField("_part", T.IntegerType()), T.StructField("_piece", T.LongType())])
+
+    def key_of(pdf: pd.DataFrame) -> tuple:
+        return tuple(pdf[k].iloc[0] for k in keys)
+
+    def first_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        pieces = enumerate(_runs(batches, keys, chunk_rows))
+        yield from _packed(
+            partial(key_of(g), g.reset_index(drop=True)).assign(_part=part, _piece=number) for number, g in pieces
+        )
+
+    def second_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = _runs(batches, keys)
+        yield from _packed(merge(key_of(g), g.drop(columns=["_part", "_piece"]).reset_index(drop=True)) for g in groups)
+
+    ordered = df.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    partials = ordered.mapInPandas(first_step, inner)
+    together = partials.repartition(*keys).sortWithinPartitions(*keys, "_part", "_piece")
+    return together.mapInPandas(second_step, schema)
 
 
 def apply_by_symbol(

@@ -132,7 +132,7 @@ def label_rows(
         {
             "y": F.array(*changes),
             "_rn": F.row_number().over(by_symbol()),
-            "_n": F.count("*").over(EACH_SYMBOL),
+            "_n": F.count("*").over(each_symbol()),
         }
     )
     day = F.col(DATE)
@@ -176,7 +176,7 @@ def inference_window(
         {
             "_price": positive_or_null(F.col("close").cast("double")),
             "_rn": F.row_number().over(by_symbol()),
-            "_n": F.count("*").over(EACH_SYMBOL),
+            "_n": F.count("*").over(each_symbol()),
         }
     )
     # the label row itself and the lookback rows before it

@@ -66,11 +66,16 @@ def summarise_rows(rows: DataFrame, lookback: int, features: list[str], scaler:
 
 def summarise_windows(windows: DataFrame, features: list[str], scaler: dict) -> DataFrame:
     """The same summary from window arrays ``x``."""
+    def at(row, i: int):
+        return F.element_at(row, i + 1).cast("double")
+
+    def added(i: int):
+        return lambda acc, row: acc + at(row, i)
+
     cols = {}
     for i, c in enumerate(features):
-        step = lambda r, i=i: F.element_at(r, i + 1).cast("double")
-        total = F.aggregate("x", F.lit(0.0), lambda acc, r, step=step: acc + step(r))
-        cols[f"last_{c}"] = _scaled(step(F.element_at("x", -1)), scaler[c])
+        total = F.aggregate("x", F.lit(0.0), added(i))
+        cols[f"last_{c}"] = _scaled(at(F.element_at("x", -1), i), scaler[c])
         cols[f"mean_{c}"] = _scaled(total / F.size("x"), scaler[c])
     return windows.withColumns(cols)
 
