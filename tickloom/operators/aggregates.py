@@ -161,9 +161,11 @@ def apply_by_key(
         groups = _runs(batches, keys)
         yield from _packed(merge(key_of(g), g.drop(columns=["_part", "_piece"]).reset_index(drop=True)) for g in groups)
 
-    ordered = df.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    # an explicit number keeps AQE from folding small data into one Python task
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *keys, *order_by).sortWithinPartitions(*keys, *order_by)
     partials = ordered.mapInPandas(first_step, inner)
-    together = partials.repartition(*keys).sortWithinPartitions(*keys, "_part", "_piece")
+    together = partials.repartition(n, *keys).sortWithinPartitions(*keys, "_part", "_piece")
     return together.mapInPandas(second_step, schema)
 
 

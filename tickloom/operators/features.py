@@ -57,17 +57,21 @@ def add_calendar_fields(panel: DataFrame) -> DataFrame:
     return panel.withColumns({"dow": day_of_week(DATE), "dom": F.dayofmonth(DATE), "month": F.month(DATE)})
 
 
-def add_technicals(panel: DataFrame) -> DataFrame:
-    """Returns, volatilities, return changes, spread and calendar fields."""
-    with_returns = add_returns(panel)
+def add_technicals(panel: DataFrame, together: dict[str, Column] = {}) -> DataFrame:
+    """Returns, volatilities, return changes, spread and calendar fields.
+
+    ``together`` are further windows over the filled prices (the targets, say): given here
+    they are evaluated in the same window pass as the returns instead of one of their own.
+    """
+    returns = {f"logret_{name}": log_return(k) for name, k in RETURN_LAGS.items()}
     spans = {f"vol_{n}": rolling_std("logret_1d", k) for n, k in SPAN_ROWS.items()}
     spans.update({f"mom_{n}": return_change(k) for n, k in SPAN_ROWS.items()})
-    return add_calendar_fields(with_returns.withColumns({**spans, "hl_spread": hl_spread()}))
+    return add_calendar_fields(panel.withColumns({**returns, **together}).withColumns({**spans, "hl_spread": hl_spread()}))
 
 
-def add_technicals_long(panel: DataFrame) -> DataFrame:
+def add_technicals_long(panel: DataFrame, together: dict[str, Column] = {}) -> DataFrame:
     """The longer-memory set: first return 0, 20-row volatility, 63-row momentum."""
-    base = panel.withColumns({"logret_1d": log_return(1, first=0.0), "mom_63d": log_momentum(63)})
+    base = panel.withColumns({"logret_1d": log_return(1, first=0.0), "mom_63d": log_momentum(63), **together})
     more = base.withColumns({"vol_20d": rolling_std("logret_1d", 20), "hl_spread": hl_spread()})
     return add_calendar_fields(more)
 

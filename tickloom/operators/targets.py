@@ -14,16 +14,23 @@ def target_columns(horizons: list[int]) -> tuple[list[str], list[str]]:
     return [f"target_{h}d" for h in horizons], [f"mask_{h}d" for h in horizons]
 
 
+def add_masks(panel: DataFrame, targets: list[str]) -> DataFrame:
+    """``mask_*`` is 1 where the target of the same name is present."""
+    return panel.withColumns({t.replace("target_", "mask_", 1): F.col(t).isNotNull().cast("byte") for t in targets})
+
+
 def _with_masks(panel: DataFrame, targets: dict[str, Column]) -> DataFrame:
-    named = panel.withColumns(targets)
-    return named.withColumns({t.replace("target_", "mask_", 1): F.col(t).isNotNull().cast("byte") for t in targets})
+    return add_masks(panel.withColumns(targets), list(targets))
 
 
-def calendar_targets(panel: DataFrame, horizons: list[int]) -> DataFrame:
-    """Log return h rows ahead."""
+def calendar_target_columns(horizons: list[int]) -> dict[str, Column]:
+    """Log return h rows ahead, by column name."""
     now = safe_log("close")
-    ahead = {f"target_{h}d": F.lead(now, h).over(by_symbol()) - now for h in horizons}
-    return _with_masks(panel, ahead)
+    return {f"target_{h}d": F.lead(now, h).over(by_symbol()) - now for h in horizons}
+
+
+def calendar_targets(panel: DataFrame, horizons: list[int]) -> DataFrame:
+    return _with_masks(panel, calendar_target_columns(horizons))
 
 
 def price_change_targets(panel: DataFrame, horizons: list[int]) -> DataFrame:

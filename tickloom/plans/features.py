@@ -11,7 +11,7 @@ from tickloom.operators.clean import prep_crypto, prep_stock
 from tickloom.operators.dims import fx_log_return
 from tickloom.operators.features import add_technicals, add_technicals_long
 from tickloom.operators.joins import asset_dimension, assign_asset_id, join_fx, join_news, join_weather
-from tickloom.operators.targets import calendar_targets
+from tickloom.operators.targets import add_masks, calendar_target_columns
 from tickloom.operators.unions import union_prices
 from tickloom.schemas import DATE, SYMBOL
 from tickloom.sources.ingest import read_required
@@ -40,9 +40,10 @@ def build_features(
     """
     assets = asset_dimension(ticks)
     panel = daily_panel(ticks, order_cols)
-    featured = add_technicals_long(panel) if long_memory else add_technicals(panel)
-    targeted = calendar_targets(featured, horizons) if horizons else featured
-    return assign_asset_id(targeted, assets)
+    technicals = add_technicals_long if long_memory else add_technicals
+    targets = calendar_target_columns(horizons)
+    featured = add_masks(technicals(panel, targets), list(targets))
+    return assign_asset_id(featured, assets)
 
 
 def top_movers(ticks: DataFrame, order_cols: list[str], k: int = 25) -> DataFrame:

@@ -133,7 +133,9 @@ def residuals(fc: Forecaster, rows: DataFrame) -> DataFrame:
 
 def fit_quantile(fc: Forecaster, train: DataFrame, quantiles: list[float]) -> Forecaster:
     """Adds exact residual quantiles per horizon, found without gathering the residuals."""
-    table = exact_quantiles(residuals(fc, train), ["horizon"], ["residual"], quantiles)
+    # read several times: stored narrow rather than recomputed from the windows
+    stored = staged(residuals(fc, train).select("horizon", "residual"), "residuals")
+    table = exact_quantiles(stored, ["horizon"], ["residual"], quantiles)
     fc.residual_quantiles = {(r["horizon"], r["prob"]): r["value"] for r in table.collect()}
     return fc
 
