@@ -175,7 +175,7 @@ _FETCHED = (
 
 
 def _last(windows, i: int):
-    return F.element_at(F.element_at("x", -1), i + 1).cast("double")
+    return F.get(F.try_element_at("x", F.lit(-1)), i).cast("double")
 
 
 @query("k9_score_as_of", _FETCHED + _table_sql("SELECT * FROM scored", _AS_OF))

@@ -182,7 +182,7 @@ def _sums(df, n_features: int, n_targets: int):
     cols = {"n_steps": F.size("x"), "n_ok": F.size(F.filter("m", lambda v: v))}
     for i in range(n_features):
         cols[f"sum_{i}"] = F.aggregate("x", F.lit(0.0), added(i))
-        cols[f"last_{i}"] = F.element_at(F.element_at("x", -1), i + 1).cast("double")
+        cols[f"last_{i}"] = F.get(F.try_element_at("x", F.lit(-1)), i).cast("double")
     for i in range(n_targets):
         cols[f"y_{i}"] = F.element_at("y", i + 1).cast("double")
     return tidy(df.withColumns(cols).drop("x", "m", "y"))

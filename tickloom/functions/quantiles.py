@@ -1,9 +1,10 @@
-"""Exact group quantiles that never gather a group in one task.
+"""Exact group quantiles that never gather a large group in one task.
 
-``median`` and ``percentile`` keep every distinct value of a group in one aggregation
-buffer. Here a mergeable sketch first brackets the wanted rank, then only the values inside
-the bracket are ordered, after being reduced to ``(value, count)`` pairs. The bracket is
-verified with exact counts and widened until it holds the rank, so the result is exact.
+``median`` and ``percentile`` keep every distinct value of a group in one aggregation buffer.
+That is right for groups of known, moderate size and is used for these. For larger groups a
+mergeable sketch first brackets the wanted rank, then only the values inside the bracket are
+ordered, after being reduced to ``(value, count)`` pairs. The bracket is verified with exact
+counts and widened until it holds the rank, so both ways give the same exact result.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions.scalars import finite_or_null
+from tickloom.session import BROADCAST_MAX_ROWS
 
 _ACCURACY = 10_000
+#: Rows up to which a group may be held in one aggregation buffer.
+SMALL_GROUP_ROWS = 100_000
 
 
 def _long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -24,11 +28,39 @@ def _long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return long.where(F.col("_v").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: list[str], cols: list[str], probs: list[float], small_rows: int = SMALL_GROUP_ROWS
+) -> DataFrame:
     """Linear-interpolated quantiles: ``(*keys, measure, prob, value)``.
 
-    Groups are (keys, measure). Missing and non-finite values are left out.
+    Groups are (keys, measure). Missing and non-finite values and rows without key are left out.
     """
+    df = df.dropna(subset=keys)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    large = sizes.where(F.col("_rows") > small_rows).select(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    n_large = large.count()
+    if n_large == 0:
+        large.unpersist()
+        return _by_buffer(df, keys, cols, probs)
+    known = large if n_large > BROADCAST_MAX_ROWS else F.broadcast(large)
+    small = _by_buffer(df.join(known, keys, "left_anti"), keys, cols, probs)
+    return small.unionByName(_by_bracket(df.join(known, keys, "left_semi"), keys, cols, probs))
+
+
+def _by_buffer(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    finite = {c: finite_or_null(c).cast("double") for c in cols}
+    wide = df.groupBy(*keys).agg(*[F.percentile(v, wanted).alias(c) for c, v in finite.items()])
+    cells = [
+        F.struct(F.lit(c).alias("measure"), F.lit(p).alias("prob"), F.get(c, i).alias("value"))
+        for c in cols
+        for i, p in enumerate(probs)
+    ]
+    long = wide.select(*keys, F.explode(F.array(*cells)).alias("q")).select(*keys, "q.*")
+    return long.where(F.col("value").isNotNull())
+
+
+def _by_bracket(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
     long = _long(df, keys, cols)
     group = [*keys, "_measure"]
     slack = 2.0 / _ACCURACY

@@ -28,11 +28,11 @@ def daily_ohlcv(df: DataFrame, order_cols: list[str], keys: list[str] = [SYMBOL,
     """
     order = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
-    taken = set(keys) | set(order_cols)
     aggs = []
     for c in df.columns:
-        rule = _RULES.get(c) or ("last" if c in numeric else None)
-        if c in taken or rule is None:
+        # a pure order column has no rule of its own and is used up here
+        rule = _RULES.get(c) or ("last" if c in numeric and c not in order_cols else None)
+        if c in keys or rule is None:
             continue
         aggs.append(_reduce(rule, c, order).alias(c))
     return df.dropna(subset=[DATE]).groupBy(*keys).agg(*aggs)

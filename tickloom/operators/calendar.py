@@ -69,9 +69,13 @@ def ffill(panel: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def bfill(panel: DataFrame, cols: list[str]) -> DataFrame:
-    """Next present value. After ``ffill`` only the leading gap is left, see ``fill_prices``."""
-    ahead = by_symbol().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return panel.withColumns({c: F.first(c, ignorenulls=True).over(ahead) for c in cols})
+    """Next present value. After ``ffill`` only the leading gap is left, see ``fill_prices``.
+
+    Walks the days backwards: a frame that runs to the end would be re-read from every row.
+    """
+    back = Window.partitionBy(SYMBOL).orderBy(F.col(DATE).desc())
+    seen = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return panel.withColumns({c: F.last(c, ignorenulls=True).over(seen) for c in cols})
 
 
 def _filled(c: str):

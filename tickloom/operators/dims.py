@@ -25,7 +25,8 @@ def fx_log_return(fx: DataFrame, base: str = "base_currency") -> DataFrame:
 
     A missing rate repeats the last one, so its return is 0 but it still counts in the mean;
     leading gaps take the first rate. The table is turned long, so 170 currencies cost one
-    window instead of 170. A (base, currency) series is no longer than the calendar.
+    window instead of 170. Several quotes of a day are averaged beforehand (with partials), so
+    a (base, currency) series is never longer than the calendar.
     """
     days = fx.withColumn(DATE, floor_day(DATE)).dropna(subset=[DATE])
     has_base = base in fx.columns
@@ -33,7 +34,8 @@ def fx_log_return(fx: DataFrame, base: str = "base_currency") -> DataFrame:
     if not rates:
         return days.select(DATE).distinct().withColumn("eur_fx_logret", F.lit(0.0).cast("float"))
     keys = [DATE, base] if has_base else [DATE]
-    wide = days.select(*keys, *[finite_or_null(F.col(c).try_cast("double")).alias(c) for c in rates])
+    quotes = {c: F.avg(finite_or_null(F.col(c).try_cast("double"))).alias(c) for c in rates}
+    wide = days.groupBy(*keys).agg(*quotes.values())
     long = wide.unpivot(keys, rates, "ccy", "rate")
     series = [base, "ccy"] if has_base else ["ccy"]
     before = Window.partitionBy(*series).orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from tickloom.functions.scalars import finite_or_null, is_finite, positive_or_nu
 from tickloom.operators.calendar import by_symbol, fill_gaps
 from tickloom.operators.clean import ensure_columns
 from tickloom.schemas import DATE, SYMBOL
+from tickloom.session import size_checked
 
 def each_symbol() -> WindowSpec:
     return Window.partitionBy(SYMBOL)
@@ -109,7 +110,9 @@ def scan_panel(
     lo = F.date_sub(F.lit(start).cast("date"), lookback + 5)
     hi = F.date_add(F.lit(end).cast("date"), hmax)
     rows = panel.where(F.col(DATE).between(lo, hi))
-    return rows.join(symbols.select(SYMBOL).distinct(), SYMBOL, "left_semi") if symbols is not None else rows
+    if symbols is None:
+        return rows
+    return rows.join(size_checked(symbols.select(SYMBOL).distinct()), SYMBOL, "left_semi")
 
 
 def label_rows(
@@ -198,7 +201,7 @@ def inference_window(
     return kept.select(
         SYMBOL,
         "label_date",
-        F.concat(F.array_repeat(F.element_at(values, 1), pad), values).alias("x"),
+        F.concat(F.array_repeat(F.get(values, 0), pad), values).alias("x"),
         F.concat(F.array_repeat(F.lit(False), pad), F.transform("_steps", lambda s: F.lit(True))).alias("m"),
         "asset_id",
     )

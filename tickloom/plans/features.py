@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from tickloom.operators.aggregates import daily_ohlcv
 from tickloom.operators.calendar import whole, date_bounds, densify_calendar, fill_prices, mask_activity
 from tickloom.operators.clean import prep_crypto, prep_stock
 from tickloom.operators.dims import fx_log_return
-from tickloom.operators.features import add_technicals, add_technicals_long
+from tickloom.operators.features import RETURN_LAGS, SPAN_ROWS, add_technicals, add_technicals_long
 from tickloom.operators.joins import asset_dimension, assign_asset_id, join_fx, join_news, join_weather
+from tickloom.operators.rank import top_k
 from tickloom.operators.targets import add_masks, calendar_target_columns
 from tickloom.operators.unions import union_prices
 from tickloom.schemas import DATE, SYMBOL
+from tickloom.session import size_checked
 from tickloom.sources.ingest import read_required
 
 SORT_KEY = [DATE, "open", "high", "low", "close"]
@@ -46,13 +50,28 @@ def build_features(
     return assign_asset_id(featured, assets)
 
 
+def recent_ticks(ticks: DataFrame, last: dt.date, days: int) -> DataFrame:
+    """Ticks of the final ``days`` days plus each symbol's newest earlier day, moved to the day
+    before them. Enough to fill prices over the range without the rest of the history."""
+    start = F.date_sub(F.lit(last), days)
+    newest = ticks.where(F.col(DATE) <= start).groupBy(SYMBOL).agg(F.max(DATE).alias("_carried"))
+    known = ticks.join(size_checked(newest), SYMBOL, "left")
+    kept = known.where((F.col(DATE) > start) | (F.col(DATE) == F.col("_carried"))).drop("_carried")
+    return kept.withColumn(DATE, F.greatest(F.col(DATE), start))
+
+
 def top_movers(ticks: DataFrame, order_cols: list[str], k: int = 25) -> DataFrame:
-    """Symbols with the largest 30-day log return on the last day, with their 30-day volatility."""
-    bounds = date_bounds(ticks)
-    panel = add_technicals(daily_panel(ticks, order_cols, bounds))
-    latest = panel.where(F.col(DATE) == F.lit(bounds[1]))
-    ranked = latest.where(F.col("logret_30d").isNotNull()).orderBy(F.col("logret_30d").desc(), F.col(SYMBOL).desc())
-    return ranked.limit(k).select(SYMBOL, DATE, "close", "logret_30d", "vol_30d", "hl_spread")
+    """Symbols with the largest 30-day log return on the last day, with their 30-day volatility.
+
+    Only the last month is densified and windowed; of older ticks one day per symbol is read.
+    """
+    last = date_bounds(ticks)[1]
+    days = max(RETURN_LAGS["30d"], SPAN_ROWS["30d"]) + 1
+    recent = recent_ticks(ticks, last, days)
+    panel = daily_panel(recent, order_cols, (last - dt.timedelta(days=days), last))
+    latest = add_technicals(panel).where(F.col(DATE) == F.lit(last))
+    ranked = top_k(latest, "logret_30d", k)
+    return ranked.select(SYMBOL, DATE, "close", "logret_30d", "vol_30d", "hl_spread")
 
 
 def add_context(
@@ -77,4 +96,4 @@ def prep_data(spark: SparkSession, stock: str, crypto: str, fx: str, out: str, h
     return spark.read.schema(joined.schema).parquet(out)
 
 
-__all__ = ["add_context", "build_features", "daily_panel", "prep_data", "top_movers"]
+__all__ = ["add_context", "build_features", "daily_panel", "prep_data", "recent_ticks", "top_movers"]

@@ -67,7 +67,7 @@ def summarise_rows(rows: DataFrame, lookback: int, features: list[str], scaler:
 def summarise_windows(windows: DataFrame, features: list[str], scaler: dict) -> DataFrame:
     """The same summary from window arrays ``x``."""
     def at(row, i: int):
-        return F.element_at(row, i + 1).cast("double")
+        return F.get(row, i).cast("double")
 
     def added(i: int):
         return lambda acc, row: acc + at(row, i)
@@ -75,7 +75,7 @@ def summarise_windows(windows: DataFrame, features: list[str], scaler: dict) ->
     cols = {}
     for i, c in enumerate(features):
         total = F.aggregate("x", F.lit(0.0), added(i))
-        cols[f"last_{c}"] = _scaled(at(F.element_at("x", -1), i), scaler[c])
+        cols[f"last_{c}"] = _scaled(at(F.try_element_at("x", F.lit(-1)), i), scaler[c])
         cols[f"mean_{c}"] = _scaled(total / F.size("x"), scaler[c])
     return windows.withColumns(cols)
 

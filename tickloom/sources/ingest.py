@@ -51,17 +51,22 @@ def _marks_path(path: str) -> str:
     return os.path.join(path, "_marks")
 
 
-def read_mark(spark: SparkSession, path: str):
-    """Last committed key of a staged table, as text; None before the first append."""
+def read_mark(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """``(batch number, key as text)`` of the last committed append; None before the first."""
     marks = _marks_path(path)
     if not _exists(spark, marks):
         return None
-    return spark.read.schema("mark string, seq long").parquet(marks).agg(F.max_by("mark", "seq")).first()[0]
+    row = spark.read.schema("mark string, seq long").parquet(marks).agg(F.max(F.struct("seq", "mark"))).first()[0]
+    return (row["seq"], row["mark"]) if row else None
 
 
 def read_staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All batches appended so far."""
-    return spark.read.schema(schema).parquet(os.path.join(path, "batch=*"))
+    """All committed batches; the folder of an unfinished append is pruned away."""
+    committed = read_mark(spark, path)
+    if committed is None:
+        return spark.createDataFrame([], schema)
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(numbered).parquet(path).where(F.col("batch") <= committed[0]).drop("batch")
 
 
 def append_staged(
@@ -70,15 +75,11 @@ def append_staged(
     """Append what is newer than the stored mark; returns the number of rows written.
 
     ``source`` maps the mark to a DataFrame. The upper bound is fixed before writing and the
-    batch folder is named after the mark it starts from, so a run that dies between data and
-    mark is repeated into the same folder instead of duplicating rows.
+    batch folder is numbered after the last commit, so a run that dies between data and mark
+    is repeated into the same folder instead of duplicating rows.
     """
-    marks = _marks_path(path)
-    has_marks = _exists(spark, marks)
-    seq, after = 0, None
-    if has_marks:
-        last = spark.read.schema("mark string, seq long").parquet(marks).agg(F.max(F.struct("seq", "mark"))).first()[0]
-        seq, after = last["seq"] + 1, last["mark"]
+    committed = read_mark(spark, path)
+    seq, after = (committed[0] + 1, committed[1]) if committed else (0, None)
     fresh = source(after)
     if after is not None:
         after = spark.range(1).select(F.lit(after).cast(fresh.schema[key].dataType)).first()[0]
@@ -89,7 +90,7 @@ def append_staged(
     rows = align_to_schema(ingest_incremental(fresh, key, after, upto), schema)
     rows.write.mode("overwrite").option("compression", "zstd").parquet(target)
     mark = spark.range(1).select(F.lit(str(upto)).alias("mark"), F.lit(seq).cast("long").alias("seq"))
-    mark.write.mode("append").parquet(marks)
+    mark.write.mode("append").parquet(_marks_path(path))
     return spark.read.schema(schema).parquet(target).count()
 
 
