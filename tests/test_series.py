@@ -166,3 +166,21 @@ def test_hot_symbol_is_reduced_before_it_is_windowed(spark):
     plan = daily._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and plan.count("Exchange hashpartitioning") == 1
     assert build_features(t, ["seq"], [7]).count() == 90 * t.select("symbol").distinct().count()
+
+
+def test_lookback_windows_modes(spark):
+    nan = None
+    p = panel_of(spark, [1.0] * 8).withColumns(
+        {"f": F.when(F.dayofmonth("date") != 2, F.dayofmonth("date").cast("double")), "asset_id": F.dayofmonth("date")}
+    )
+    p = p.withColumn("is_trading_day", F.dayofmonth("date") >= 4)
+    p = targets.calendar_targets(p, [1, 3])
+    args = (p, 2, ["f"], ["target_1d", "target_3d"], ["mask_1d", "mask_3d"])
+    got = {r["label_date"].day: r for r in windows.lookback_windows(*args).collect()}
+    assert sorted(got) == [3, 4, 5]  # targets end at day 5
+    assert got[3]["x"] == [[1.0], [nan]] and got[3]["m"] == [True, False] and got[3]["asset_id"] == 2
+    loose = windows.lookback_windows(*args, require_all=False)
+    assert sorted(r["label_date"].day for r in loose.collect()) == [3, 4, 5, 6, 7]
+    trading = {r["label_date"].day: r["m"] for r in windows.lookback_windows(*args, mode="trading").collect()}
+    assert trading == {5: [False, True]}
+    assert windows.count_samples(*args, mode="trading").first()["n_samples"] == 1

@@ -10,11 +10,13 @@ from tickloom import views
 from tickloom.catalog.base import _W, HORIZONS, LOOKBACK, needs, query, rlist, rs, tidy
 from tickloom.catalog.context import _RANGES, _STEP, _TRAIN, _VAL
 from tickloom.catalog.series import _FEATS, _MC, _TC, _sums, _window_sql
+from tickloom.functions import arrays
 from tickloom.operators import aggregates, clean, rank, scaler, splits
 from tickloom.operators.calendar import date_bounds
 from tickloom.plans import scoring, training
 from tickloom.plans.features import build_features, daily_panel
 from tickloom.session import scratch_path, staged
+from tickloom.sources import ingest
 from tickloom.streaming import jobs
 from tickloom.streaming.windows import stateful_lookback_windows
 
@@ -318,3 +320,31 @@ def j4(spark, sf):
     return tidy(aggregates.apply_by_symbol(views.ticks(spark, sf), work, schema, views.TICK_ORDER))
 
 
+
+
+@query("j2_source_function", f"SELECT event_id, user_id, {rs('value::FLOAT', 'value')} FROM events")
+def j2(spark, sf):
+    """A source called with the stored mark, three times: all but the newest third, the rest, nothing."""
+    e = views.table(spark, sf, "events")
+    top = e.agg(F.max("event_id")).first()[0]
+    schema = T.StructType.fromDDL("event_id long, user_id long, value float")
+    path = scratch_path(spark, "source")
+
+    def source(mark):
+        fresh = ingest.ingest_incremental(e, "event_id", None if mark is None else int(mark))
+        return fresh.where(F.col("event_id") <= top - top // 3) if mark is None else fresh
+
+    for _ in range(3):
+        ingest.append_staged(spark, source, "event_id", path, schema)
+    return tidy(ingest.read_staged(spark, path, schema))
+
+
+@query(
+    "j3_list_functions",
+    f"SELECT vec_id, {rs('list_avg(embedding::DOUBLE[])', 'mean')}, {rs('list_sum(embedding[1:16]::DOUBLE[])', 'head')} FROM embeddings",
+)
+def j3(spark, sf):
+    """List columns handled element by element without any Python function."""
+    total = F.aggregate(arrays.clean_list("embedding", 16), F.lit(0.0), lambda a, v: a + v.cast("double"))
+    e = views.table(spark, sf, "embeddings")
+    return tidy(e.select("vec_id", arrays.finite_mean("embedding").alias("mean"), total.alias("head")))

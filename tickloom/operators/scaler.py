@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.calendar import by_symbol, whole
+from tickloom.operators.calendar import by_symbol, so_far, whole
 from tickloom.schemas import SYMBOL, scaler_schema
 
 
@@ -23,8 +23,11 @@ class NoTrainingRows(ValueError):
 
 def window_weights(marked: DataFrame, lookback: int) -> DataFrame:
     """``_w``: in how many accepted windows (label flag ``_valid``) each row takes part."""
-    ahead = by_symbol().rowsBetween(1, lookback)
-    return marked.withColumn("_w", F.coalesce(F.sum(F.col("_valid").cast("long")).over(ahead), F.lit(0)))
+    label = F.col("_valid").cast("long")
+    # labels among the next rows = difference of two running counts, whatever the lookback
+    counted = marked.withColumns({"_seen": F.sum(label).over(so_far()), "_all": F.sum(label).over(whole())})
+    until = F.coalesce(F.lead("_seen", lookback).over(by_symbol()), F.col("_all"))
+    return counted.withColumn("_w", until - F.col("_seen")).drop("_seen", "_all")
 
 
 def _symbol_moments(weighted: DataFrame, features: list[str]) -> DataFrame:

@@ -3,19 +3,15 @@ densification. All windows of one call share a single exchange and sort on (symb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import finite_or_null, is_finite, positive_or_null
-from tickloom.operators.calendar import by_symbol, fill_gaps
+from tickloom.operators.calendar import by_symbol, fill_gaps, so_far, whole
 from tickloom.operators.clean import ensure_columns
 from tickloom.schemas import DATE, SYMBOL
 from tickloom.session import size_checked
 
-def each_symbol() -> WindowSpec:
-    return Window.partitionBy(SYMBOL)
-
-
 def _row(features: list[str]) -> Column:
     """One time step as an array; a missing feature stays a null element."""
     return F.array(*[F.col(c).cast("float") for c in features])
@@ -48,9 +44,12 @@ def valid_labels(
     else:
         labelled = n_targets > 0
     flagged = panel.withColumn("_ok", step_ok)
-    some = F.coalesce(F.max("_ok").over(_before(lookback)), F.lit(False))
-    enough = F.row_number().over(by_symbol()) > lookback
-    return flagged.withColumn("_valid", enough & some & labelled)
+    # valid steps in the window = difference of two running counts, whatever its length
+    counted = flagged.withColumns(
+        {"_seen": F.sum(F.col("_ok").cast("long")).over(so_far()), "_rn": F.row_number().over(by_symbol())}
+    )
+    inside = F.lag("_seen", 1, 0).over(by_symbol()) - F.lag("_seen", lookback + 1, 0).over(by_symbol())
+    return counted.withColumn("_valid", (F.col("_rn") > lookback) & (inside > 0) & labelled).drop("_seen", "_rn")
 
 
 def _step_ok(features: list[str], mode: str) -> Column:
@@ -135,7 +134,7 @@ def label_rows(
         {
             "y": F.array(*changes),
             "_rn": F.row_number().over(by_symbol()),
-            "_n": F.count("*").over(each_symbol()),
+            "_n": F.count("*").over(whole()),
         }
     )
     day = F.col(DATE)
@@ -179,7 +178,7 @@ def inference_window(
         {
             "_price": positive_or_null(F.col("close").cast("double")),
             "_rn": F.row_number().over(by_symbol()),
-            "_n": F.count("*").over(each_symbol()),
+            "_n": F.count("*").over(whole()),
         }
     )
     # the label row itself and the lookback rows before it
