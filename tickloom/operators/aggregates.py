@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -114,17 +115,27 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str], limit: int | None =
         yield held
 
 
-def _packed(frames: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
-    """Small frames joined to larger ones, to pay the Arrow transfer once per many keys."""
-    buffer, n = [], 0
+def _packed(frames: Iterator[pd.DataFrame], numbered: bool = False, rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Small frames joined to larger ones, to pay the Arrow transfer once per many keys.
+
+    ``numbered`` adds ``_piece``, the running number of the frame a row came from.
+    """
+    buffer, n, first = [], 0, 0
+
+    def joined() -> pd.DataFrame:
+        out = pd.concat(buffer, ignore_index=True)
+        if numbered:
+            out["_piece"] = np.repeat(np.arange(first, first + len(buffer)), [len(f) for f in buffer])
+        return out
+
     for frame in frames:
         buffer.append(frame)
         n += max(len(frame), 1)
         if n >= rows:
-            yield pd.concat(buffer, ignore_index=True)
-            buffer, n = [], 0
+            yield joined()
+            buffer, n, first = [], 0, first + len(buffer)
     if buffer:
-        yield pd.concat(buffer, ignore_index=True)
+        yield joined()
 
 
 def apply_by_key(
@@ -152,14 +163,13 @@ def apply_by_key(
 
     def first_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        pieces = enumerate(_runs(batches, keys, chunk_rows))
-        yield from _packed(
-            partial(key_of(g), g.reset_index(drop=True)).assign(_part=part, _piece=number) for number, g in pieces
-        )
+        results = (partial(key_of(g), g.reset_index(drop=True)) for g in _runs(batches, keys, chunk_rows))
+        for out in _packed(results, numbered=True):
+            yield out.assign(_part=part)
 
     def second_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = _runs(batches, keys)
-        yield from _packed(merge(key_of(g), g.drop(columns=["_part", "_piece"]).reset_index(drop=True)) for g in groups)
+        ordered_parts = (b.drop(columns=["_part", "_piece"]) for b in batches)
+        yield from _packed(merge(key_of(g), g.reset_index(drop=True)) for g in _runs(ordered_parts, keys))
 
     # an explicit number keeps AQE from folding small data into one Python task
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
