@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import tokens
-from tickloom.llm.common import fields  # noqa: F401
+from tickloom.llm import licenses, mixing, pii, rules, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_pfair_mixing")
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op4_host_rules")
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
