@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import licenses, mixing, pii, rules, tokens
+from tickloom.llm import licenses, mixing, pii, repeats, rules, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -47,3 +47,8 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
+
+
+@query("op10_repeated_strings")
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(table(spark, sf_dir, "documents"))
