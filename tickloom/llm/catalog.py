@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import licenses, mixing, pii, repeats, rules, tokens
+from tickloom.llm import jaccard, licenses, mixing, pii, repeats, rules, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -39,6 +39,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op7_personal_data")
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
