@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import jaccard, licenses, mixing, pii, repeats, rules, tokens
+from tickloom.llm import decontam, jaccard, licenses, mixing, pii, repeats, rules, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_string_tiling")
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_pfair_mixing")
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
