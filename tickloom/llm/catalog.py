@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontam, jaccard, licenses, mixing, pii, repeats, rules, tokens
+from tickloom.llm import decontam, jaccard, licenses, mixing, pii, repeats, rules, tokens, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -59,6 +59,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
 
 
+@query(
+    "op9_warc_archive",
+    """SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html) THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to
+    FROM pages""",
+)
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 @query("op10_repeated_strings")
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digest(table(spark, sf_dir, "documents"))
