@@ -1,14 +1,62 @@
-"""The corpus pipeline: stages applied to documents one after the other."""
+"""The corpus pipeline: quality rules, near duplicates, benchmark leaks, personal data, mixing.
+
+Each stage works on all rows that its predecessor kept, is written as Parquet and read again by the
+next one, so a lost executor costs tasks and not stages. The first four return the columns of
+``documents``; the last one adds each row's place in the mixture.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontam, jaccard, mixing, pii, rules
+from tickloom.session import scratch_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the quality rules and whose source is not rejected as a whole."""
+    return rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group of texts with similar word n-grams."""
+    return jaccard.one_of_each(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that do not hold an item of the benchmark."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data in their texts replaced by its kind; ``n_chars`` follows the text."""
+    clean = pii.redact(docs, pii.train(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with their place in a mixture of the sources by target weight."""
+    return mixing.mix_by_size(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", leaks),
+    ("personal data", personal_data),
+    ("source mixture", mixture),
+]
 
+#: The tagger is a trained network, which SQL cannot express; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

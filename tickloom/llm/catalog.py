@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontam, jaccard, licenses, mixing, pii, repeats, rules, tokens, warc
+from tickloom.llm import decontam, jaccard, language, licenses, mixing, pii, repeats, rules, tokens, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -29,6 +29,11 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_language_evidence")
+def op2_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 @query("op3_pfair_mixing")
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
