@@ -26,7 +26,7 @@ MAX_FRAME = 4096
 #: Shares follow the square root of a source's rows, so large sources do not drown the small ones.
 SHARES_WANTED = 256
 #: Ids are counted in ranges of this length before any row is numbered.
-ID_RANGE = 4096
+ID_RANGE = 512
 
 
 def _ceil_div(a: Column, b: Column) -> Column:
