@@ -10,7 +10,7 @@ path per stretch reconciles them. Pattern matches always stay; tagged spans are
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import random
 import re
 
@@ -149,15 +149,13 @@ def training_windows(contexts: list[str], n: int = GENERATED, seed: int = 5) ->
     return np.stack(codes), np.stack(gold)
 
 
-def sample_contexts(docs: DataFrame, key: str, text: str) -> list[str]:
-    """Stretches around anchors, and one plain stretch, of ``TRAIN_DOCS`` documents in the order of a hash of the key.
+def sample_contexts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``c``: stretches around anchors, and one plain stretch, of ``TRAIN_DOCS`` documents in the order of a hash of the key.
 
-    The sample is bounded by ``TRAIN_DOCS`` and ``WINDOWS_PER_DOC``; only these stretches reach the driver.
+    The sample is bounded by ``TRAIN_DOCS`` and ``WINDOWS_PER_DOC``.
     """
     wanted = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]"))
     ids = [r[0] for r in wanted.select(key).orderBy(F.xxhash64(key), key).limit(TRAIN_DOCS).collect()]
-    if not ids:
-        return []
 
     def cut(batches):
         for batch in batches:
@@ -173,15 +171,25 @@ def sample_contexts(docs: DataFrame, key: str, text: str) -> list[str]:
                 rows += [(k, i, h) for i, h in enumerate([t[:WIDTH], *hits])]
             yield pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in rows], pa.int64()), "i": pa.array([r[1] for r in rows], pa.int64()), "c": pa.array([r[2] for r in rows], pa.string())})
 
-    rows = docs.where(F.col(key).isin(ids) & F.col(text).rlike("[0-9@]")).select(F.col(key).cast("long"), text).mapInArrow(cut, "k long, i long, c string").orderBy("k", "i", "c").limit(TRAIN_DOCS * (WINDOWS_PER_DOC + 1)).collect()
-    return [r["c"] for r in rows]
+    rows = docs.where(F.col(key).isin(ids) & F.col(text).rlike("[0-9@]")).select(F.col(key).cast("long"), text)
+    return rows.mapInArrow(cut, "k long, i long, c string").orderBy("k", "i", "c").limit(TRAIN_DOCS * (WINDOWS_PER_DOC + 1)).select("c")
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Tagger:
-    """A tagger fitted to the documents' sample; with no usable documents it learns from generated strings alone."""
-    tagger = Tagger()
-    tagger.fit(*training_windows(sample_contexts(docs, key, text)))
-    return tagger
+    """A tagger fitted to the documents' sample; with no usable documents it learns from generated strings alone.
+
+    The sample is bounded, so one task fits it; only the weights come to the driver.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def fit(batches):
+        contexts = sorted(c for batch in batches for c in batch.column(0).to_pylist() if c is not None)
+        tagger = Tagger()
+        tagger.fit(*training_windows(contexts))
+        yield pa.RecordBatch.from_pydict({"tagger": [pickle.dumps(tagger)]})
+
+    nothing = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("c"))
+    return pickle.loads(sample_contexts(docs, key, text).union(nothing).coalesce(1).mapInArrow(fit, "tagger binary").first()["tagger"])
 
 
 # --- reading texts -------------------------------------------------------------------------------
