@@ -181,7 +181,7 @@ def identify(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     codes = F.array(*[F.lit(x) for x in model.languages])
     out = out.select(*keep, "vote", total.alias("logs")).withColumn("top", F.array_max("logs"))
     mass = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    return out.select(*keep, F.element_at(codes, F.array_position("logs", F.col("top")).cast("int")).alias("lang"), (1 / mass).alias("probability"), F.element_at(codes, F.col("vote") + 1).alias("text_lang"))
+    return out.select(*keep, F.element_at(codes, F.array_position("logs", F.col("top")).cast("int")).alias("lang"), (1 / mass).alias("probability"), F.when(F.col("vote").isNotNull(), F.element_at(codes, F.col("vote") + 1)).alias("text_lang"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
