@@ -251,11 +251,17 @@ def _tag(tagger: Tagger, parts: list[str]) -> list[np.ndarray]:
     return labels
 
 
-def _plausible(kind: int, found: str) -> bool:
+_MASKED = re.compile(r"(?:@|[\[(] ?at ?[\])]).*(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z]{2}", re.DOTALL)
+
+
+def _plausible(kind: int, text: str, start: int, end: int) -> bool:
+    """Whether a tagged span can be what it is tagged as: it stands free, and has the parts or digits of its kind."""
+    found = text[start:end]
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return False
+    numbers = [int(x[-4:]) for x in _DIGITS.split(found) if x]
     digits = len(_DIGITS.sub("", found))
-    if kind == 0:
-        return bool(re.search(r"@|[\[(] ?at ?[\])]", found)) and len(found) >= 6
-    return {1: 4 <= digits <= 12, 2: 14 <= digits <= 19, 3: 7 <= digits <= 15}[kind]
+    return [bool(_MASKED.search(found)), len(numbers) == 4 and max(numbers) <= 255, 14 <= digits <= 19, 7 <= digits <= 15][kind]
 
 
 def _spans_of(labels: np.ndarray) -> list[Span]:
@@ -281,7 +287,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
             if labels.any():
                 for s, k, e in _spans_of(labels):
                     s, e = s + a, e + a
-                    if _plausible(k, texts[i][s:e]) and not any(x < e and s < y for x, _, y in base[i]):
+                    if _plausible(k, texts[i], s, e) and not any(x < e and s < y for x, _, y in base[i]):
                         added[i].append((s, k, e))
     return list(zip(base, added, strict=True))
 
