@@ -21,9 +21,12 @@ def test_dense_index_over_many_partitions(spark):
     ids, size = dense_index(df.unionByName(spark.createDataFrame([(None,)], "symbol string")), "symbol", "asset_id")
     expected = {s: i for i, s in enumerate(sorted({f"k{(i * 7919) % 311}" for i in range(1000)}))}
     assert size == 311 and {r["symbol"]: r["asset_id"] for r in ids.collect()} == expected
-    # beyond the broadcast bound the join shuffles, with the same ids
-    big = assign_asset_id(df, max_rows=10)
-    assert {r["symbol"]: r["asset_id"] for r in big.distinct().collect()} == expected
+    # a dimension beyond the broadcast threshold is joined by shuffle, with the same ids
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["symbol"]: r["asset_id"] for r in assign_asset_id(df).distinct().collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     unknown = assign_asset_id(spark.createDataFrame([("zzz",)], "symbol string"), (ids, size))
     assert unknown.first()["asset_id"] == 0
 
@@ -47,11 +50,14 @@ def test_quantiles_of_hot_group_equal_numpy(spark):
     hot, cold = rng.normal(size=5000).round(2), rng.normal(size=7)
     rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("cold", float("nan")), ("cold", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    for small_rows in (100, 100_000):  # 100 sends the hot group down the bracket path
-        got = {(r["k"], r["prob"]): r["value"] for r in exact_quantiles(df, ["k"], ["v"], [0.1, 0.5, 0.9], small_rows).collect()}
-        for k, data in (("hot", hot), ("cold", cold)):
-            for p in (0.1, 0.5, 0.9):
-                assert got[(k, p)] == pytest.approx(np.quantile(data, p))
+    out = exact_quantiles(df, ["k"], ["v"], [0.0, 0.1, 0.5, 0.9, 1.0])
+    got = {(r["k"], r["prob"]): r["value"] for r in out.collect()}
+    for k, data in (("hot", hot), ("cold", cold)):
+        for p in (0.0, 0.1, 0.5, 0.9, 1.0):
+            assert got[(k, p)] == pytest.approx(np.quantile(data, p))
+    # values are dealt out by group and partition, never by group alone
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_part" in plan and "BroadcastNestedLoop" not in plan
 
 
 def test_walk_forward_folds(spark):

@@ -6,7 +6,7 @@ import __spark_entry__ as entrypoint
 from tickloom import views
 from tickloom.operators import joins, rank
 from tickloom.operators.calendar import date_bounds
-from tickloom.plans.features import build_features, daily_panel, prep_data
+from tickloom.plans.features import build_features, daily_panel, prep_data, recent_days
 
 
 def plan(df) -> str:
@@ -28,7 +28,7 @@ def test_date_joins_broadcast_small_and_shuffle_large(spark, sf):
     assert "BroadcastHashJoin" in plan(joins.join_fx(p, dim))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        large = plan(p.join(size_checked(dim, max_rows=10), "date", "left"))
+        large = plan(p.join(size_checked(dim), "date", "left"))
         assert "SortMergeJoin" in large and "BroadcastHashJoin" not in large
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -46,12 +46,25 @@ def test_prep_data_end_to_end(spark, sf, tmp_path):
     t.where("source = 'stock'").write.parquet(paths["stock"])
     t.where("source = 'crypto'").write.parquet(paths["crypto"])
     views.fx_wide(spark, sf).write.parquet(paths["fx"])
-    out = prep_data(spark, paths["stock"], paths["crypto"], paths["fx"], paths["out"], [7])
+    out = prep_data(spark, paths["stock"], paths["crypto"], paths["fx"], paths["out"], views.TICK_ORDER, [7])
     lo, hi = date_bounds(t)
     assert out.count() == ((hi - lo).days + 1) * t.select("symbol").distinct().count()
     assert out.where("eur_fx_logret <> 0").count() > 0 and {"target_7d", "mask_7d", "asset_id"} <= set(out.columns)
 
 
+def test_movers_push_their_range_down(spark, sf, tmp_path):
+    views.ticks(spark, sf).write.parquet(str(tmp_path / "ticks"))
+    days = recent_days(spark.read.parquet(str(tmp_path / "ticks")), views.TICK_ORDER, dt.date(2001, 10, 1), 31)
+    scans = [x for x in plan(days).split("\n") if "FileScan" in x]
+    assert len(scans) == 2 and any("GreaterThan(date,2001-08-31)" in x for x in scans) and any("LessThanOrEqual(date,2001-08-31)" in x for x in scans)
+    assert all("volume" not in x for x in scans if "LessThanOrEqual" in x)
+
+
+def test_features_read_ticks_once(spark, sf):
+    before = plan(build_features(views.ticks(spark, sf), views.TICK_ORDER, [7]))
+    assert "lineitem" not in before and not spark._jsc.sc().getPersistentRDDs().size()
+
+
 def test_registry_is_consistent(spark):
     queries, oracles = entrypoint.queries(), entrypoint.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 100

@@ -141,6 +141,19 @@ def test_movers_equal_full_history(spark, sf):
     assert [v for f in fast for v in f[2:]] == pytest.approx([v for s in slow for v in s[2:]])
 
 
+def test_movers_carry_the_last_present_price(spark):
+    """Two symbols with the same prices, one with a missing or NaN price on its newest old day."""
+    days = [(s, D(2020, 1, 1) + dt.timedelta(days=i), 10.0 + i) for s in "AB" for i in range(60)]
+    for hole in (None, float("nan")):
+        rows = [(s, d, p, p, p, hole if (s, d) == ("B", D(2020, 1, 29)) else p) for s, d, p in days]
+        t = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double")
+        t = t.where("date <= '2020-01-29' or date >= '2020-02-20'")
+        full = features.add_technicals(daily_panel(t, ["date"])).where("date = '2020-02-29'")
+        want = {r["symbol"]: (r["close"], r["logret_30d"], r["vol_30d"]) for r in full.collect()}
+        got = {r["symbol"]: (r["close"], r["logret_30d"], r["vol_30d"]) for r in top_movers(t, ["date"]).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_features_do_not_depend_on_partitioning(spark, sf):
     def digest(n):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))

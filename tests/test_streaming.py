@@ -66,6 +66,6 @@ def test_stream_scaler_accumulates(spark, tmp_path):
     for part in (data.where("v < 5"), data.where("v >= 5")):
         part.write.mode("append").parquet(src)
         jobs.stream_scaler(jobs.read_files(spark, src, data.schema), ["v", "flat"], out, ck).awaitTermination()
-    got = {r["feature"]: r for r in spark.read.parquet(out).collect()}
+    got = {r["feature"]: r for r in jobs.latest_scaler(spark, out).collect()}
     assert (got["v"]["mean"], got["v"]["n"]) == (4.5, 10) and got["v"]["std"] == pytest.approx(3.0276503541)
     assert got["flat"]["std"] == pytest.approx(1e-4)

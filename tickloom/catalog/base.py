@@ -179,4 +179,4 @@ def needs(*roots: str) -> str:
 
     for root in roots:
         visit(root)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done) + "\n"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in done) + "\n"

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import views
-from tickloom.catalog.base import _W, HORIZONS, LOOKBACK, needs, query, rlist, rs, tidy
+from tickloom.catalog.base import _W, HORIZONS, LOOKBACK, needs, query, r, rlist, rs, tidy
 from tickloom.operators import aggregates, dims, joins, scaler, windows
 from tickloom.operators.calendar import date_bounds
 from tickloom.operators.splits import date_range, fold_roles, walk_forward_ranges
 from tickloom.plans.features import add_context, build_features
+from tickloom.session import staged
 
 _FEATS = ["logret_1d", "vol_30d", "hl_spread"]
 
@@ -215,16 +220,46 @@ def d8(spark, sf):
     return tidy(out.select("date", sq.alias("sq"), F.lit(len(fit.names)).alias("k")))
 
 
-_CENTRED = " + ".join(f"pow(embeddings[{i}]::DOUBLE - avg(embeddings[{i}]::DOUBLE) OVER (), 2)" for i in range(1, 33))
+_CENTRED = " + ".join(f"pow(embeddings[{i}]::DOUBLE - avg(embeddings[{i}]::DOUBLE) OVER (), 2)" for i in range(1, 65))
 
 
 @query("d9_news_embedding_pca", needs("news") + f"SELECT vec_id, {rs(_CENTRED, 'sq')} FROM news")
 def d9(spark, sf):
-    out = dims.news_embedding_pca(views.news(spark, sf), 32)
-    sq = sum((F.pow(f"news_pca_{i}", F.lit(2)) for i in range(32)), F.lit(0.0))
+    """All components keep every row's distance from the mean; ``d9_news_pca_spectrum`` checks the rotation."""
+    out = dims.news_embedding_pca(views.news(spark, sf))
+    sq = sum((F.pow(f"news_pca_{i}", F.lit(2)) for i in range(64)), F.lit(0.0))
     return tidy(out.select("vec_id", sq.alias("sq")))
 
 
+def _spectrum(components: DataFrame, names: list[str], one: DataFrame) -> DataFrame:
+    """What must hold of principal components: no covariance, falling variances that add up to the data's."""
+    variances = [float(v) for v in components.agg(*[F.var_pop(n) for n in names]).first()]
+    together = Correlation.corr(components.select(array_to_vector(F.array(*names)).alias("v")), "v").first()[0].toArray()
+    loose = float(abs(together - np.eye(len(names))).max())
+    falling = all(x >= y - 1e-9 for x, y in zip(variances[:-1], variances[1:]))
+    return one.select(
+        F.lit(len(names)).alias("k"), F.lit(falling).alias("falling"), F.lit(loose < 1e-6).alias("uncorrelated"), F.lit(float(sum(variances))).alias("total")
+    )
+
+
+@query("d8_weather_pca_spectrum", needs("wx") + f"SELECT CAST(4 AS INTEGER) AS k, true AS falling, true AS uncorrelated, {rs('4.0 * count(*) / count(wx_tavg)', 'total')} FROM wx")
+def d8_spectrum(spark, sf):
+    """Standardised measures have a total variance of their number."""
+    daily = dims.weather_daily(views.weather(spark, sf))
+    fit = dims.fit_pca(daily, 12)
+    return tidy(_spectrum(dims.transform_pca(daily, fit), fit.names, spark.range(1)))
+
+
+_TOTAL = " + ".join(f"var_pop(embeddings[{i}]::DOUBLE)" for i in range(1, 65))
+
+
+@query("d9_news_pca_spectrum", needs("news") + f"SELECT CAST(64 AS INTEGER) AS k, true AS falling, true AS uncorrelated, {rs(_TOTAL, 'total', 4)} FROM news")
+def d9_spectrum(spark, sf):
+    out = dims.news_embedding_pca(views.news(spark, sf))
+    names = [f"news_pca_{i}" for i in range(64)]
+    return _spectrum(staged(out.select(*names), "components"), names, spark.range(1)).withColumn("total", r(F.col("total"), 4))
+
+
 @query("d9_news_pca_daily", needs("newsday") + f"SELECT date, {rlist('news_sent_mean')}, news_count, CAST(32 AS INTEGER) AS k FROM newsday")
 def d9b(spark, sf):
     day = dims.news_daily(dims.news_embedding_pca(views.news(spark, sf), 32))

@@ -12,7 +12,7 @@ from tickloom.catalog.context import _RANGES, _STEP, _TRAIN, _VAL
 from tickloom.catalog.series import _FEATS, _MC, _TC, _sums, _window_sql
 from tickloom.functions import arrays
 from tickloom.operators import aggregates, clean, rank, scaler, splits
-from tickloom.operators.calendar import date_bounds
+from tickloom.operators.calendar import date_bounds, trading_day_flag
 from tickloom.plans import scoring, training
 from tickloom.plans.features import build_features, daily_panel
 from tickloom.session import scratch_path, staged
@@ -254,6 +254,21 @@ def i1(spark, sf):
     return tidy(spark.read.schema(schema).parquet(out))
 
 
+@query(
+    "i1_stream_ingest_gaps",
+    f"""SELECT event_id, CAST(ts AS DATE) AS date, {rs('CASE WHEN event_id % 5 > 1 THEN value END::FLOAT', 'close')}, event_id % 5 > 1 AS is_trading_day FROM events""",
+)
+def i1_gaps(spark, sf):
+    """Missing and NaN closes pass through the stream as missing, so their days are no trading days."""
+    src, out, ck = (scratch_path(spark, n) for n in ("gaps", "gaps-out", "gaps-ck"))
+    schema = T.StructType.fromDDL("event_id long, date date, close float")
+    close = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 > 1, F.col("value"))
+    views.table(spark, sf, "events").select("event_id", F.to_date("ts").alias("date"), close.alias("close")).write.parquet(src)
+    stream = jobs.read_files(spark, src, T.StructType.fromDDL("event_id long, date date, close double"))
+    _run(jobs.stream_ingest(stream, schema, out, ck))
+    return tidy(trading_day_flag(spark.read.schema(schema).parquet(out)))
+
+
 @query("i2_stateful_lookback_windows", _window_sql("is_trading_day"))
 def i2(spark, sf):
     """Batch windows again, from a stream that gets the panel in four date slices."""
@@ -292,7 +307,7 @@ def i3(spark, sf):
 def i4(spark, sf):
     out, ck = scratch_path(spark, "scaler"), scratch_path(spark, "scaler-ck")
     _run(jobs.stream_scaler(_event_stream(spark, sf), ["value", "user_id"], out, ck))
-    return tidy(spark.read.schema("feature string, mean double, std double, n long").parquet(out))
+    return tidy(jobs.latest_scaler(spark, out))
 
 
 # --- J: user functions ------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import views
-from tickloom.catalog.base import _W, HORIZONS, LOOKBACK, needs, query, r, rlist, rs, tidy
+from tickloom.catalog.base import _W, CTES, HORIZONS, LOOKBACK, needs, query, r, rlist, rs, tidy
 from tickloom.functions import arrays, scalars
 from tickloom.operators import calendar, clean, features, rank, targets, windows
 from tickloom.operators.aggregates import daily_ohlcv
@@ -288,6 +288,28 @@ def f2(spark, sf):
     return tidy(top_movers(views.ticks(spark, sf), views.TICK_ORDER, 25))
 
 
+_GONE = "(date < (SELECT max(date) FROM base) - 31 AND date > (SELECT max(date) FROM base) - 200 AND l_orderkey % 3 > 0)"
+_TICKS = CTES["ticks"][1]
+_GAPPY = f"""base AS MATERIALIZED ({_TICKS}), ticks AS MATERIALIZED (SELECT symbol, date, price, CASE WHEN NOT {_GONE} THEN open END AS open, high, low,
+    CASE WHEN NOT {_GONE} THEN close END AS close, volume, quote_asset_volume, num_trades, taker_buy_base_vol, taker_buy_quote_vol,
+    closePctChange, openPctChange, source, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM base)"""
+
+
+@query(
+    "f2_top_movers_gaps",
+    needs("feats").replace(f"ticks AS MATERIALIZED ({_TICKS})", _GAPPY, 1)
+    + f"""SELECT symbol, date, {rlist('close', 'logret_30d', 'vol_30d', 'hl_spread')} FROM feats
+    WHERE date = (SELECT max(date) FROM ticks) AND logret_30d IS NOT NULL ORDER BY logret_30d DESC, symbol DESC LIMIT 25""",
+)
+def f2_gaps(spark, sf):
+    """Missing opens and closes before the last month: the last present ones count."""
+    base = views.ticks(spark, sf)
+    last = F.lit(calendar.date_bounds(base)[1])
+    gone = (F.col("date") < F.date_sub(last, 31)) & (F.col("date") > F.date_sub(last, 200)) & (F.col("l_orderkey") % 3 > 0)
+    ticks = base.withColumns({"open": F.when(~gone, F.col("open")), "close": F.when(~gone, F.col("close"))})
+    return tidy(top_movers(ticks, views.TICK_ORDER, 25))
+
+
 @query(
     "f2_top_k",
     needs("prices") + f"SELECT symbol, date, {rs('close')} FROM prices ORDER BY close DESC, symbol DESC, date DESC LIMIT 25",

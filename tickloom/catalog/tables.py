@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from tickloom import views
 from tickloom.catalog.base import needs, query, rlist, rs, tidy
 from tickloom.operators import clean, unions
+from tickloom.operators.calendar import trading_day_flag
 from tickloom.operators.joins import as_of_row, asset_dimension
 from tickloom.plans.features import build_features
 from tickloom.schemas import EPS
@@ -28,7 +29,7 @@ _EVENT_SCHEMA = T.StructType(
     ]
 )
 _EVENTS_SQL = f"""SELECT event_id, CAST(ts AS DATE) AS ts, user_id, event_type, {rs('value::FLOAT', 'value')},
-    CAST(0 AS DOUBLE) AS rate, CAST(0 AS INTEGER) AS level, value > 50 AS flag FROM events"""
+    CAST(NULL AS DOUBLE) AS rate, CAST(NULL AS INTEGER) AS level, value > 50 AS flag FROM events"""
 
 
 def _flagged_events(spark, sf):
@@ -81,6 +82,20 @@ def a4(spark, sf):
     return tidy(ingest.read_staged(spark, path, _EVENT_SCHEMA))
 
 
+@query(
+    "a4_append_staged_gaps",
+    f"""SELECT event_id, CAST(ts AS DATE) AS date, {rs('CASE WHEN event_id % 5 > 1 THEN value END::FLOAT', 'close')}, event_id % 5 > 1 AS is_trading_day FROM events""",
+)
+def a4_gaps(spark, sf):
+    """Missing and NaN closes are staged as missing, so their days are no trading days."""
+    schema = T.StructType.fromDDL("event_id long, date date, close float")
+    close = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 > 1, F.col("value"))
+    rows = views.table(spark, sf, "events").select("event_id", F.to_date("ts").alias("date"), close.alias("close"))
+    path = scratch_path(spark, "gaps")
+    ingest.append_staged(spark, lambda mark: rows, "event_id", path, schema)
+    return tidy(trading_day_flag(ingest.read_staged(spark, path, schema)))
+
+
 @query("a5_read_required", f"SELECT o_orderkey, {rs('o_totalprice')}, o_orderpriority FROM orders")
 def a5(spark, sf):
     schema = T.StructType.fromDDL("o_orderkey long, o_totalprice double, o_orderpriority string")

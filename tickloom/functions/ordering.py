@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.session import staged
+
+
 def _pid() -> Column:
     return F.shiftright(F.col("_mid"), 33)
 
@@ -23,10 +25,8 @@ def _local() -> Column:
 
 
 def _range_sorted(df: DataFrame, cols: list[str]) -> DataFrame:
-    # kept, so that the two uses see one and the same partitioning; a lost block is rebuilt
-    # from a shuffle whose range bounds are already fixed
-    ordered = df.orderBy(*cols).withColumn("_mid", F.monotonically_increasing_id())
-    return ordered.persist(StorageLevel.MEMORY_AND_DISK)
+    # written, so that all uses see one and the same partitioning
+    return staged(df.orderBy(*cols).withColumn("_mid", F.monotonically_increasing_id()), "ordered")
 
 
 def _starts(sizes: dict[int, int]) -> tuple[list[int], int]:
@@ -68,7 +68,6 @@ def _locate(counts: DataFrame, key: str, position_of) -> tuple[object, int, int]
     starts, total = _starts(sizes)
     position = position_of(total)
     if not 0 <= position < total:
-        ordered.unpersist()
         return None, 0, total
     pid = max(p for p, start in enumerate(starts) if start <= position and sizes.get(p, 0))
     # only the keys of that one range partition are walked
@@ -82,7 +81,6 @@ def _locate(counts: DataFrame, key: str, position_of) -> tuple[object, int, int]
         .limit(1)
         .collect()[0]
     )
-    ordered.unpersist()
     return row[key], starts[pid] + row["_run"] - row["_n"], total
 
 

@@ -1,25 +1,19 @@
-"""Exact group quantiles that never gather a large group in one task.
+"""Exact group quantiles in which no group is ever one task's alone.
 
-``median`` and ``percentile`` keep every distinct value of a group in one aggregation buffer.
-That is right for groups of known, moderate size and is used for these. For larger groups a
-mergeable sketch first brackets the wanted rank, then only the values inside the bracket are
-ordered, after being reduced to ``(value, count)`` pairs. The bracket is verified with exact
-counts and widened until it holds the rank, so both ways give the same exact result.
+Values are reduced to ``(group, value, count)`` with map-side partials, laid out in (group, value)
+order by range, and numbered: rows before a range partition come from one count per group and
+partition, rows inside it from a running sum. The wanted ranks are then single rows. A group may
+span any number of partitions; groups of all sizes take the same way.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions.scalars import finite_or_null
-from tickloom.session import BROADCAST_MAX_ROWS
-
-_ACCURACY = 10_000
-#: Rows up to which a group may be held in one aggregation buffer.
-SMALL_GROUP_ROWS = 100_000
+from tickloom.session import staged
 
 
 def _long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -28,109 +22,28 @@ def _long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return long.where(F.col("_v").isNotNull())
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], cols: list[str], probs: list[float], small_rows: int = SMALL_GROUP_ROWS
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles: ``(*keys, measure, prob, value)``.
 
     Groups are (keys, measure). Missing and non-finite values and rows without key are left out.
     """
-    df = df.dropna(subset=keys)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    large = sizes.where(F.col("_rows") > small_rows).select(*keys).persist(StorageLevel.MEMORY_AND_DISK)
-    n_large = large.count()
-    if n_large == 0:
-        large.unpersist()
-        return _by_buffer(df, keys, cols, probs)
-    known = large if n_large > BROADCAST_MAX_ROWS else F.broadcast(large)
-    small = _by_buffer(df.join(known, keys, "left_anti"), keys, cols, probs)
-    return small.unionByName(_by_bracket(df.join(known, keys, "left_semi"), keys, cols, probs))
-
-
-def _by_buffer(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    finite = {c: finite_or_null(c).cast("double") for c in cols}
-    wide = df.groupBy(*keys).agg(*[F.percentile(v, wanted).alias(c) for c, v in finite.items()])
-    cells = [
-        F.struct(F.lit(c).alias("measure"), F.lit(p).alias("prob"), F.get(c, i).alias("value"))
-        for c in cols
-        for i, p in enumerate(probs)
-    ]
-    long = wide.select(*keys, F.explode(F.array(*cells)).alias("q")).select(*keys, "q.*")
-    return long.where(F.col("value").isNotNull())
-
-
-def _by_bracket(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
-    long = _long(df, keys, cols)
     group = [*keys, "_measure"]
-    slack = 2.0 / _ACCURACY
-    sketch = F.percentile_approx(
-        "_v", F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-slack, slack)]), _ACCURACY
-    )
-    ends = long.groupBy(*group).agg(
-        sketch.alias("_q"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("_v").alias("_n")
-    )
-    brackets = ends.select(
-        *group,
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("prob"),
-                        F.element_at("_q", 2 * i + 1).alias("_lo"),
-                        F.element_at("_q", 2 * i + 2).alias("_hi"),
-                        "_min",
-                        "_max",
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("_b"),
-    ).select(*group, "_n", "_b.*")
-    # ranks (0-based) between which the quantile interpolates
-    at = (F.col("_n") - 1) * F.col("prob")
-    brackets = brackets.withColumn("_k0", F.floor(at)).withColumn("_k1", F.ceil(at)).withColumn("_frac", at - F.floor(at))
-    brackets = brackets.persist(StorageLevel.MEMORY_AND_DISK)
-
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    while True:
-        held = (
-            long.join(brackets, group)
-            .groupBy(*group, "prob")
-            .agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_in"))
-        )
-        checked = brackets.join(held, [*group, "prob"]).persist(StorageLevel.MEMORY_AND_DISK)
-        missed = (F.col("_below") > F.col("_k0")) | (F.col("_below") + F.col("_in") <= F.col("_k1"))
-        if checked.where(missed).limit(1).count() == 0:
-            break
-        # a bracket that lost its rank is opened to the whole group
-        brackets = checked.select(
-            *[c for c in brackets.columns if c not in ("_lo", "_hi")],
-            F.when(missed, F.col("_min")).otherwise(F.col("_lo")).alias("_lo"),
-            F.when(missed, F.col("_max")).otherwise(F.col("_hi")).alias("_hi"),
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-
-    counted = (
-        long.join(checked, group)
-        .where(inside)
-        .groupBy(*group, "prob", "_v")
-        .agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in ("_below", "_k0", "_k1", "_frac")])
-    )
-    w = Window.partitionBy(*group, "prob").orderBy("_v")
-    last = F.col("_below") + F.sum("_c").over(w) - 1
-    placed = counted.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c") + 1)
-
-    def value_at(k: str):
-        return F.max(F.when((F.col("_first") <= F.col(k)) & (F.col(k) <= F.col("_last")), F.col("_v")))
-
-    return (
-        placed.groupBy(*group, "prob")
-        .agg(value_at("_k0").alias("_a"), value_at("_k1").alias("_b"), F.first("_frac").alias("_f"))
-        .select(
-            *keys,
-            F.col("_measure").alias("measure"),
-            "prob",
-            (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"),
-        )
-    )
+    counted = staged(_long(df.dropna(subset=keys), keys, cols).groupBy(*group, "_v").agg(F.count("*").alias("_c")), "counted")
+    # written with its partition number, which both counts below have to agree on
+    ranged = staged(counted.repartitionByRange(*group, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(*group, "_part").agg(F.sum("_c").alias("_rows"))
+    # one row per group and partition that it reaches into
+    of_group = Window.partitionBy(*group)
+    before = F.sum("_rows").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = staged(sizes.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(of_group).alias("_n")), "starts")
+
+    ranks = [F.struct(F.lit(float(p)).alias("prob"), ((F.col("_n") - 1) * float(p)).alias("at")) for p in probs]
+    running = F.sum("_c").over(Window.partitionBy("_part", *group).orderBy("_v"))
+    placed = ranged.join(starts, [*group, "_part"]).withColumn("_last", F.col("_before") + running - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    # a value is kept for each rank it covers: the one below and the one above a quantile's place
+    each = placed.withColumn("_q", F.explode(F.array(*ranks))).select(*group, "_v", "_first", "_last", "_q.prob", "_q.at")
+    covers = lambda rank: (F.col("_first") <= rank) & (rank <= F.col("_last"))
+    low, high = covers(F.floor("at")), covers(F.ceil("at"))
+    found = each.where(low | high).groupBy(*group, "prob").agg(F.max(F.when(low, F.col("_v"))).alias("_a"), F.max(F.when(high, F.col("_v"))).alias("_b"), F.first("at").alias("_at"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    return found.select(*keys, F.col("_measure").alias("measure"), "prob", value.alias("value"))

@@ -107,7 +107,9 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str], limit: int | None =
     for batch in batches:
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         *closed, held = [g for _, g in held.groupby(keys, sort=False, dropna=False)] or [held]
-        yield from closed
+        for group in closed:
+            for at in range(0, len(group), limit or len(group)):
+                yield group.iloc[at : at + (limit or len(group))]
         while limit is not None and len(held) > limit:
             yield held.iloc[:limit]
             held = held.iloc[limit:]
@@ -115,6 +117,20 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str], limit: int | None =
         yield held
 
 
+def _folded(pieces: Iterator[pd.DataFrame], keys: list[str], combine: Callable[[tuple, pd.DataFrame], pd.DataFrame] | None) -> Iterator[pd.DataFrame]:
+    """One frame per key from its consecutive pieces; ``combine`` shrinks what is held after each of them."""
+    held = None
+    for piece in pieces:
+        key = tuple(piece[k].iloc[0] for k in keys)
+        if held is not None and key == held[0]:
+            piece = pd.concat([held[1], piece], ignore_index=True)
+        elif held is not None:
+            yield held[1]
+        held = key, combine(key, piece.reset_index(drop=True)) if combine else piece
+    if held is not None:
+        yield held[1]
+
+
 def _packed(frames: Iterator[pd.DataFrame], numbered: bool = False, rows: int = 10_000) -> Iterator[pd.DataFrame]:
     """Small frames joined to larger ones, to pay the Arrow transfer once per many keys.
 
@@ -147,13 +163,16 @@ def apply_by_key(
     merge: Callable[[tuple, pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
     chunk_rows: int = 100_000,
+    combine: Callable[[tuple, pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Hand every key's rows, in order, to a user function in two steps.
 
     Rows are range-partitioned on keys and order, so a key with very many rows is spread over
     several tasks. ``partial`` sees one ordered piece of at most ``chunk_rows`` rows of a key;
     ``merge`` sees all partial results of that key, in order, and returns the final rows.
-    Partial results must hold the keys.
+    Partial results must hold the keys. Where they do not shrink by themselves, give ``combine``,
+    an associative function from consecutive partial results to fewer of them: it is applied to
+    pieces of ``chunk_rows`` rows as they arrive, so that no more than a piece and what it left is held.
     """
     fields = (T.StructType.fromDDL(partial_schema) if isinstance(partial_schema, str) else partial_schema).fields
     inner = T.StructType([*fields, T.StructField("_part", T.IntegerType()), T.StructField("_piece", T.LongType())])
@@ -169,7 +188,8 @@ def apply_by_key(
 
     def second_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ordered_parts = (b.drop(columns=["_part", "_piece"]) for b in batches)
-        yield from _packed(merge(key_of(g), g.reset_index(drop=True)) for g in _runs(ordered_parts, keys))
+        whole = _folded(_runs(ordered_parts, keys, chunk_rows if combine else None), keys, combine)
+        yield from _packed(merge(key_of(g), g.reset_index(drop=True)) for g in whole)
 
     # an explicit number keeps AQE from folding small data into one Python task
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -24,19 +24,25 @@ def lenient_cast(df: DataFrame, cols: list[str], dtype: str) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(dtype) for c in cols})
 
 
-def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+def align_to_schema(df: DataFrame, schema: T.StructType, fill: bool = True) -> DataFrame:
     """Select exactly ``schema``: floats and 32/64-bit ints are cast and filled with 0, days are
-    floored, strings cast. Narrow ints, booleans and lists pass through uncast and unfilled."""
+    floored, strings cast. Narrow ints, booleans and lists pass through uncast and unfilled.
+
+    Without ``fill``, missing numbers stay null and NaN and infinities become null, so a missing
+    close is not mistaken for a traded one."""
 
     def field(f: T.StructField) -> Column:
         kind = type(f.dataType)
         if f.name not in df.columns:
             col = F.lit(None).cast(f.dataType)
-            filled = kind in _FRACTIONS + _FILLED_INTS
+            filled = fill and kind in _FRACTIONS + _FILLED_INTS
             return (F.coalesce(col, F.lit(0).cast(f.dataType)) if filled else col).alias(f.name)
         col = F.col(f.name)
         if kind in (T.DateType, T.TimestampType, T.TimestampNTZType):
             return floor_day(col).cast(f.dataType).alias(f.name)
+        if kind in _FRACTIONS + _FILLED_INTS and not fill:
+            number = col.try_cast(f.dataType)
+            return (finite_or_null(number) if kind in _FRACTIONS else number).alias(f.name)
         if kind in _FRACTIONS + _FILLED_INTS:
             return F.coalesce(col.try_cast(f.dataType), F.lit(0).cast(f.dataType)).alias(f.name)
         if kind is T.StringType:
@@ -54,24 +60,27 @@ def tag_source(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("source", F.lit(name))
 
 
-def _prep(df: DataFrame, measures: list[str], source: str) -> DataFrame:
-    """One projection: add what is missing, floor the day, cast, drop rows without key."""
+def _prep(df: DataFrame, measures: list[str], source: str, order_cols: list[str]) -> DataFrame:
+    """One projection: add what is missing, floor the day, cast, drop rows without key.
+
+    ``order_cols`` are kept as they are: they tell first from last inside a day later on."""
     present = ensure_columns(df, [DATE, SYMBOL, *measures])
     cleaned = present.select(
         F.col(SYMBOL).cast("string").alias(SYMBOL),
         floor_day(DATE).alias(DATE),
         *[finite_or_null(F.col(c).try_cast("float")).alias(c) for c in measures],
         F.lit(source).alias("source"),
+        *order_cols,
     )
     return drop_null_keys(cleaned)
 
 
-def prep_stock(df: DataFrame) -> DataFrame:
-    return _prep(df, ["open", "close", "high", "low", "volume"], "stock")
+def prep_stock(df: DataFrame, order_cols: list[str] = []) -> DataFrame:
+    return _prep(df, ["open", "close", "high", "low", "volume"], "stock", order_cols)
 
 
-def prep_crypto(df: DataFrame) -> DataFrame:
-    return _prep(df, ["open", "close", "high", "low", *ACTIVITY_COLS, *CHANGE_COLS], "crypto")
+def prep_crypto(df: DataFrame, order_cols: list[str] = []) -> DataFrame:
+    return _prep(df, ["open", "close", "high", "low", *ACTIVITY_COLS, *CHANGE_COLS], "crypto", order_cols)
 
 
 def _numeric(df: DataFrame, kinds=T.NumericType) -> list[str]:

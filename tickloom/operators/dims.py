@@ -145,27 +145,27 @@ def transform_pca(daily: DataFrame, fit: PcaFit | None, names: list[str] = []) -
     return daily.select(DATE, *comps)
 
 
-def news_embedding_pca(news: DataFrame, cap: int = 32) -> DataFrame:
-    """Cut or zero-pad embeddings to min(longest, ``cap``), rotate them onto as many centred
-    principal components and add these as ``news_pca_*``."""
+def news_embedding_pca(news: DataFrame, components: int | None = None) -> DataFrame:
+    """Zero-pad embeddings to the longest, rotate them onto centred principal components and add
+    the first ``components`` (default: all) of these as ``news_pca_*``."""
     if "embeddings" not in news.columns:
         return news
     usable = F.exists("embeddings", lambda e: is_finite(e))
     vec = F.when(F.coalesce(usable, F.lit(False)), clean_list("embeddings")).otherwise(F.array().cast("array<float>"))
     listed = news.withColumn("_emb", vec)
-    longest = listed.agg(F.max(F.size("_emb"))).first()[0] or 0
-    dim = min(longest, cap)
+    dim = listed.agg(F.max(F.size("_emb"))).first()[0] or 0
     if dim == 0:
         return news
     padded = listed.withColumn("_emb", pad_list("_emb", dim))
     centre = padded.agg(*[F.avg(F.element_at("_emb", i + 1)).alias(str(i)) for i in range(dim)]).first()
     mean = F.array(*[F.lit(float(centre[i])) for i in range(dim)])
     centred = padded.withColumn("_z", array_to_vector(F.zip_with("_emb", mean, lambda x, m: x.cast("double") - m)))
-    model = PCA(k=dim, inputCol="_z", outputCol="_pc").fit(centred.select("_z"))
+    kept = min(components or dim, dim)
+    model = PCA(k=kept, inputCol="_z", outputCol="_pc").fit(centred.select("_z"))
     raw = model.pc.toArray()
     # the model's own projection, with the sign rule applied per component
     flips = [float(f) for f in np.where((_signed(raw) * raw).sum(axis=0) < 0, -1.0, 1.0)]
     arr = vector_to_array("_pc")
     out = model.transform(centred).withColumn("_arr", arr)
-    comps = {f"news_pca_{i}": F.element_at("_arr", i + 1) * F.lit(flips[i]) for i in range(dim)}
+    comps = {f"news_pca_{i}": F.element_at("_arr", i + 1) * F.lit(flips[i]) for i in range(kept)}
     return out.withColumns(comps).drop("_emb", "_z", "_pc", "_arr")

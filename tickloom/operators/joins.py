@@ -1,7 +1,7 @@
 """Joins of the panel with context tables, dense ids and as-of lookups.
 
-Context tables hold one row per date. ``size_checked`` broadcasts them only after counting
-them; a larger table is joined by shuffle, where AQE splits a date with very many panel rows.
+Context tables hold one row per date. ``size_checked`` writes them first, so the join is chosen on
+their bytes; a large table is joined by shuffle, where AQE splits a date with very many panel rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.ordering import dense_index
 from tickloom.operators.dims import fit_pca, transform_pca
 from tickloom.schemas import DATE, SYMBOL
-from tickloom.session import BROADCAST_MAX_ROWS, size_checked
+from tickloom.session import size_checked
 
 
 def _left_by_date(panel: DataFrame, dim: DataFrame | None, fills: dict[str, str]) -> DataFrame:
@@ -57,17 +57,13 @@ def asset_dimension(df: DataFrame) -> tuple[DataFrame, int]:
     return dense_index(df, SYMBOL, "asset_id")
 
 
-def assign_asset_id(
-    df: DataFrame, dimension: tuple[DataFrame, int] | None = None, max_rows: int = BROADCAST_MAX_ROWS
-) -> DataFrame:
+def assign_asset_id(df: DataFrame, dimension: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Dense id of each row's symbol; unknown symbols get 0.
 
-    A dimension above ``max_rows`` is joined by shuffle on symbol: a panel already
-    partitioned by symbol then stays where it is.
+    The dimension is a written table: a large one is joined by shuffle on symbol, and a panel
+    already partitioned by symbol then stays where it is.
     """
-    ids, size = dimension or asset_dimension(df)
-    if size <= max_rows:
-        ids = F.broadcast(ids)
+    ids, _ = dimension or asset_dimension(df)
     return df.join(ids, SYMBOL, "left").withColumn("asset_id", F.coalesce("asset_id", F.lit(0)))
 
 

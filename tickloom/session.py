@@ -6,13 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest dimension (rows) that is ever broadcast. One row per calendar day for five
-#: thousand years stays below it; anything larger is joined by shuffle instead.
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def build_session(app: str = "tickloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="tickloom-")
     if not sc.getCheckpointDir():
@@ -67,14 +61,10 @@ def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def size_checked(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast of ``dim`` only if its counted size is within ``max_rows``.
+def size_checked(dim: DataFrame) -> DataFrame:
+    """``dim`` as a written table, so that joins are planned on the bytes it really has.
 
-    The dimension is computed once and kept for the join that follows. A larger one
-    comes back without a hint, so Catalyst joins it by shuffle (with AQE skew splits).
+    Catalyst broadcasts it within ``spark.sql.autoBroadcastJoinThreshold`` and joins by shuffle
+    beyond that, where AQE splits skewed keys. Nothing is kept in executors' memory.
     """
-    kept = dim.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return dim
+    return staged(dim, "dimension")

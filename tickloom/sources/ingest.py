@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable
 
@@ -13,6 +14,8 @@ from pyspark.sql.utils import AnalysisException
 from tickloom.operators.clean import align_to_schema
 from tickloom.schemas import DATE
 
+log = logging.getLogger(__name__)
+
 
 def ingest_incremental(df: DataFrame, key: str, after=None, upto=None) -> DataFrame:
     """Rows with ``after < key <= upto``; both bounds reach the scan as filters."""
@@ -76,7 +79,8 @@ def append_staged(
 
     ``source`` maps the mark to a DataFrame. The upper bound is fixed before writing and the
     batch folder is numbered after the last commit, so a run that dies between data and mark
-    is repeated into the same folder instead of duplicating rows.
+    is repeated into the same folder instead of duplicating rows. Missing numbers stay missing.
+    Rows without a key can never be told from staged ones; they are left out, counted and logged.
     """
     committed = read_mark(spark, path)
     seq, after = (committed[0] + 1, committed[1]) if committed else (0, None)
@@ -87,7 +91,9 @@ def append_staged(
     if upto is None or upto == after:
         return 0
     target = os.path.join(path, f"batch={seq:08d}")
-    rows = align_to_schema(ingest_incremental(fresh, key, after, upto), schema)
+    rows = align_to_schema(ingest_incremental(fresh, key, after, upto), schema, fill=False)
+    if keyless := fresh.where(F.col(key).isNull()).count():
+        log.warning("%d rows without %s are not staged to %s", keyless, key, path)
     rows.write.mode("overwrite").option("compression", "zstd").parquet(target)
     mark = spark.range(1).select(F.lit(str(upto)).alias("mark"), F.lit(seq).cast("long").alias("seq"))
     mark.write.mode("append").parquet(_marks_path(path))
