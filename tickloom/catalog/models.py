@@ -13,6 +13,7 @@ from tickloom.catalog.series import _FEATS, _MC, _TC, _sums, _window_sql
 from tickloom.functions import arrays
 from tickloom.operators import aggregates, clean, rank, scaler, splits
 from tickloom.operators.calendar import date_bounds, trading_day_flag
+from tickloom.plans import jobs as pipeline_jobs
 from tickloom.plans import scoring, training
 from tickloom.plans.features import build_features, daily_panel
 from tickloom.session import scratch_path, staged
@@ -153,6 +154,15 @@ def k8(spark, sf):
     return tidy(scoring.score_quantile(panel, fc, [0.5, 0.9]))
 
 
+@query("a11_model_round_trip", _score_sql(_JOINED, [("1w", "f7.a + f7.b * x"), ("1m", "f30.a + f30.b * x")]))
+def a11_round_trip(spark, sf):
+    """Scores of a model that was saved and loaded again."""
+    panel, fc = _fit_closed_form(spark, sf, [0.5])
+    path = scratch_path(spark, "model")
+    fc.save(spark, path)
+    return tidy(scoring.score_point(panel, training.Forecaster.load(spark, path)))
+
+
 _H4 = [7, 30, 182, 365]
 _NAMES = ["1w", "1m", "6m", "1y"]
 
@@ -211,6 +221,17 @@ def k9b(spark, sf):
     return scoring.score_as_of(panel, scoring.forecaster_scorer(fc), ["open", "close"], _H4, str(hi), LOOKBACK, 25)
 
 
+@query("k9_predict_job")
+def k9_job(spark, sf):
+    """Train and predict as two jobs that share nothing but folders; the written table, read again."""
+    paths = {n: scratch_path(spark, n) for n in ("panel", "model", "csv", "table")}
+    daily_panel(views.ticks(spark, sf), views.TICK_ORDER).write.parquet(paths["panel"])
+    last = date_bounds(spark.read.parquet(paths["panel"]))[1]
+    pipeline_jobs.train(spark, paths["panel"], paths["model"], ["open", "close"], _H4, LOOKBACK, loss="squaredError")
+    pipeline_jobs.predict(spark, paths["model"], paths["panel"], str(last), csv=paths["csv"], table=paths["table"])
+    return tidy(spark.read.parquet(paths["table"]))
+
+
 @query(
     "k12_prediction_table",
     needs("prices")
@@ -231,6 +252,32 @@ def k13(spark, sf):
     return metrics
 
 
+_FOLD_SQL = needs("feats", "ids") + f""", rows_ AS (SELECT symbol, date, coalesce(logret_1d, lead(logret_1d, 1) OVER ({_W}))::FLOAT::DOUBLE AS r,
+    {', '.join(f'(lead(ln(close), {h}) OVER ({_W}) - ln(close))::FLOAT::DOUBLE AS y{h}' for h in HORIZONS)}, rn FROM feats),
+    samples AS (SELECT symbol, date, x, {', '.join(f'y{h}' for h in HORIZONS)} FROM (SELECT *, lag(r, 1) OVER ({_W}) AS x FROM rows_)
+    WHERE rn > {LOOKBACK} AND y{HORIZONS[0]} IS NOT NULL AND y{HORIZONS[1]} IS NOT NULL),
+    anchors AS (SELECT CAST(row_number() OVER (ORDER BY anchor) AS INTEGER) AS fold, CAST(anchor AS DATE) AS anchor FROM (SELECT unnest(generate_series(min(date) + 730, max(date) - {max(HORIZONS)} - 365, INTERVAL 365 DAY)) AS anchor FROM feats)),
+    fits AS ({' UNION ALL '.join(f'SELECT fold, CAST({h} AS INTEGER) AS horizon, regr_slope(y{h}, x) AS b, regr_intercept(y{h}, x) AS a FROM samples JOIN anchors ON date BETWEEN anchor - 730 AND anchor GROUP BY fold' for h in HORIZONS)}),
+    long AS ({' UNION ALL '.join(f'SELECT symbol, date, x, CAST({h} AS INTEGER) AS horizon, y{h} AS actual FROM samples' for h in HORIZONS)})
+    """
+
+
+@query(
+    "k13_walk_forward_predictions",
+    _FOLD_SQL
+    + f"""SELECT fold, symbol, date AS label_date, horizon, {rs('actual')}, {rs('a + b * x', 'predicted')} FROM long JOIN fits USING (horizon)
+    JOIN anchors USING (fold) WHERE date BETWEEN anchor AND anchor + 365""",
+)
+def k13_predictions(spark, sf):
+    """One input and squared errors: every fold has a closed form."""
+
+    def fit(tr, features, horizons, lookback, sc):
+        return training.fit_point(tr, features, horizons, lookback, sc, loss="squaredError", inputs=["last_logret_1d"])
+
+    out = training.walk_forward_predictions(_panel(spark, sf), ["logret_1d"], HORIZONS, LOOKBACK, 730, 365, 365, fit=fit)
+    return tidy(out.select("fold", "symbol", "label_date", "horizon", "actual", "predicted"))
+
+
 # --- I: streaming -----------------------------------------------------------------------
 
 

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.quantiles import exact_quantiles
 from tickloom.operators.aggregates import smooth_l1
 from tickloom.operators.calendar import by_symbol
+from tickloom.operators.clean import feature_roles
 from tickloom.operators.joins import join_weather
 from tickloom.operators.scaler import NoTrainingRows, fit_window_scaler, scaler_values
 from tickloom.operators.splits import date_range, walk_forward_ranges
+from tickloom.operators.unions import union_folds
 from tickloom.operators.windows import label_rows
 from tickloom.schemas import DATE, SYMBOL
 from tickloom.session import staged
@@ -44,6 +47,27 @@ class Forecaster:
             out = model.copy().setPredictionCol(f"pred_{i}").transform(out)
         return out.drop("_vec")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Models, scaler, roles and residual quantiles below ``path``; replaces what is there.
+
+        The description is written last, so a half-written folder cannot be loaded.
+        """
+        for h, model in zip(self.horizons, self.models):
+            model.write().overwrite().save(f"{path}/horizon={h}")
+        told = {
+            "features": self.features, "horizons": self.horizons, "lookback": self.lookback, "scaler": self.scaler, "chosen": self.chosen,
+            "roles": feature_roles(self.features), "residual_quantiles": [[h, q, v] for (h, q), v in self.residual_quantiles.items()],
+        }
+        spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode("overwrite").parquet(f"{path}/description")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Forecaster:
+        told = json.loads(spark.read.schema("told string").parquet(f"{path}/description").first()["told"])
+        models = [LinearRegressionModel.load(f"{path}/horizon={h}") for h in told["horizons"]]
+        scaler = {c: tuple(v) for c, v in told["scaler"].items()}
+        quantiles = {(h, q): v for h, q, v in told["residual_quantiles"]}
+        return cls(told["features"], told["horizons"], told["lookback"], scaler, models, quantiles, told["chosen"])
+
 
 def _scaled(col, values: tuple[float, float]):
     mean, std = values
@@ -86,6 +110,7 @@ def training_rows(
     """Accepted labels in [start, end] with their summaries and ``y``; fits the scaler if none is given."""
     marked = label_rows(panel, lookback, features, horizons, str(start), str(end))
     if scaler is None:
+        marked = staged(marked, "labels")  # read by the scaler and by the fit
         scaler = scaler_values(fit_window_scaler(marked, features, lookback))
     rows = summarise_rows(marked, lookback, features, scaler).where("_valid")
     keep = [c for f in features for c in (f"last_{f}", f"mean_{f}")]
@@ -146,6 +171,34 @@ def validation_loss(fc: Forecaster, rows: DataFrame) -> tuple[float | None, int]
     return r["loss"], r["n"] // len(fc.horizons)
 
 
+def _folds(
+    panel: DataFrame, features: list[str], horizons: list[int], lookback: int, train: int, val: int, step: int,
+    hmax: int | None, weather_daily: DataFrame | None, weather_components: int, fit: Callable[..., Forecaster],
+) -> Iterator[tuple[Row, Forecaster, DataFrame]]:
+    """``(ranges, fitted model, validation rows)`` of every fold with training labels.
+
+    The panel is stored once in the shared folder, laid out by date: files and row groups outside a
+    fold's dates are skipped by their statistics.
+    """
+    stored = staged(panel.repartitionByRange(DATE).sortWithinPartitions(DATE, SYMBOL), "panel")
+    ranges = walk_forward_ranges(date_range(stored), train, val, step, max(horizons) if hmax is None else hmax)
+    reach = max(horizons)
+    for f in ranges.orderBy("fold").collect():  # one row per fold
+        # windows look back, targets look ahead; rows further away cannot matter to this fold
+        near = F.col(DATE).between(F.date_sub(F.lit(f["tr_start"]), lookback + 1), F.date_add(F.lit(f["va_end"]), reach + 1))
+        rows, used = stored.where(near), list(features)
+        if weather_daily is not None:
+            dates = stored.where(F.col(DATE).between(f["tr_start"], f["tr_end"])).select(DATE).distinct()
+            rows = join_weather(rows, weather_daily, weather_components, dates)
+            used += [c for c in rows.columns if c.startswith("wx_pca_")]
+        try:
+            tr, scaler = training_rows(rows, lookback, used, horizons, f["tr_start"], f["tr_end"])
+        except NoTrainingRows:
+            continue
+        fc = fit(tr, used, horizons, lookback, scaler)
+        yield f, fc, training_rows(rows, lookback, used, horizons, f["va_start"], f["va_end"], scaler)[0]
+
+
 def walk_forward_evaluate(
     panel: DataFrame,
     features: list[str],
@@ -161,27 +214,43 @@ def walk_forward_evaluate(
 ) -> tuple[DataFrame, Forecaster | None]:
     """Per fold: scale on train, fit, measure on val. Returns the metrics and the last fitted model.
 
-    The panel is stored once in the shared folder; every fold then reads only its date range.
     With ``weather_daily`` the components are refitted on each fold's training dates. Folds
     without training labels are skipped.
     """
-    spark = panel.sparkSession
-    stored = staged(panel, "panel")
-    ranges = walk_forward_ranges(date_range(stored), train, val, step, max(horizons) if hmax is None else hmax)
     metrics, last = [], None
-    for f in ranges.orderBy("fold").collect():  # one row per fold
-        rows, used = stored, list(features)
-        if weather_daily is not None:
-            dates = stored.where(F.col(DATE).between(f["tr_start"], f["tr_end"])).select(DATE).distinct()
-            rows = join_weather(stored, weather_daily, weather_components, dates)
-            used += [c for c in rows.columns if c.startswith("wx_pca_")]
-        try:
-            tr, scaler = training_rows(rows, lookback, used, horizons, f["tr_start"], f["tr_end"])
-        except NoTrainingRows:
-            continue
-        last = fit(tr, used, horizons, lookback, scaler)
-        va, _ = training_rows(rows, lookback, used, horizons, f["va_start"], f["va_end"], scaler)
+    for f, last, va in _folds(panel, features, horizons, lookback, train, val, step, hmax, weather_daily, weather_components, fit):
         loss, n = validation_loss(last, va)
         metrics.append((f["fold"], f["tr_start"], f["tr_end"], f["va_start"], f["va_end"], n, loss))
     schema = "fold int, tr_start date, tr_end date, va_start date, va_end date, n_val long, val_loss double"
-    return spark.createDataFrame(metrics, schema), last
+    return panel.sparkSession.createDataFrame(metrics, schema), last
+
+
+def walk_forward_predictions(
+    panel: DataFrame,
+    features: list[str],
+    horizons: list[int],
+    lookback: int,
+    train: int,
+    val: int,
+    step: int,
+    hmax: int | None = None,
+    quantiles: list[float] = [],
+    fit: Callable[..., Forecaster] = fit_point,
+) -> DataFrame:
+    """Validation forecasts of all folds: fold (1-based), symbol, label_date, horizon, actual, predicted, residual
+    and, for every quantile, ``p<q>``: the forecast plus the training residuals' quantile."""
+    parts = []
+
+    def fitted(tr: DataFrame, *args) -> Forecaster:
+        fc = fit(tr, *args)
+        return fit_quantile(fc, tr, quantiles) if quantiles else fc
+
+    for _, fc, va in _folds(panel, features, horizons, lookback, train, val, step, hmax, None, 0, fitted):
+        out = residuals(fc, va)
+        for q in quantiles:
+            shift = F.create_map(*[F.lit(x) for h in horizons for x in (h, fc.residual_quantiles[(h, q)])])
+            out = out.withColumn(f"p{round(q * 100)}", F.col("predicted") + F.element_at(shift, F.col("horizon")))
+        parts.append(staged(out, "fold"))
+    if not parts:
+        raise NoTrainingRows("no fold has training labels")
+    return union_folds(parts)
