@@ -15,20 +15,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating star rounds: every node's larger neighbours are tied to its smallest neighbour, then
     every node and its smaller neighbours are. Distances halve, so rounds grow with the logarithm of the
-    longest chain. Minima are taken with map-side partials and each round's edges are distinct, so a hub
-    costs as many rows as it has neighbours; every round is a written table.
+    longest chain. Minima are taken with map-side partials and written as a table of their own, one row
+    per node; a hub's edges meet it in a plain join, which is broadcast or split where it is skewed.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
     for _ in range(MAX_ROUNDS):
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        # small stars need the smallest neighbour only on the smaller side
-        large = staged(large.where("a <> b").distinct(), name)
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select("b", "a", "low")
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
+        low = staged(edges.groupBy("a").agg(F.min("b").alias("low")), name)
+        # a node without smaller neighbours is its own smallest
+        large = edges.join(low.select(F.col("a").alias("b"), "low"), "b", "left").select("a", F.coalesce("low", "b").alias("b"))
+        large = staged(large.distinct(), name)
+        low = staged(large.groupBy("a").agg(F.min("b").alias("low")), name)
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
         edges = staged(small.where("a <> b").distinct(), name)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
