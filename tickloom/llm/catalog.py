@@ -39,12 +39,55 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-@query("op4_host_rules")
+_SPACE = r"\x20\x09-\x0D"
+_RULES_SQL = rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^{_SPACE}]+') AS words FROM t),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+    WHERE regexp_matches(line, '[^{_SPACE}]') GROUP BY doc_id),
+counts AS (SELECT w.doc_id, source, len(words) AS n_words, length(regexp_replace(text, '[{_SPACE}]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+    FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM judged GROUP BY source),
+m AS (SELECT greatest(least(sum(f) / sum(n), 1 - 1e-6), 1e-6) AS mean, coalesce(var_samp(f / n), 0) AS spread, avg(1 / n) AS noise FROM hosts),
+prior AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * noise > 0
+    THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1, 1.0), 1e6) ELSE 1.0 END AS size FROM m),
+rates AS (SELECT source, n + size AS total, (f + mean * size) / (n + size) AS rate FROM hosts CROSS JOIN prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT (rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 0.5) AS kept, round(rate, 6) AS host_rate
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source"""
+
+
+@query("op4_host_rules", _RULES_SQL)
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_digest(table(spark, sf_dir, "documents"))
 
 
-@query("op5_license_scan")
+def _license_sql() -> str:
+    rows = []
+    for t in licenses.standard_templates():
+        n = len(t.words) - licenses.K + 1
+        rows += [f"('{t.name}', '{t.label}', {t.whole}, {n}, {j}, '{' '.join(t.words[j : j + licenses.K])}')" for j in range(n)]
+    return rf"""WITH templates(template, label, whole, windows, j, gram) AS (VALUES {', '.join(rows)}),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{licenses.WORD}') AS words FROM documents),
+grams AS (SELECT doc_id, i - 1 AS i, array_to_string(words[i:i + 2], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+hits AS (SELECT doc_id, template, label, whole, windows, j, i, i - j AS diagonal FROM grams JOIN templates USING (gram)),
+diagonals AS (SELECT DISTINCT doc_id, template, whole, diagonal FROM hits),
+steps AS (SELECT *, whole OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.DRIFT}, true) AS begins FROM diagonals),
+merged AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM steps),
+spans AS (SELECT h.doc_id, h.template, h.label, h.whole, count(DISTINCT j) AS found, max(windows) AS windows, min(i) AS first_word FROM hits h
+    JOIN merged m ON m.doc_id = h.doc_id AND m.template = h.template AND m.diagonal = h.diagonal GROUP BY h.doc_id, h.template, h.label, h.whole, m.passage),
+good AS (SELECT *, found::DOUBLE / windows AS covered FROM spans WHERE found = windows OR (NOT whole AND found::DOUBLE / windows >= {licenses.COVERAGE})),
+told AS (SELECT doc_id, count(*) FILTER (WHERE whole) AS n_base, min(first_word) FILTER (WHERE whole) AS first_word, max(first_word) FILTER (WHERE whole) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM good GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN told ON told.doc_id = w.doc_id"""
+
+
+@query("op5_license_scan", _license_sql())
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 

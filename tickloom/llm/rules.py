@@ -140,7 +140,7 @@ def rule_digest(docs: DataFrame) -> DataFrame:
     """
     docs = fields(docs, doc_id="long", source="string", text="string")
     scores = staged(scored(docs, ["doc_id", "source"]), "rules")
-    return judged(scores, "source").select("doc_id", *COUNTS, "base_failed", "kept", "host_rate")
+    return judged(scores, "source").select("doc_id", *COUNTS, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
