@@ -34,7 +34,25 @@ def op2_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
-@query("op3_pfair_mixing")
+# one slot a step: of the released next blocks, the one with the least (deadline, release, source)
+_MIX_SQL = f"""WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+shares AS (SELECT source, greatest(1, CAST(round(sqrt(n) * ({mixing.SHARES_WANTED} / (SELECT sum(sqrt(n)) FROM sizes))) AS BIGINT)) AS share,
+    row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM sizes),
+whole AS (SELECT list(CAST(share AS BIGINT) ORDER BY k) AS s, CAST(sum(share) AS BIGINT) AS frame FROM shares),
+slots AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM whole
+    UNION ALL SELECT slot, list_transform(done, lambda x, i: x + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
+    SELECT slot + 1 AS slot, done, list_min(list_transform(done, lambda n, i: CASE WHEN n * frame < (slot + 2) * s[i]
+        THEN ((((n + 1) * frame + s[i] - 1) // s[i]) * 10000 + (n * frame) // s[i]) * 10000 + i END)) % 10000 AS pick
+    FROM slots CROSS JOIN whole WHERE slot + 1 < frame)),
+turns AS (SELECT pick AS k, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth FROM slots WHERE slot >= 0),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents),
+dealt AS (SELECT doc_id, r.source, share, k, r, r // {mixing.BLOCK_ROWS} AS block FROM ranked r JOIN shares ON shares.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, source, share, block, slot + (block // share) * frame AS slot, (block * frame) // share AS release, ((block + 1) * frame + share - 1) // share AS deadline,
+    (slot + (block // share) * frame) * {mixing.BLOCK_ROWS} + r % {mixing.BLOCK_ROWS} AS position
+FROM dealt JOIN turns ON turns.k = dealt.k AND turns.nth = dealt.block % dealt.share CROSS JOIN whole"""
+
+
+@query("op3_pfair_mixing", _MIX_SQL)
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
