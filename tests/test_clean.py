@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +96,38 @@ def test_apply_by_key_splits_and_merges_in_order(spark):
     assert sorted(map(tuple, out.collect())) == [("cold", 3, True), ("hot", 500, True)]
 
 
+def test_pieces_keep_their_bound_inside_a_batch():
+    batches = [pd.DataFrame({"k": ["a"] * 19 + ["b"] * 25 + ["c"] * 2}), pd.DataFrame({"k": ["c"] * 30})]
+    pieces = [(g["k"].iloc[0], len(g)) for g in aggregates._runs(iter(batches), ["k"], 10)]
+    assert max(n for _, n in pieces) == 10
+    assert {k: sum(n for x, n in pieces if x == k) for k in "abc"} == {"a": 19, "b": 25, "c": 32}
+
+
+def test_partial_results_are_folded_in_pieces(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 4 > 0, "hot").otherwise("cold").alias("k"), F.col("id").alias("v"))
+    seen = []
+
+    def combine(key, pdf):
+        seen.append(len(pdf))
+        return pd.DataFrame({"k": [key[0]], "total": [pdf["total"].sum()]})
+
+    partial = lambda key, pdf: pd.DataFrame({"k": key[0], "total": pdf["v"]})  # one row in, one row out
+    out = aggregates.apply_by_key(df, ["k"], ["v"], partial, "k string, total long", lambda key, pdf: pdf, "k string, total long", 100, combine)
+    assert {r["k"]: r["total"] for r in out.collect()} == {"hot": sum(i for i in range(5000) if i % 4), "cold": sum(range(0, 5000, 4))}
+    frames = [pd.DataFrame({"k": ["a"] * 250, "total": 1})]
+    folded = list(aggregates._folded(aggregates._runs(iter(frames), ["k"], 100), ["k"], combine))
+    assert folded[0]["total"].tolist() == [250] and max(seen) <= 101
+
+
+def test_staging_keeps_missing_numbers_missing(spark, tmp_path, caplog):
+    schema = T.StructType.fromDDL("id long, v float, n int, extra double")
+    data = spark.createDataFrame([(1, 1.5, 3), (2, None, None), (3, NAN, 4), (None, 9.0, 9)], "id long, v double, n int")
+    with caplog.at_level("WARNING"):
+        assert ingest.append_staged(spark, lambda mark: data, "id", str(tmp_path / "t"), schema) == 3
+    assert "1 rows without id" in caplog.text
+    assert [tuple(r) for r in ingest.read_staged(spark, str(tmp_path / "t"), schema).orderBy("id").collect()] == [(1, 1.5, 3, None), (2, None, None, None), (3, None, 4, None)]
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a", D(2020, 1, 1), 1.0), ("a", D(2020, 1, 2), NAN)], "symbol string, date date, v double")
     r = aggregates.non_finite_report(df, ["v"]).first()
