@@ -31,6 +31,17 @@ def fields(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+def sample_keys(rows: DataFrame, key: str, n: int, total: int, spare: int) -> list:
+    """Up to ``n`` keys of ``rows`` in the order of a hash, for samples whose size is a documented bound.
+
+    ``total`` is the size of the whole table: it thins the rows by another hash to about ``spare * n``
+    before they are ordered, so that what tasks send does not grow with their number.
+    """
+    thin = max(1, total // (spare * n))
+    kept = rows.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(thin)) == 0))
+    return [r[0] for r in kept.select(key).orderBy(F.xxhash64(key, F.lit(1)), key).limit(n).collect()]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import bounded_batches, fields
+from tickloom.llm.common import bounded_batches, fields, sample_keys
 from tickloom.llm.tagger import KINDS, WIDTH, Tagger, encode
 
 #: Bounds of the training sample: documents with an anchor, and windows from each of them.
@@ -154,8 +154,7 @@ def sample_contexts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     The sample is bounded by ``TRAIN_DOCS`` and ``WINDOWS_PER_DOC``.
     """
-    wanted = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]"))
-    ids = [r[0] for r in wanted.select(key).orderBy(F.xxhash64(key), key).limit(TRAIN_DOCS).collect()]
+    ids = sample_keys(docs.where(F.col(text).rlike("[0-9@]")), key, TRAIN_DOCS, docs.count(), 64)
 
     def cut(batches):
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bounded_batches, fields
+from tickloom.llm.common import bounded_batches, fields, sample_keys
 
 #: Bounds of the first tier, whose content only affects speed: texts read for it, and entries.
 TABLE_TEXTS = 512
@@ -123,7 +123,7 @@ def _encoder(path: str) -> Encoder:
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> dict[str, int]:
     """First tier: token counts of the commonest pieces of ``TABLE_TEXTS`` texts spread by a hash of the key."""
-    ids = [r[0] for r in docs.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(TABLE_TEXTS).collect()]
+    ids = sample_keys(docs, key, TABLE_TEXTS, docs.count(), 8)
     if not ids:
         return {}
 
