@@ -13,7 +13,6 @@ so results grow with texts and not with pairs, and no bucket or family is one ta
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
 import numpy as np
