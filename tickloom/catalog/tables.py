@@ -28,8 +28,12 @@ _EVENT_SCHEMA = T.StructType(
         T.StructField("flag", T.BooleanType()),
     ]
 )
-_EVENTS_SQL = f"""SELECT event_id, CAST(ts AS DATE) AS ts, user_id, event_type, {rs('value::FLOAT', 'value')},
-    CAST(NULL AS DOUBLE) AS rate, CAST(NULL AS INTEGER) AS level, value > 50 AS flag FROM events"""
+
+
+def _events_sql(missing: str) -> str:
+    """The aligned events; ``missing`` stands for the two numbers that the table lacks."""
+    return f"""SELECT event_id, CAST(ts AS DATE) AS ts, user_id, event_type, {rs('value::FLOAT', 'value')},
+    CAST({missing} AS DOUBLE) AS rate, CAST({missing} AS INTEGER) AS level, value > 50 AS flag FROM events"""
 
 
 def _flagged_events(spark, sf):
@@ -71,7 +75,7 @@ def a3(spark, sf):
     return tidy(ingest.project(views.ticks(spark, sf), ["symbol", "date", *_PRICE, "volume"]))
 
 
-@query("a4_append_staged", _EVENTS_SQL)
+@query("a4_append_staged", _events_sql("NULL"))
 def a4(spark, sf):
     """Half of the table is appended first, then the rest by resuming from the stored mark."""
     e = _flagged_events(spark, sf)
@@ -214,7 +218,7 @@ def b3(spark, sf):
     return tidy(clean.lenient_cast(clean.lenient_cast(e, ["k"], "double"), ["t"], "int"))
 
 
-@query("b4_align_to_schema", _EVENTS_SQL)
+@query("b4_align_to_schema", _events_sql("0"))
 def b4(spark, sf):
     return tidy(clean.align_to_schema(_flagged_events(spark, sf), _EVENT_SCHEMA))
 
