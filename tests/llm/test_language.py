@@ -39,3 +39,9 @@ def test_address_parts(spark):
     host, domain, suffix = language.address_parts(F.col("url"))
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").select("i", host, domain, suffix).orderBy("i").collect()
     assert [tuple(r)[1:] for r in rows] == [("blog.site.example.com", "example.com", "/en"), ("m.site.org", "site.org", "/de"), ("h.net", "h.net", ".net"), (None, None, None), (None, None, None)]
+
+
+def test_late_html_element_declares_its_language(spark):
+    late = "<!-- " + "licence " * 2000 + "-->\n<html class=a lang='de-AT'><p>hallo"
+    pages = spark.createDataFrame([(1, "http://a.example.org/x", late), (2, "http://a.example.org/y", "<html lang=en><p>hello"), (3, "http://a.example.org/z", "x" * 9000)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["declared"] for r in language.page_rows(pages).collect()} == {1: "de", 2: "en", 3: None}

@@ -188,7 +188,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     pages = fields(pages, page_id="long", url="string", html="string")
     host, domain, suffix = address_parts(F.col("url"))
     return pages.select(
-        F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), declared_language(F.substring("html", 1, 4096)).alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain")
+        F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), declared_language(F.col("html")).alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain")
     )
 
 
