@@ -56,3 +56,19 @@ def test_too_many_shares(spark):
 def test_no_python_in_the_plan(odd_docs):
     plan = mixing.mix_digest(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 7, "b": 3, "c": 2, None: 1}, {"x": 38, "y": 11, "z": 5, "w": 1}, {None: 3, "b": 3}, {"hot": 41, "m": 6, "n": 6, None: 1} | {f"s{i}": 1 for i in range(90)}])
+def test_long_frames_have_the_same_schedule(spark, shares):
+    rows = mixing.long_frame_slots(spark.createDataFrame(list(shares.items()), "source string, share long")).orderBy("slot").collect()
+    assert [r["source"] for r in rows] == earliest_deadline_first(shares)
+    assert [r["slot"] for r in rows] == list(range(sum(shares.values())))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+
+
+def test_more_sources_than_slots_of_a_short_frame(spark):
+    n = mixing.MAX_FRAME + 900
+    docs = spark.range(3 * n).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % {n} = 1 THEN NULL ELSE concat('s', id % {n}) END AS source")
+    rows = mixing.mix_digest(docs).collect()
+    assert len(rows) == len({r["position"] for r in rows}) == 3 * n
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)

@@ -7,7 +7,8 @@ its share, as long as it has rows.
 
 Weights are whole shares of a frame of slots. Releases and deadlines repeat from frame to frame, so the
 schedule of one frame is the schedule of all: it is computed once, over as many slots as the shares add
-up to, and every block finds its slot by arithmetic. No row waits for another one.
+up to, and every block finds its slot by arithmetic. No row waits for another one. In a frame with very many
+sources nearly all have one share; those take the slots that the others leave free, in order of their names.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.functions.ordering import dense_index
 from tickloom.llm.common import fields, fresh
 from tickloom.session import staged
 
 #: Rows of a block.
 BLOCK_ROWS = 16
-#: Longest frame, and with it the largest number of sources (each has a share of one slot at least).
+#: Most slots that are scheduled one after the other; longer frames fold only over blocks that are not their source's last.
 MAX_FRAME = 4096
 #: Shares follow the square root of a source's rows, so large sources do not drown the small ones.
 SHARES_WANTED = 256
@@ -74,6 +76,59 @@ def frame_slots(shares: DataFrame) -> DataFrame:
     return table.withColumn("release", F.floor(F.col("nth") * F.col("frame") / F.col("share"))).withColumn("deadline", F.floor(_ceil_div((F.col("nth") + 1) * F.col("frame"), F.col("share"))))
 
 
+def long_frame_slots(shares: DataFrame) -> DataFrame:
+    """The table of ``frame_slots`` for frames of any length and any number of sources.
+
+    A source's last block of the frame has the frame's end for a deadline, later than all other blocks. So
+    the others are scheduled as if alone, and the slots they leave free go to the last blocks in order of
+    release and name: first to the sources of one share, which are released at slot 0 and numbered by
+    ranges, then to the rest. Shares whose blocks without the last ones are more than ``MAX_FRAME`` are an
+    error; shares of ``shares_by_size`` never are, whatever the number of sources.
+    """
+    sums = shares.agg(F.sum("share").alias("frame"), F.sum(F.col("share") - 1).alias("early"), F.sum((F.col("share") == 1).cast("long")).alias("ones")).first()
+    frame, early, ones = sums["frame"] or 0, sums["early"] or 0, sums["ones"] or 0
+    if early > MAX_FRAME:
+        raise ValueError(f"{early} blocks besides the last ones of their sources, more than {MAX_FRAME}")
+    size = F.lit(frame).cast("long")
+    named = F.col("source").isNotNull()
+    several = shares.where("share > 1").agg(F.array_sort(F.collect_list(F.struct(named.alias("named"), "source", "share"))).alias("s"))
+    share = lambda i: F.element_at("s", (i + 1).cast("int"))["share"]
+    empty = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("done"), F.lit(0).cast("long").alias("time"), F.expr("array()").cast("array<struct<slot:bigint,i:int>>").alias("picked"))
+
+    def run(state: Column, _: Column) -> Column:
+        # the next block of every source that has more than its last one; time goes on to the first release
+        due = F.filter(
+            F.transform(
+                state["done"],
+                lambda n, i: F.when(n < share(i) - 1, F.struct(F.floor(_ceil_div((n + 1) * size, share(i))).alias("deadline"), F.floor(n * size / share(i)).alias("release"), i.alias("i"))),
+            ),
+            lambda x: x.isNotNull(),
+        )
+        time = F.greatest(state["time"], F.array_min(F.transform(due, lambda x: x["release"])))
+        pick = F.array_min(F.filter(due, lambda x: x["release"] <= time))["i"]
+        told = F.struct(time.alias("slot"), pick.alias("i"))
+        return F.struct(F.transform(state["done"], lambda n, i: F.when(i == pick, n + 1).otherwise(n)).alias("done"), (time + 1).alias("time"), F.concat(state["picked"], F.array(told)).alias("picked"))
+
+    turns = F.sequence(F.lit(1), F.lit(early)) if early else F.expr("array()").cast("array<int>")
+    picked = staged(several.select("s", F.aggregate(turns, empty, run, lambda state: state["picked"]).alias("picked")), "early")
+    each = picked.select("s", F.explode("picked").alias("p")).select(F.element_at("s", F.col("p.i") + 1).alias("s"), F.col("p.slot").alias("slot"))
+    n = F.row_number().over(Window.partitionBy("s").orderBy("slot")).cast("long") - 1
+    first = each.select("s.source", "s.share", n.alias("nth"), "slot")
+
+    single = shares.where("share = 1")
+    ranks, others = dense_index(single.where(named), "source", "_k")
+    late = ranks.select("source", F.lit(1).cast("long").alias("share"), (F.col("_k") + F.lit(ones - others)).cast("long").alias("_k"))
+    late = late.union(single.where(~named).select("source", F.lit(1).cast("long"), F.lit(0).cast("long")))
+    final = F.array_sort(F.transform("s", lambda x: F.struct(F.floor((x["share"] - 1) * size / x["share"]).alias("release"), x["named"], x["source"], x["share"])))
+    last = picked.select(F.posexplode(final).alias("_k", "x")).select("x.source", "x.share", (F.col("_k") + F.lit(ones)).cast("long").alias("_k"))
+    # of the slots that the others leave free, the k-th: as many of theirs stand before it as have no more than k free ones before them
+    gaps = picked.select(F.transform("picked", lambda p, i: p["slot"] - i).alias("gaps"))
+    free = F.col("_k") + F.size(F.filter("gaps", lambda g: g <= F.col("_k")))
+    rest = late.union(last).crossJoin(F.broadcast(gaps)).select("source", "share", (F.col("share") - 1).alias("nth"), free.cast("long").alias("slot"))
+    table = first.union(rest).select("source", "share", size.alias("frame"), "nth", "slot")
+    return table.withColumn("release", F.floor(F.col("nth") * F.col("frame") / F.col("share"))).withColumn("deadline", F.floor(_ceil_div((F.col("nth") + 1) * F.col("frame"), F.col("share"))))
+
+
 def _named(source: Column) -> Column:
     """A source's name that is never null, so that equal names can be hashed and joined."""
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
@@ -109,7 +164,9 @@ def mixed(docs: DataFrame, shares: DataFrame, source: str = "source", key: str =
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     order = fresh(docs, "_order")
     block = F.floor(F.col(order) / block_rows)
-    turns = frame_slots(shares).withColumn("_own", _named(F.col("source"))).drop("source")
+    size = shares.agg(F.sum("share")).first()[0] or 0
+    slots = frame_slots(shares) if size <= MAX_FRAME else staged(long_frame_slots(shares), "slots")
+    turns = slots.withColumn("_own", _named(F.col("source"))).drop("source")
     lengths = shares.select(_named(F.col("source")).alias("_own"), F.col("share").alias("_share"))
     rows = numbered(docs, source, key, order).withColumn("_own", _named(F.col(f"`{source}`"))).withColumn("block", block)
     rows = rows.join(lengths, "_own").withColumn("nth", F.col("block") % F.col("_share"))
