@@ -102,3 +102,20 @@ def test_spans_across_windows_are_whole(tagger):
     (base, added), = pii.all_spans([text], tagger)
     assert base == plain(text)
     assert all(0 <= s < e <= len(text) for s, _, e in added)
+
+
+def test_masked_addresses_are_found_whole(tagger):
+    before, after = "some words stand before and more of them go on ", " and others come behind it, none of them of note"
+    for inner in [
+        "jane.doe [at] linguistics.uni-heidelberg [dot] de", "a.very.long.local.part.of.some.forty.characters [at] mail [dot] org",
+        "someone (at) department-of-comparative-linguistics.faculty-of-letters.university (dot) edu", "joe at host dot com",
+    ]:
+        text = before + inner + after
+        (base, added), = pii.all_spans([text], tagger)
+        assert not base and added == [(len(before), 0, len(before) + len(inner))], (inner, [text[s:e] for s, _, e in added])
+
+
+def test_forms_of_masked_addresses():
+    texts = {"x jane [dot] doe [at] uni [dot] de y": "jane [dot] doe [at] uni [dot] de", "look at example.com": None, "we met at noon": None, "JOE AT HOST DOT COM": "JOE AT HOST DOT COM", "[at] host [dot] de": None}
+    for text, want in texts.items():
+        assert [text[a:b] for a, b in pii.masked_addresses(text)] == ([want] if want else []), text

@@ -2,10 +2,12 @@
 
 The tagger (``tagger.Tagger``, a bidirectional LSTM with CRF transitions) is trained on labelled spans:
 pattern matches in a bounded sample of documents and generated variants of them (masked addresses,
-numbers in other layouts, look-alikes that are no personal data). A span always holds an anchor - a
-digit, an at sign or a bracketed "at" - so only the surroundings of anchors are read by the tagger;
-overlapping windows are scored, their scores are averaged by how central a character is, and one best
-path per stretch reconciles them. Pattern matches always stay; tagged spans are added where they meet none.
+numbers in other layouts, look-alikes that are no personal data). A tagged span is kept only if it has the
+parts of its kind, so it always holds an anchor - a digit, an at sign, a bracketed "at" or "dot", or the word
+"dot" - and the tagger reads from the anchors outwards: the whole of whatever may be a masked address, and on
+for as long as a span reaches the edge of what was read. Overlapping windows are scored, their scores are
+averaged by how central a character is, and one best path per stretch reconciles them. A tagged address
+has the bounds of its whole local part and host. Pattern matches always stay; tagged spans are added where they meet none.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from tickloom.llm.tagger import KINDS, WIDTH, Tagger, encode
 TRAIN_DOCS = 400
 WINDOWS_PER_DOC = 3
 GENERATED = 900
-#: Characters read on either side of an anchor, and the step between overlapping windows.
+LONG_GENERATED = 1200
+#: Characters read at first on either side of an anchor or a masked address, and the outermost ones that
+#: have to be outside of spans, or more is read; the step between overlapping windows.
 REACH = 28
+EDGE = 8
 STEP = 32
 #: Windows scored at a time.
 SCORED_AT_ONCE = 1024
@@ -38,7 +43,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+_ANCHOR = re.compile(r"(?i)[0-9@]|[\[(] ?(?:at|dot) ?[\])]| dot ")
+_AT = re.compile(r"(?i) ?[\[(] ?at ?[\])] ?| @ ?|@ | at ")
+_DOT = r"(?: ?[\[(] ?dot ?[\])] ?| dot )"
+_DOT_BEFORE = re.compile(f"(?i){_DOT}$")
+_SPELLED_DOT = re.compile(f"(?i){_DOT}")
+_HOST = re.compile(rf"(?i)[a-z0-9-]+(?:(?:\.|{_DOT})[a-z0-9-]+)*(?:\.|{_DOT})[a-z]{{2,}}(?![a-z0-9])")
 _DIGITS = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -118,6 +128,18 @@ def _variant(rng: random.Random) -> tuple[str, int | None]:
     ), None
 
 
+def _long_variant(rng: random.Random) -> tuple[str, int | None]:
+    """A masked address with long parts or spelled-out signs, or words that look like one, and its kind."""
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(a, b)))
+    parts = lambda n, gaps: "".join(x + rng.choice(gaps) for x in [word(3, 12) for _ in range(n - 1)]) + word(3, 12)
+    if rng.random() < 0.25:
+        return rng.choice([f"{word(3, 8)} at {word(3, 8)}", f"{word(3, 8)} dot {word(3, 8)}", f"at {word(2, 5)} the dot {word(3, 8)}", f"{word(3, 8)} at the {word(3, 8)}.", f"{word(2, 6)} (dot) {word(3, 7)}"]), None
+    at = rng.choice([" at "] * 6 + [" [at] ", "[at]", " (at) ", "(at)"])
+    dot = rng.choice([" dot ", " dot ", " dot ", " [dot] ", " (dot) "] if at == " at " else [" dot ", " [dot] ", "[dot]", " (dot) ", "."])
+    host = parts(rng.choice([1, 1, 1, 2, 3]), ["-", ".", dot])
+    return parts(rng.choice([1, 1, 1, 2, 3]), [".", "_", "-"]) + at + host + dot + rng.choice(["com", "org", "net", "de", "edu", "uk"]), 0
+
+
 def _window(text: str, spans: list[Span], start: int) -> tuple[np.ndarray, np.ndarray]:
     codes, gold = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
     part = encode(text[start : start + WIDTH])
@@ -138,9 +160,9 @@ def training_windows(contexts: list[str], n: int = GENERATED, seed: int = 5) ->
     for c in contexts:
         spans = pattern_spans(c)
         out.append(_window(c, spans, max(0, (len(c) - WIDTH) // 2)))
-    for _ in range(n):
+    for turn in range(n + LONG_GENERATED):
         left, right = rng.choice(plain), rng.choice(plain)
-        inner, kind = _variant(rng)
+        inner, kind = _variant(rng) if turn < n else _long_variant(rng)
         left = left[: rng.randint(0, WIDTH)] + rng.choice([" ", " ", ", ", ": ", "\n"])
         text = left + inner + rng.choice([" ", " ", ". ", ", ", "\n"]) + right
         spans = [] if kind is None else [(len(left), kind, len(left) + len(inner))]
@@ -194,16 +216,44 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Tagger:
 # --- reading texts -------------------------------------------------------------------------------
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged surroundings of the anchors, ``REACH`` characters to either side."""
-    out: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+def masked_addresses(text: str) -> list[tuple[int, int]]:
+    """Bounds of whatever has the form of a masked address: local part, a masked at, host with a dot.
+
+    A plain " at " counts only before a host with a spelled-out dot. Parts may have any length.
+    """
+    out: list[tuple[int, int]] = []
+    done, at = 0, _AT.search(text)
+    while at:
+        host = _HOST.match(text, at.end())
+        start = at.start()
+        while start > done:
+            if text[start - 1] in _LOCAL:
+                start -= 1
+            elif start < at.start() and (dot := _DOT_BEFORE.search(text, max(done, start - 9), start)) and dot.start() > done and text[dot.start() - 1] in _LOCAL:
+                start = dot.start()
+            else:
+                break
+        if host and start < at.start() and (at.group().lower() != " at " or _SPELLED_DOT.search(host.group())):
+            done = host.end()
+            out.append((start, done))
+        at = _AT.search(text, max(at.start() + 1, done))
+    return out
+
+
+def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append((a, b))
+    return out
+
+
+def stretches(text: str, addresses: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Merged surroundings of the anchors and masked addresses, ``REACH`` characters to either side."""
+    hits = [(m.start(), m.end()) for m in _ANCHOR.finditer(text)]
+    return _merged([(max(0, a - REACH), min(len(text), b + REACH)) for a, b in [*hits, *addresses]])
 
 
 _CENTRAL = (1.0 - np.abs(np.arange(WIDTH) - (WIDTH - 1) / 2) / WIDTH).astype(np.float32)
@@ -250,7 +300,7 @@ def _tag(tagger: Tagger, parts: list[str]) -> list[np.ndarray]:
     return labels
 
 
-_MASKED = re.compile(r"(?:@|[\[(] ?at ?[\])]).*(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z]{2}", re.DOTALL)
+_MASKED = re.compile(r"(?:@|[\[(] ?at ?[\])]).*(?:\.|[\[(] ?dot ?[\])]| dot ) ?[A-Za-z]{2}| at .*(?:[\[(] ?dot ?[\])]| dot ) ?[A-Za-z]{2}", re.DOTALL | re.IGNORECASE)
 
 
 def _plausible(kind: int, text: str, start: int, end: int) -> bool:
@@ -276,18 +326,36 @@ def _spans_of(labels: np.ndarray) -> list[Span]:
     return [(int(a), int(k), int(b)) for a, k, b in out]
 
 
+def _read(tagger: Tagger, texts: list[str], wanted: list[list[tuple[int, int]]]) -> list[list[tuple[int, np.ndarray]]]:
+    """``(start, labels)`` of the stretches of every text, which grow until no span reaches their edges."""
+    known: dict[tuple[int, int, int], np.ndarray] = {}
+    while todo := [(i, a, b) for i, parts in enumerate(wanted) for a, b in parts if (i, a, b) not in known]:
+        for at, labels in zip(todo, _tag(tagger, [texts[i][a:b] for i, a, b in todo]), strict=True):
+            known[at] = labels
+        for i in {i for i, _, _ in todo}:
+            # twice as long each time, so that what is read stays in proportion to what there is
+            grown = []
+            for a, b in wanted[i]:
+                labels = known[i, a, b]
+                grown.append((max(0, a - (b - a)) if labels[:EDGE].any() else a, min(len(texts[i]), b + (b - a)) if labels[-EDGE:].any() else b))
+            wanted[i] = _merged(grown)
+    return [[(a, known[i, a, b]) for a, b in parts] for i, parts in enumerate(wanted)]
+
+
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Pattern spans and added spans of every text."""
     base = [pattern_spans(t) for t in texts]
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
+    masked = [masked_addresses(t) for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
-    if where:
-        for (i, a, _), labels in zip(where, _tag(tagger, [texts[i][a:b] for i, a, b in where]), strict=True):
-            if labels.any():
-                for s, k, e in _spans_of(labels):
-                    s, e = s + a, e + a
-                    if _plausible(k, texts[i], s, e) and not any(x < e and s < y for x, _, y in base[i]):
-                        added[i].append((s, k, e))
+    for i, parts in enumerate(_read(tagger, texts, [stretches(t, m) for t, m in zip(texts, masked, strict=True)])):
+        for a, labels in parts:
+            for s, k, e in _spans_of(labels) if labels.any() else []:
+                s, e = s + a, e + a
+                whole = [(x, y) for x, y in masked[i] if x < e and s < y] if k == 0 else []
+                for x, y in whole or [(s, e)]:
+                    free = not any(p < y and x < q for p, _, q in base[i] + added[i])
+                    if free and _plausible(k, texts[i], x, y):
+                        added[i].append((x, k, y))
     return list(zip(base, added, strict=True))
 
 
