@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontam, jaccard, language, licenses, mixing, pii, repeats, rules, tokens, warc
+from tickloom.llm import decontam, jaccard, language, licenses, merkle, mixing, packing, pii, repeats, rules, runs, tokens, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -139,3 +139,52 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeated_strings")
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_grouped_packing")
+def op12_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(table(spark, sf_dir, "documents"), packing.tokenizer_path())
+
+
+def _merkle_sql() -> str:
+    def part(value: str) -> str:
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(concat(" + ", ".join([part("doc_id::VARCHAR"), part("source"), part("lang"), part("n_chars::VARCHAR"), part(text)]) + "))"
+
+    # CRC-32 of the digits, bit by bit: every ninth step takes in a byte
+    crc = """xor(list_reduce(range(0, 9 * length(doc_id::VARCHAR)), lambda c, i: CASE WHEN i % 9 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, i // 9 + 1, 1))::BIGINT)
+    WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295), 4294967295)"""
+    sides = """coalesce(string_agg(h, '') OVER (PARTITION BY {0} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY {0} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"""
+    return f"""WITH RECURSIVE hashed AS (SELECT doc_id, lang, {leaf('text')} AS leaf,
+    {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low, {crc} % 3 = 0 AS changed FROM documents),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (SELECT tree, 0 AS level, pos, n, leaf AS h FROM leaves
+    UNION ALL SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+upper AS (SELECT 0 AS level, tree AS pos, (SELECT count(DISTINCT tree) FROM leaves) AS n, h FROM nodes WHERE n = 1
+    UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 8, n),
+low_sides AS (SELECT tree, level, pos, {sides.format('tree, level, pos // 8')} FROM nodes WHERE n > 1),
+up_sides AS (SELECT level, pos, {sides.format('level, pos // 8')} FROM upper WHERE n > 1),
+low_proof AS (SELECT a.tree, a.pos, string_agg(l || r, '' ORDER BY s.level) AS p FROM leaves a JOIN low_sides s ON s.tree = a.tree AND s.pos = a.pos // power(8, s.level)::BIGINT GROUP BY a.tree, a.pos),
+up_proof AS (SELECT t.tree, string_agg(l || r, '' ORDER BY s.level) AS p FROM (SELECT DISTINCT tree FROM leaves) t JOIN up_sides s ON s.pos = t.tree // power(8, s.level)::BIGINT GROUP BY t.tree),
+low_fold AS (SELECT tree, pos AS own, 0 AS level, pos, CASE WHEN changed THEN low ELSE leaf END AS h FROM leaves
+    UNION ALL SELECT f.tree, own, f.level + 1, f.pos // 8, sha256(l || h || r) FROM low_fold f JOIN low_sides s ON s.tree = f.tree AND s.level = f.level AND s.pos = f.pos),
+up_fold AS (SELECT tree, own, 0 AS level, tree AS pos, h FROM low_fold WHERE NOT EXISTS (SELECT 1 FROM low_sides s WHERE s.tree = low_fold.tree AND s.level = low_fold.level)
+    UNION ALL SELECT f.tree, own, f.level + 1, f.pos // 8, sha256(l || h || r) FROM up_fold f JOIN up_sides s ON s.level = f.level AND s.pos = f.pos),
+ends AS (SELECT tree, own, arg_max(h, level) AS h FROM up_fold GROUP BY tree, own)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(coalesce(lp.p, '') || coalesce(up.p, '')) AS proof_sha256, e.h AS folded_root, e.h = top.h AS verified
+FROM leaves a JOIN nodes sub ON sub.tree = a.tree AND sub.n = 1 CROSS JOIN (SELECT h FROM upper WHERE n = 1) top JOIN ends e ON e.tree = a.tree AND e.own = a.pos
+LEFT JOIN low_proof lp ON lp.tree = a.tree AND lp.pos = a.pos LEFT JOIN up_proof up ON up.tree = a.tree"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
