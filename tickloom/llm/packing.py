@@ -18,6 +18,7 @@ size that depends on the sequence length and the number of groups, not on the co
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
@@ -38,8 +39,8 @@ END = 0
 #: Numbers of groups of large pieces, each with the part of a sequence beyond which a piece is large. They are tried
 #: in this order until a plan needs no more sequences than the tokens fill; the best plan counts.
 SETTINGS = ((512, 0.45), (384, 1 / 3), (256, 1 / 4), (96, 1 / 6), (32, 1 / 8))
-#: Bounds of a worker's cache: words kept, and bytes of the longest one that is kept.
-CACHE_WORDS = 600_000
+#: Bounds of a worker's two caches: entries kept, and the longest one that is kept.
+CACHE_WORDS = 500_000
 CACHE_BYTES = 64
 
 _worker: dict = {}
@@ -52,27 +53,56 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Words whose characters are printable ones below 256: lower case and splitting are plain for them.
+_PLAIN = re.compile("[!-~\xa1-\xff]+").fullmatch
+#: The tokenizer file's own pattern, for lower-case words of this kind.
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+").findall
+
+
 class WordEncoder:
-    """Token ids of texts, word by word: this tokenizer drops white space and never joins across it."""
+    """Token ids of texts, word by word: this tokenizer drops white space and never joins across it.
+
+    Words are looked up, unknown ones cut into the parts that the tokenizer's model sees, and those looked up before
+    the model encodes them. Words with characters beyond 255 or with special strings go to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the printable stand-ins of the 256 bytes, as byte-level models spell them
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.spelling = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
         self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if _PLAIN(text) and not any(s in text for s in self.special):
+            ids = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS(text.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= CACHE_BYTES:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             self.cache[word] = ids
         return ids
 
+    def _part(self, part: str) -> bytes:
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.spelling)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+        if len(part) <= CACHE_BYTES:
+            if len(self.parts) >= CACHE_WORDS:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
     def ids(self, text: str) -> bytes:
         """Ids of the whole text as little-endian 32-bit numbers."""
-        known = self.cache
-        return b"".join([known[w] if w in known else self._word(w) for w in text.encode().split()])
+        words = text.encode().split()
+        return b"".join([ids if ids is not None else self._word(w) for w, ids in zip(words, map(self.cache.get, words))])
 
 
 def _encoder(path: str) -> WordEncoder:
