@@ -11,10 +11,11 @@ from tickloom.catalog.base import _W, HORIZONS, LOOKBACK, needs, query, rlist, r
 from tickloom.catalog.context import _RANGES, _STEP, _TRAIN, _VAL
 from tickloom.catalog.series import _FEATS, _MC, _TC, _sums, _window_sql
 from tickloom.functions import arrays
-from tickloom.operators import aggregates, clean, rank, scaler, splits
+from tickloom.operators import aggregates, clean, dims, rank, scaler, splits
 from tickloom.operators.calendar import date_bounds, trading_day_flag
+from tickloom.operators.windows import label_rows
 from tickloom.plans import jobs as pipeline_jobs
-from tickloom.plans import scoring, training
+from tickloom.plans import design, pinball, scoring, tracked, training
 from tickloom.plans.features import build_features, daily_panel
 from tickloom.session import scratch_path, staged
 from tickloom.sources import ingest
@@ -127,6 +128,76 @@ def k5(spark, sf):
     return tidy(spark.createDataFrame(rows, "horizon int, p50 double, p90 double"))
 
 
+# no group of rows has a whole number of them below these: every optimum is one row's value
+_PROBS = [0.1234567, 0.5432101, 0.8765433]
+
+
+@query(
+    "k5_fit_pinball",
+    _FIT
+    + f""", long AS MATERIALIZED ({' UNION ALL '.join(f'SELECT CAST({h} AS INTEGER) AS horizon, CAST(isodow(date) - 1 AS INTEGER) AS dow, y{h} AS y FROM train' for h in HORIZONS)}),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY horizon, dow ORDER BY y) AS i, count(*) OVER (PARTITION BY horizon, dow) AS n FROM long),
+    best AS MATERIALIZED (SELECT horizon, prob, dow, y AS value FROM ranked CROSS JOIN (VALUES {', '.join(f'(CAST({p} AS DOUBLE))' for p in _PROBS)}) p(prob) WHERE i = ceil(n * prob)),
+    losses AS (SELECT horizon, prob, avg(greatest(prob * (y - value), (prob - 1) * (y - value))) AS loss FROM long JOIN best USING (horizon, dow) GROUP BY horizon, prob)
+    SELECT horizon, {rs('prob')}, dow, {rs('value')}, {rs('loss')} FROM best JOIN losses USING (horizon, prob)""",
+)
+def k5_pinball(spark, sf):
+    """Weekdays as one-hot inputs: the optimum is every weekday's own quantile."""
+    panel = staged(_panel(spark, sf), "panel")
+    lo, hi = date_bounds(panel)
+    rows, _ = training.training_rows(panel, LOOKBACK, ["logret_1d"], HORIZONS, lo, hi, _UNIT)
+    days = [f"day_{k}" for k in range(1, 7)]
+    rows = rows.withColumns({d: (F.weekday("label_date") == k + 1).cast("double") for k, d in enumerate(days)})
+    models, losses, n = pinball.solve_tables(design.design_table(rows, days, len(HORIZONS)), len(days) + 1, HORIZONS, _PROBS)
+    out = [(h, q, k, c[0] + (c[k] if k else 0.0), losses[(h, q)] / n) for (h, q), c in models.items() for k in range(7)]
+    return tidy(spark.createDataFrame(out, "horizon int, prob double, dow int, value double, loss double"))
+
+
+_EPOCHS, _CUT, _RATE, _DECAY, _PATIENCE, _DELTA = 12, "2000-01-01", 0.4, 0.001, 2, 1e-4
+_HUBER = "CASE WHEN abs({0}) < 1 THEN 0.5 * ({0}) * ({0}) ELSE abs({0}) - 0.5 END"
+
+
+def _tracked_sql() -> str:
+    y, x, e = f"y{HORIZONS[1]}", "x", "(y - s.a - s.b * x)"
+    # one damped Newton step of two coefficients an epoch; the history is cut behind the early stop
+    return (
+        _FIT
+        + f""", rows_used AS MATERIALIZED (SELECT {x} AS x, {y} AS y, date >= DATE '{_CUT}' AS val FROM train),
+    steps AS (SELECT 0 AS epoch, CAST(0.0 AS DOUBLE) AS a, CAST(0.0 AS DOUBLE) AS b
+    UNION ALL SELECT epoch + 1, a + {_RATE} * ((c11 + 1e-12 + {_DECAY}) * g0 - c01 * g1) / det, b + {_RATE} * ((c00 + 1e-12) * g1 - c01 * g0) / det FROM (
+    SELECT *, (c00 + 1e-12) * (c11 + 1e-12 + {_DECAY}) - c01 * c01 AS det FROM (
+    SELECT s.epoch, s.a, s.b, avg(greatest(least({e}, 1.0), -1.0)) AS g0, avg(greatest(least({e}, 1.0), -1.0) * x) - {_DECAY} * s.b AS g1,
+    avg(CASE WHEN abs({e}) < 1 THEN 1.0 ELSE 0.0 END) AS c00, avg(CASE WHEN abs({e}) < 1 THEN x ELSE 0.0 END) AS c01, avg(CASE WHEN abs({e}) < 1 THEN x * x ELSE 0.0 END) AS c11
+    FROM steps s CROSS JOIN rows_used WHERE NOT val AND s.epoch < {_EPOCHS - 1} GROUP BY s.epoch, s.a, s.b))),
+    losses AS MATERIALIZED (SELECT s.epoch, s.a, s.b, avg({_HUBER.format(e)}) FILTER (WHERE NOT val) AS train_loss, avg({_HUBER.format(e)}) FILTER (WHERE val) AS val_loss
+    FROM steps s CROSS JOIN rows_used GROUP BY s.epoch, s.a, s.b),
+    told AS MATERIALIZED (SELECT list(val_loss ORDER BY epoch) AS v FROM losses),
+    watch AS (SELECT 0 AS epoch, v[1] AS best_loss, 0 AS best_epoch, 0 AS bad FROM told
+    UNION ALL SELECT w.epoch + 1, CASE WHEN v[w.epoch + 2] < best_loss - {_DELTA} THEN v[w.epoch + 2] ELSE best_loss END,
+    CASE WHEN v[w.epoch + 2] < best_loss - {_DELTA} THEN w.epoch + 1 ELSE best_epoch END, CASE WHEN v[w.epoch + 2] < best_loss - {_DELTA} THEN 0 ELSE bad + 1 END
+    FROM watch w CROSS JOIN told WHERE w.epoch + 1 < {_EPOCHS} AND bad <= {_PATIENCE}),
+    chosen AS (SELECT arg_max(best_epoch, epoch) AS winner FROM watch)
+    SELECT l.epoch, {rs('l.train_loss', 'train_loss')}, {rs('l.val_loss', 'val_loss')}, l.epoch = winner AS best, {rs('m.a', 'intercept')}, {rs('m.b', 'slope')}
+    FROM watch w JOIN losses l ON l.epoch = w.epoch CROSS JOIN chosen JOIN losses m ON m.epoch = winner"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("k4_fit_tracked", _tracked_sql())
+def k4_tracked(spark, sf):
+    """The history of the epochs, and the coefficients of the best one; half of the epochs from a resumed run."""
+    panel = staged(_panel(spark, sf), "panel")
+    lo, hi = date_bounds(panel)
+    h = HORIZONS[1]
+    rows, _ = training.training_rows(panel, LOOKBACK, ["logret_1d"], HORIZONS, lo, hi, _UNIT)
+    rows = rows.withColumn("y", F.slice("y", 2, 1))
+    late = F.col("label_date") >= F.lit(_CUT).cast("date")
+    state, args = scratch_path(spark, "fit-state"), (["logret_1d"], [h], LOOKBACK, _UNIT)
+    options = {"rate": _RATE, "decay": _DECAY, "patience": _PATIENCE, "min_delta": _DELTA, "inputs": ["last_logret_1d"], "state": state}
+    tracked.fit_tracked(rows.where(~late), rows.where(late), *args, epochs=_EPOCHS // 2, **options)
+    fc, history = tracked.fit_tracked(rows.where(~late), rows.where(late), *args, epochs=_EPOCHS, **options)
+    return tidy(history.withColumns({"intercept": F.lit(fc.linear[0][0]), "slope": F.lit(fc.linear[0][1])}))
+
+
 def _score_sql(expr: str, names: list[tuple[str, str]]) -> str:
     cols = []
     for name, value in names:
@@ -278,6 +349,164 @@ def k13_predictions(spark, sf):
     return tidy(out.select("fold", "symbol", "label_date", "horizon", "actual", "predicted"))
 
 
+_FOLD_DATES = f"SELECT CAST(unnest(generate_series(min(date) + 730, max(date) - {max(HORIZONS)} - 365, INTERVAL 365 DAY)) AS DATE) AS anchor FROM feats"
+
+
+def _fold_ranges(panel):
+    return splits.walk_forward_ranges(splits.date_range(panel), 730, 365, 365, max(HORIZONS))
+
+
+@query(
+    "k13_fold_scalers",
+    needs("targeted")
+    + f""", labelled AS MATERIALIZED (SELECT symbol, date, rn, coalesce(logret_1d, lead(logret_1d, 1) OVER ({_W}))::FLOAT::DOUBLE AS logret_1d,
+    vol_30d::FLOAT::DOUBLE AS vol_30d, hl_spread::FLOAT::DOUBLE AS hl_spread, {' AND '.join(f'target_{h}d IS NOT NULL' for h in HORIZONS)} AS have FROM targeted),
+    folds AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY anchor) - 1 AS INTEGER) AS fold, anchor FROM ({_FOLD_DATES})),
+    pairs AS MATERIALIZED (SELECT fold, b.logret_1d, b.vol_30d, b.hl_spread FROM labelled a JOIN folds ON a.date BETWEEN anchor - 730 AND anchor
+    JOIN labelled b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - {LOOKBACK} AND a.rn - 1 WHERE a.rn > {LOOKBACK} AND a.have)
+    """
+    + " UNION ALL ".join(f"SELECT fold, '{c}' AS feature, {rs(f'avg({c})', 'mean')}, {rs(f'sqrt(greatest(var_samp({c}), 1e-8))', 'std')}, count({c}) AS n FROM pairs GROUP BY fold" for c in _FEATS),
+)
+def k13_scalers(spark, sf):
+    """Every fold's scaler from one pass over the labels of the whole panel."""
+    panel = staged(_panel(spark, sf), "panel")
+    lo, hi = date_bounds(panel)
+    marked = staged(label_rows(panel, LOOKBACK, _FEATS, HORIZONS, str(lo), str(hi)), "labels")
+    return tidy(scaler.fold_scalers(marked, _FEATS, LOOKBACK, _fold_ranges(panel)))
+
+
+@query("k13_fold_fits", _FOLD_SQL + f"SELECT CAST(fold - 1 AS INTEGER) AS fold, horizon, {rs('a', 'intercept')}, {rs('b', 'slope')} FROM fits")
+def k13_fits(spark, sf):
+    """Every fold's least-squares fit from one table of daily products."""
+    panel = staged(_panel(spark, sf), "panel")
+    lo, hi = date_bounds(panel)
+    rows = staged(training.training_rows(panel, LOOKBACK, ["logret_1d"], HORIZONS, lo, hi, _UNIT)[0], "labels")
+    fits = training.fold_fits(rows, ["last_logret_1d"], HORIZONS, _fold_ranges(panel))
+    return tidy(spark.createDataFrame([(f, h, c[0], c[1]) for (f, h), c in fits.items()], "fold int, horizon int, intercept double, slope double"))
+
+
+@query(
+    "k13_walk_forward_linear",
+    _FOLD_SQL
+    + f"""SELECT fold, symbol, date AS label_date, horizon, {rs('actual')}, {rs('a + b * x', 'predicted')} FROM long JOIN fits USING (horizon)
+    JOIN anchors USING (fold) WHERE date BETWEEN anchor AND anchor + 365""",
+)
+def k13_linear(spark, sf):
+    """The walk-forward forecasts again, with all folds fitted and scored together."""
+    out = training.walk_forward_linear(_panel(spark, sf), ["logret_1d"], HORIZONS, LOOKBACK, 730, 365, 365, inputs=["last_logret_1d"])
+    return tidy(out.select("fold", "symbol", "label_date", "horizon", "actual", "predicted"))
+
+
+_WX4 = ["wx_tavg", "wx_prcp", "wx_wspd", "wx_pres"]
+
+
+@query(
+    "d8_fold_pca_spectrum",
+    needs("wx")
+    + f""", feats AS MATERIALIZED (SELECT date FROM wx), folds AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY anchor) - 1 AS INTEGER) AS fold, anchor FROM ({_FOLD_DATES}))
+    SELECT fold, CAST(4 AS INTEGER) AS k, {rs('4.0')}, {rs('4.0 + 2 * (' + ' + '.join(f'pow(corr({a}, {b}), 2)' for i, a in enumerate(_WX4) for b in _WX4[i + 1:]) + ')', 'squares')}
+    FROM wx JOIN folds ON date BETWEEN anchor - 730 AND anchor GROUP BY fold""".replace(" AS 4.0", " AS total"),
+)
+def d8_folds(spark, sf):
+    """Components per fold without a refit: their variances add up to the number of measures, their squares to those of all correlations."""
+    daily = staged(dims.weather_daily(views.weather(spark, sf)).select("date", *_WX4), "weather")
+    ranges = _fold_ranges(daily)
+    fits = dims.fold_pca(daily, 4, ranges)
+    parts = []
+    for f in ranges.collect():
+        out = dims.transform_pca(daily.where(F.col("date").between(f["tr_start"], f["tr_end"])), fits[f["fold"]])
+        spread = [F.var_pop(n) for n in fits[f["fold"]].names]
+        parts.append(out.agg(F.lit(f["fold"]).alias("fold"), F.lit(len(spread)).alias("k"), sum(spread, F.lit(0.0)).alias("total"), sum((v * v for v in spread), F.lit(0.0)).alias("squares")))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return tidy(whole)
+
+
+# --- stored models in closed form ---------------------------------------------------------
+
+# squared errors and one input again, with the four horizons of the prediction table
+_CLOSED = (
+    needs("panel")
+    + f""", moves AS MATERIALIZED (SELECT symbol, date, open::FLOAT::DOUBLE AS price, close::FLOAT::DOUBLE AS c, row_number() OVER ({_W}) AS rn, lag(close::FLOAT::DOUBLE, 1) OVER ({_W}) AS x,
+    {', '.join(f'(lead(ln(close::FLOAT::DOUBLE), {h}) OVER ({_W}) - ln(close::FLOAT::DOUBLE))::FLOAT::DOUBLE AS y{i}' for i, h in enumerate(_H4))} FROM panel),
+    fitted AS MATERIALIZED (SELECT {', '.join(f'regr_slope(y{i}, x) AS b{i}, regr_intercept(y{i}, x) AS a{i}' for i in range(4))} FROM moves
+    WHERE rn > {LOOKBACK} AND {' AND '.join(f'y{i} IS NOT NULL' for i in range(4))}),
+    ends AS MATERIALIZED (SELECT max(date) AS hi FROM moves)
+    """
+)
+
+
+def _closed_sql() -> str:
+    top = f"""SELECT symbol, price, {', '.join(f'a{i} + b{i} * c AS s{i}' for i in range(4))} FROM moves CROSS JOIN fitted CROSS JOIN ends WHERE date = hi - 1 ORDER BY s3 DESC, symbol DESC LIMIT 25"""
+    dates = {f"DATE '{_AS_OF}'": "(SELECT hi FROM ends)"}
+    sql = _table_sql(top, _AS_OF)
+    for old, new in dates.items():
+        sql = sql.replace(old, new)
+    return _CLOSED + sql
+
+
+def _stored_panel(spark, sf):
+    path = scratch_path(spark, "panel")
+    daily_panel(views.ticks(spark, sf), views.TICK_ORDER).write.parquet(path)
+    return path, date_bounds(spark.read.parquet(path))
+
+
+@query("k9_score_as_of_closed", _closed_sql())
+def k9_closed(spark, sf):
+    """A forecaster fitted here, scored on the last day."""
+    path, (lo, hi) = _stored_panel(spark, sf)
+    panel = spark.read.parquet(path)
+    rows, sc = training.training_rows(panel, LOOKBACK, ["open", "close"], _H4, lo, hi)
+    fc = training.fit_point(rows, ["open", "close"], _H4, LOOKBACK, sc, loss="squaredError", inputs=["last_close"])
+    return tidy(scoring.score_as_of(panel, scoring.forecaster_scorer(fc), ["open", "close"], _H4, str(hi), LOOKBACK, 25))
+
+
+@query("k9_predict_job_closed", _closed_sql())
+def k9_job_closed(spark, sf):
+    """The same table from two jobs that share nothing but folders."""
+    path, (_, hi) = _stored_panel(spark, sf)
+    model, table = scratch_path(spark, "model"), scratch_path(spark, "table")
+    pipeline_jobs.train(spark, path, model, ["open", "close"], _H4, LOOKBACK, loss="squaredError", inputs=["last_close"])
+    pipeline_jobs.predict(spark, model, path, str(hi), table=table)
+    return tidy(spark.read.parquet(table))
+
+
+_NEWEST = "FROM moves CROSS JOIN fitted CROSS JOIN ends WHERE date = hi"
+
+
+def _last_scores(names) -> str:
+    return ", ".join(f"{rs(f'a{i} + b{i} * c', f'pred_{n}_logret')}, {rs(f'exp(a{i} + b{i} * c) - 1', f'pred_{n}_ret')}" for i, n in names)
+
+
+@query("k7_score_stored_point", _CLOSED + f"SELECT symbol, {_last_scores(list(enumerate(_NAMES)))} {_NEWEST}")
+def k7_stored(spark, sf):
+    """Every symbol's forecast by a model that was trained as a job, kept and loaded again."""
+    path, _ = _stored_panel(spark, sf)
+    model = scratch_path(spark, "model")
+    pipeline_jobs.train(spark, path, model, ["open", "close"], _H4, LOOKBACK, loss="squaredError", inputs=["last_close"])
+    return tidy(scoring.score_point(spark.read.parquet(path), training.Forecaster.load(spark, model)))
+
+
+@query(
+    "k8_score_stored_quantile",
+    _CLOSED
+    + f""", resid AS MATERIALIZED ({' UNION ALL '.join(f'SELECT {i} AS i, y{i} - a{i} - b{i} * x AS e FROM moves CROSS JOIN fitted WHERE rn > {LOOKBACK} AND ' + ' AND '.join(f'y{j} IS NOT NULL' for j in range(4)) for i in range(4))}),
+    shifts AS MATERIALIZED (SELECT {', '.join(f'quantile_cont(e, {q}) FILTER (WHERE i = {i}) AS q{i}_{round(q * 100)}' for i in range(4) for q in (0.1, 0.9))} FROM resid)
+    SELECT symbol, """
+    + ", ".join(
+        f"{rs(f'a{i} + b{i} * c + q{i}_{q}', f'pred_{n}_p{q}_logret')}, {rs(f'exp(a{i} + b{i} * c + q{i}_{q}) - 1', f'pred_{n}_p{q}_ret')}" for i, n in enumerate(_NAMES) for q in (10, 90)
+    )
+    + " FROM moves CROSS JOIN fitted CROSS JOIN ends CROSS JOIN shifts WHERE date = hi",
+)
+def k8_stored(spark, sf):
+    """Every symbol's quantiles by a kept model with residual quantiles."""
+    path, _ = _stored_panel(spark, sf)
+    model = scratch_path(spark, "model")
+    pipeline_jobs.train(spark, path, model, ["open", "close"], _H4, LOOKBACK, quantiles=[0.1, 0.9], loss="squaredError", inputs=["last_close"])
+    return tidy(scoring.score_quantile(spark.read.parquet(path), training.Forecaster.load(spark, model), [0.1, 0.9]))
+
+
 # --- I: streaming -----------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from tickloom.functions.arrays import clean_list, finite_mean, pad_list
 from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.scalars import finite_or_null, floor_day, is_finite, safe_log
 from tickloom.operators.clean import prefix_columns
+from tickloom.operators.moments import Products, daily_products, pivots, range_totals, running
 from tickloom.schemas import DATE, WEATHER_COLS
 
 
@@ -133,6 +134,29 @@ def fit_pca(daily: DataFrame, k: int, fit_dates: DataFrame | None = None) -> Pca
     return PcaFit(cols, mean, std, pc.T.tolist(), [f"wx_pca_{i}" for i in range(pc.shape[1])])
 
 
+def fold_pca(daily: DataFrame, k: int, ranges: DataFrame, start: str = "tr_start", end: str = "tr_end") -> dict[int, PcaFit]:
+    """``fit_pca`` on the dates of every range, by fold, from one pass over ``daily``.
+
+    The products of the columns are kept per date and differenced per range, so no fold reads rows again; the
+    eigenvectors of a range's correlations are found on the driver, from as many numbers as there are pairs of columns.
+    """
+    cols = [c for c in daily.columns if c.startswith("wx_")]
+    if not cols:
+        return {}
+    filled = daily.fillna(0.0, cols)
+    at = pivots(filled, cols)
+    totals = running(daily_products(filled, [F.col(c) - F.lit(p) for c, p in zip(cols, at)]))
+    fits = {}
+    for row in range_totals(totals, ranges, start, end).where("n > 0").collect():  # one row per fold
+        moments = Products.of(row, len(cols), at)
+        std = np.where(moments.std() > 0, moments.std(), 1.0)
+        values, vectors = np.linalg.eigh(moments.centred / moments.n / np.outer(std, std))
+        order = np.argsort(values, kind="stable")[::-1][: min(k, len(cols))]
+        pc = _signed(vectors[:, order])
+        fits[row["fold"]] = PcaFit(cols, moments.mean.tolist(), std.tolist(), pc.T.tolist(), [f"wx_pca_{i}" for i in range(len(order))])
+    return fits
+
+
 def transform_pca(daily: DataFrame, fit: PcaFit | None, names: list[str] = []) -> DataFrame:
     """Project every date; without a fit the named components are zero."""
     if fit is None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.ordering import dense_index
-from tickloom.operators.dims import fit_pca, transform_pca
+from tickloom.operators.dims import PcaFit, fit_pca, transform_pca
 from tickloom.schemas import DATE, SYMBOL
 from tickloom.session import size_checked
 
@@ -42,13 +42,13 @@ def join_news(panel: DataFrame, news: DataFrame | None, n_components: int = 8) -
 
 
 def join_weather(
-    panel: DataFrame, daily: DataFrame | None, n_components: int = 12, fit_dates: DataFrame | None = None
+    panel: DataFrame, daily: DataFrame | None, n_components: int = 12, fit_dates: DataFrame | None = None, fit: PcaFit | None = None
 ) -> DataFrame:
-    """Principal components of the daily weather, 0 on dates without any."""
+    """Principal components of the daily weather, 0 on dates without any; fitted here unless a ``fit`` is given."""
     names = [f"wx_pca_{i}" for i in range(n_components)]
     if daily is None:
         return _left_by_date(panel, None, {n: "double" for n in names})
-    scores = transform_pca(daily, fit_pca(daily, n_components, fit_dates))
+    scores = transform_pca(daily, fit or fit_pca(daily, n_components, fit_dates))
     return _left_by_date(panel, scores, _types(scores))
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.calendar import by_symbol, so_far, whole
-from tickloom.schemas import SYMBOL, scaler_schema
+from tickloom.operators.moments import pivots, range_totals, running
+from tickloom.schemas import DATE, SYMBOL, scaler_schema
+from tickloom.session import staged
 
 
 class NoTrainingRows(ValueError):
@@ -60,7 +61,8 @@ def fit_window_scaler(
     ``sample`` uses n-1 and floors the variance at ``eps``; otherwise the population
     deviation is taken and 0 becomes 1. The result has one row per feature.
     """
-    parts = _symbol_moments(window_weights(marked, lookback), features).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per symbol, written rather than persisted: it outlives lost executors and needs no release
+    parts = staged(_symbol_moments(window_weights(marked, lookback), features), "moments")
     idx = range(len(features))
     first = parts.agg(
         *[F.sum(f"n{i}").alias(f"n{i}") for i in idx],
@@ -68,13 +70,11 @@ def fit_window_scaler(
     ).first()
     count = [first[f"n{i}"] or 0 for i in idx]
     if not any(count):
-        parts.unpersist()
         raise NoTrainingRows("no training window left to fit the scaler on")
     mean = [first[f"s{i}"] / count[i] if count[i] else 0.0 for i in idx]
     spread = parts.agg(
         *[F.sum(F.col(f"v{i}") + F.col(f"n{i}") * F.pow(F.col(f"m{i}") - F.lit(mean[i]), 2)).alias(f"v{i}") for i in idx]
     ).first()
-    parts.unpersist()
     rows = []
     for i, name in enumerate(features):
         if sample:
@@ -85,6 +85,32 @@ def fit_window_scaler(
     return marked.sparkSession.createDataFrame(rows, scaler_schema())
 
 
+def fold_scalers(
+    marked: DataFrame, features: list[str], lookback: int, ranges: DataFrame, start: str = "tr_start", end: str = "tr_end", sample: bool = True, eps: float = 1e-8
+) -> DataFrame:
+    """``(fold, feature, mean, std, n)``: ``fit_window_scaler`` for the accepted labels of every range, from one pass.
+
+    The sums over a label's window are differences of running sums, so they cost the same for every lookback;
+    per label date they become one row, and ranges of label dates are differences again. ``marked`` are the labels
+    of the whole panel, without gaps between a symbol's dates; folds without labels are left out.
+    """
+    at = pivots(marked, features)
+    off = {f"_o{i}": F.col(c).cast("double") - F.lit(at[i]) for i, c in enumerate(features)}
+    rows = marked.withColumns(off)
+    kinds = [(f"{k}{i}", v) for i in range(len(features)) for k, v in (("n", F.col(f"_o{i}").isNotNull().cast("double")), ("s", F.col(f"_o{i}")), ("q", F.col(f"_o{i}") * F.col(f"_o{i}")))]
+    rows = rows.withColumns({f"_{name}": F.sum(F.coalesce(v, F.lit(0.0))).over(so_far()) for name, v in kinds})
+    inside = {name: F.lag(f"_{name}", 1, 0.0).over(by_symbol()) - F.lag(f"_{name}", lookback + 1, 0.0).over(by_symbol()) for name, _ in kinds}
+    daily = rows.withColumns(inside).where("_valid").groupBy(DATE).agg(F.count("*").cast("double").alias("labels"), *[F.sum(name).alias(name) for name, _ in kinds])
+    out = []
+    for row in range_totals(running(daily), ranges, start, end).where("labels > 0").collect():  # one row per fold
+        for i, name in enumerate(features):
+            n, s, q = row[f"n{i}"], row[f"s{i}"], row[f"q{i}"]
+            spread = max(q - s * s / n, 0.0) if n else 0.0
+            std = math.sqrt(max(spread / max(n - 1, 1), eps)) if sample else math.sqrt(spread / max(n, 1)) or 1.0
+            out.append((row["fold"], name, at[i] + s / n if n else 0.0, std, int(n)))
+    return marked.sparkSession.createDataFrame(out, "fold int, feature string, mean double, std double, n long")
+
+
 def scaler_values(scaler: DataFrame) -> dict[str, tuple[float, float]]:
     """Mean and deviation per feature; the table has one row per column, never more."""
     return {r["feature"]: (r["mean"], r["std"]) for r in scaler.collect()}

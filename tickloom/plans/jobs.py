@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.operators.calendar import date_bounds
-from tickloom.plans.scoring import forecaster_scorer, score_as_of
+from tickloom.plans.scoring import forecaster_scorer, quantile_scorer, score_as_of
 from tickloom.plans.training import Forecaster, fit_point, fit_quantile, training_rows
 from tickloom.sources.ingest import read_required
 from tickloom.sources.sinks import write_predictions_csv
@@ -21,6 +21,7 @@ def train(
     start: str | None = None,
     end: str | None = None,
     quantiles: list[float] = [],
+    quantile_method: str = "residual",
     **fit_options,
 ) -> Forecaster:
     """Fits on the labels of the stored ``panel`` within [start, end] (default: all) and saves to ``model``."""
@@ -29,7 +30,7 @@ def train(
     rows, scaler = training_rows(table, lookback, features, horizons, start or first, end or last)
     fc = fit_point(rows, features, horizons, lookback, scaler, **fit_options)
     if quantiles:
-        fit_quantile(fc, rows, quantiles)
+        fit_quantile(fc, rows, quantiles, quantile_method)
     fc.save(spark, model)
     return fc
 
@@ -43,13 +44,18 @@ def predict(
     price_col: str = "open",
     csv: str | None = None,
     table: str | None = None,
+    quantile: float | None = None,
+    symbols: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` best symbols of the stored ``panel`` on ``as_of`` by the kept ``model``, as the prediction table.
 
+    With ``quantile``, forecasts and ranking are that quantile's instead of the point forecast's; ``symbols``
+    restricts the panel to those listed.
     ``csv`` and ``table`` (a Parquet folder that is appended to) name where it is written, if anywhere.
     """
     fc = Forecaster.load(spark, model)
-    out = score_as_of(read_required(spark, panel), forecaster_scorer(fc), fc.features, fc.horizons, as_of, fc.lookback, k, price_col=price_col)
+    scorer = forecaster_scorer(fc) if quantile is None else quantile_scorer(fc, quantile)
+    out = score_as_of(read_required(spark, panel), scorer, fc.features, fc.horizons, as_of, fc.lookback, k, price_col=price_col, symbols=symbols)
     if csv is not None:
         write_predictions_csv(out, csv)
     if table is not None:
