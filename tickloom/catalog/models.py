@@ -18,8 +18,9 @@ from tickloom.plans import jobs as pipeline_jobs
 from tickloom.plans import design, pinball, scoring, tracked, training
 from tickloom.plans.features import build_features, daily_panel
 from tickloom.session import scratch_path, staged
-from tickloom.sources import ingest
+from tickloom.sources import feed, ingest
 from tickloom.streaming import jobs
+from tickloom.streaming import windows as stream_windows
 from tickloom.streaming.windows import stateful_lookback_windows
 
 
@@ -562,6 +563,54 @@ def i2(spark, sf):
     return _sums(spark.read.parquet(out).drop("late_rows"), 3, 2)
 
 
+@query(
+    "i2_late_rows",
+    needs("prices")
+    + """, tops AS (SELECT symbol, max(date) AS top FROM prices WHERE date < DATE '1998-03-01' GROUP BY symbol)
+    SELECT symbol, date FROM prices JOIN tops USING (symbol) WHERE date >= DATE '1998-02-01' AND date <= top""",
+)
+def i2_late(spark, sf):
+    """The second slice repeats a month of the first: its rows up to each symbol's newest are late."""
+    src, out, late, ck = (scratch_path(spark, n) for n in ("late-src", "late-windows", "late-rows", "late-ck"))
+    panel = views.prices(spark, sf).select("symbol", "date", "close", F.lit(True).alias("is_trading_day"), F.lit(0).alias("asset_id"), F.lit(1).alias("ok"))
+    stored = staged(panel, "panel")
+    for part in (stored.where("date < '1998-03-01'"), stored.where("date >= '1998-02-01'")):
+        part.write.mode("append").parquet(src)
+        stream = jobs.read_files(spark, src, stored.schema)
+        _run(stream_windows.write_windows(stream, LOOKBACK, ["close"], ["close"], ["ok"], out, late, ck))
+    return stream_windows.read_batches(spark, late)
+
+
+_ID_FEED = f"SELECT event_id, user_id, event_type, {rs('value')} FROM events"
+
+
+@query("a1_id_feed", _ID_FEED)
+def a1_feed(spark, sf):
+    """Ids in ranges read in parallel, above a mark and from the start."""
+    feed.register(spark)
+    e = f"{sf}/events.parquet"
+    top = views.table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    reader = spark.read.format("id_feed").option("path", e).option("key", "event_id").option("range_rows", 1000)
+    new = reader.option("after", top // 3).load()
+    known = spark.read.format("id_feed").option("path", e).option("key", "event_id").load().where(F.col("event_id") <= top // 3)
+    return tidy(known.unionByName(new).select("event_id", "user_id", "event_type", "value"))
+
+
+@query("i1_id_feed_stream", _ID_FEED)
+def i1_feed(spark, sf):
+    """A stream over ids that is stopped, gets more rows, and goes on; the third run finds nothing new."""
+    feed.register(spark)
+    src, out, ck = (scratch_path(spark, n) for n in ("feed-src", "feed-out", "feed-ck"))
+    e = views.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    top = e.agg(F.max("event_id")).first()[0]
+    for part in (e.where(F.col("event_id") <= top // 2), e.where(F.col("event_id") > top // 2), None):
+        if part is not None:
+            part.write.mode("append").parquet(src)
+        stream = spark.readStream.format("id_feed").option("path", src).option("key", "event_id").option("range_rows", 1000).load()
+        _run(jobs.append_parquet(stream, out, ck))
+    return tidy(spark.read.schema(e.schema).parquet(out))
+
+
 @query(
     "i3_stream_clean",
     f"""SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, {', '.join(rs('value::FLOAT', c) for c in ('open', 'close', 'high', 'low'))},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +101,44 @@ def a4_gaps(spark, sf):
     return tidy(trading_day_flag(ingest.read_staged(spark, path, schema)))
 
 
+@query("d13_checked_append", f"SELECT event_id, {rs('value')} FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)")
+def d13_append(spark, sf):
+    """Two batches that are checked as they are written; the second one holds NaN and stays uncommitted."""
+    schema = T.StructType.fromDDL("event_id long, value double")
+    e = views.table(spark, sf, "events").select("event_id", "value")
+    half = e.agg(F.expr("max(event_id) div 2")).first()[0]
+    path = scratch_path(spark, "checked")
+    ingest.append_staged(spark, lambda mark: e.where(F.col("event_id") <= half), "event_id", path, schema, finite=["value"])
+    bad = e.where(F.col("event_id") > half).withColumn("value", F.when(F.col("event_id") % 7 > 0, F.col("value")).otherwise(F.lit(float("nan"))))
+    try:
+        ingest.append_staged(spark, lambda mark: bad, "event_id", path, schema, finite=["value"])
+    except ValueError:
+        return tidy(ingest.read_staged(spark, path, schema))
+    raise AssertionError("a batch with NaN was committed")
+
+
+@query("a13_stored_bounds", needs("prices") + "SELECT min(date) AS first, max(date) AS last, count(*) AS n FROM prices")
+def a13_stored(spark, sf):
+    """Bounds and rows of a stored panel from the statistics of its files."""
+    path = scratch_path(spark, "panel")
+    clean.cluster_panel(views.prices(spark, sf)).write.parquet(path)
+    return ingest.stored_bounds_table(spark, path)
+
+
+@query(
+    "f1_bucketed_panel",
+    needs("prices")
+    + f"""SELECT symbol, date, {rs('ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY date)', 'logret')}, count(*) OVER (PARTITION BY symbol) AS n FROM prices""",
+)
+def f1_bucketed(spark, sf):
+    """Windows on symbol from a bucketed panel, without an exchange."""
+    path = scratch_path(spark, "bucketed")
+    panel = clean.store_bucketed(views.prices(spark, sf), f"panel_{path[-32:]}", 8, path)
+    w = Window.partitionBy("symbol").orderBy("date")
+    log = F.ln("close")
+    return tidy(panel.select("symbol", "date", (log - F.lag(log).over(w)).alias("logret"), F.count("*").over(Window.partitionBy("symbol")).alias("n")))
+
+
 @query("a5_read_required", f"SELECT o_orderkey, {rs('o_totalprice')}, o_orderpriority FROM orders")
 def a5(spark, sf):
     schema = T.StructType.fromDDL("o_orderkey long, o_totalprice double, o_orderpriority string")

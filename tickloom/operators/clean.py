@@ -138,8 +138,21 @@ def cluster_panel(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartitionByRange(*args).sortWithinPartitions(SYMBOL, DATE)
 
 
+def store_bucketed(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Panel kept as ``table``, dealt into ``buckets`` by symbol and sorted by (symbol, date); the table, read again.
+
+    Windows, aggregates and joins on symbol start from it without an exchange. A bucket is one file; a symbol has at
+    most as many rows as the calendar has days, so buckets differ by what their symbols differ in number.
+    """
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, SYMBOL)
+    writer = dealt.write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(buckets, SYMBOL).sortBy(SYMBOL, DATE)
+    (writer.option("path", path) if path is not None else writer).saveAsTable(table)
+    return spark.table(table)
+
+
 __all__ = [
     "PRICE_COLS", "align_to_schema", "cluster_panel", "drop_null_keys", "ensure_columns", "feature_columns",
     "feature_roles", "finite_or_zero", "lenient_cast", "null_to_zero", "prefix_columns", "prep_crypto",
-    "prep_stock", "select_features", "tag_source",
+    "prep_stock", "select_features", "store_bucketed", "tag_source",
 ]

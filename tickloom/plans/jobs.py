@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.operators.calendar import date_bounds
 from tickloom.plans.scoring import forecaster_scorer, quantile_scorer, score_as_of
 from tickloom.plans.training import Forecaster, fit_point, fit_quantile, training_rows
-from tickloom.sources.ingest import read_required
+from tickloom.sources.ingest import read_required, stored_bounds
 from tickloom.sources.sinks import write_predictions_csv
 
 
@@ -26,7 +25,7 @@ def train(
 ) -> Forecaster:
     """Fits on the labels of the stored ``panel`` within [start, end] (default: all) and saves to ``model``."""
     table = read_required(spark, panel)
-    first, last = date_bounds(table)
+    first, last, _ = (start, end, 0) if start and end else stored_bounds(spark, panel)
     rows, scaler = training_rows(table, lookback, features, horizons, start or first, end or last)
     fc = fit_point(rows, features, horizons, lookback, scaler, **fit_options)
     if quantiles:

@@ -6,11 +6,12 @@ import logging
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tickloom.functions.scalars import is_finite
 from tickloom.operators.clean import align_to_schema
 from tickloom.schemas import DATE
 
@@ -72,32 +73,71 @@ def read_staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(numbered).parquet(path).where(F.col("batch") <= committed[0]).drop("batch")
 
 
+def observed_write(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write ``df`` and return the metrics of the rows that were written, all in one job."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return seen.get
+
+
 def append_staged(
-    spark: SparkSession, source: Callable[[object], DataFrame], key: str, path: str, schema: T.StructType
+    spark: SparkSession, source: Callable[[object], DataFrame], key: str, path: str, schema: T.StructType, finite: list[str] = []
 ) -> int:
     """Append what is newer than the stored mark; returns the number of rows written.
 
-    ``source`` maps the mark to a DataFrame. The upper bound is fixed before writing and the
-    batch folder is numbered after the last commit, so a run that dies between data and mark
-    is repeated into the same folder instead of duplicating rows. Missing numbers stay missing.
-    Rows without a key can never be told from staged ones; they are left out, counted and logged.
+    ``source`` maps the mark to a DataFrame, which is evaluated once: the new mark, the counts and the check are
+    observed on the rows as they are written. The batch folder is numbered after the last commit, so a run
+    that dies between data and mark is repeated into the same folder instead of duplicating rows. Missing
+    numbers stay missing. Rows without a key can never be told from staged ones; they are left out, counted and
+    logged. If a column of ``finite`` (names of ``schema``) holds a missing or infinite number, the batch stays
+    uncommitted, as if it had not been written, and ``ValueError`` names the columns.
     """
     committed = read_mark(spark, path)
     seq, after = (committed[0] + 1, committed[1]) if committed else (0, None)
     fresh = source(after)
     if after is not None:
         after = spark.range(1).select(F.lit(after).cast(fresh.schema[key].dataType)).first()[0]
-    upto = high_water_mark(fresh, key, after)
-    if upto is None or upto == after:
-        return 0
+        # still a filter of the scan; rows without a key pass so that they are counted
+        fresh = fresh.where(F.col(key).isNull() | (F.col(key) > F.lit(after)))
+    aligned = align_to_schema(fresh.withColumn("_key", F.col(key)), T.StructType([*schema.fields, T.StructField("_key", fresh.schema[key].dataType)]), fill=False)
+    marked = F.col("_key").isNotNull()
+    bad = {f"bad_{i}": F.count_if(marked & ~is_finite(c)) for i, c in enumerate(finite)}
     target = os.path.join(path, f"batch={seq:08d}")
-    rows = align_to_schema(ingest_incremental(fresh, key, after, upto), schema, fill=False)
-    if keyless := fresh.where(F.col(key).isNull()).count():
-        log.warning("%d rows without %s are not staged to %s", keyless, key, path)
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(target)
-    mark = spark.range(1).select(F.lit(str(upto)).alias("mark"), F.lit(seq).cast("long").alias("seq"))
+    seen = Observation()
+    rows = aligned.observe(seen, F.max("_key").alias("top"), F.count_if(marked).alias("n"), F.count_if(~marked).alias("keyless"), *[c.alias(n) for n, c in bad.items()])
+    rows.where(marked).drop("_key").write.mode("overwrite").option("compression", "zstd").parquet(target)
+    told = seen.get
+    if told["keyless"]:
+        log.warning("%d rows without %s are not staged to %s", told["keyless"], key, path)
+    if not told["n"]:
+        return 0
+    if wrong := {c: told[f"bad_{i}"] for i, c in enumerate(finite) if told[f"bad_{i}"]}:
+        raise ValueError(f"non-finite values, batch {seq} of {path} stays uncommitted: {wrong}")
+    mark = spark.range(1).select(F.lit(str(told["top"])).alias("mark"), F.lit(seq).cast("long").alias("seq"))
     mark.write.mode("append").parquet(_marks_path(path))
-    return spark.read.schema(schema).parquet(target).count()
+    return told["n"]
+
+
+def write_finite(df: DataFrame, path: str, cols: list[str]) -> int:
+    """Write a table whose columns must hold finite numbers; returns its rows.
+
+    One job writes and counts. Data go to a folder beside ``path`` and take its place only if the check holds, so
+    readers of ``path`` never meet a bad table; otherwise ``ValueError`` names the columns and their counts.
+    """
+    spark = df.sparkSession
+    pending = f"{path.rstrip('/')}.pending"
+    told = observed_write(df, pending, n=F.count("*"), **{f"bad_{i}": F.count_if(~is_finite(c)) for i, c in enumerate(cols)})
+    jvm = spark._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(pending)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if wrong := {c: told[f"bad_{i}"] for i, c in enumerate(cols) if told[f"bad_{i}"]}:
+        fs.delete(there, True)
+        raise ValueError(f"non-finite values, {path} is left as it was: {wrong}")
+    if fs.exists(here):
+        fs.delete(here, True)
+    if not fs.rename(there, here):
+        raise OSError(f"{pending} could not take the place of {path}")
+    return told["n"]
 
 
 def read_required(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -143,3 +183,27 @@ def distinct_symbols(df: DataFrame, col: str = "symbol") -> DataFrame:
 def date_bounds_table(df: DataFrame, col: str = DATE) -> DataFrame:
     """One row with the first and last date."""
     return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"))
+
+
+def stored_bounds(spark: SparkSession, path: str, col: str = DATE) -> tuple[object, object, int]:
+    """First and last ``col`` and the rows of a stored Parquet table, from the statistics of its files.
+
+    The aggregate is pushed into the reader, so no column is read: a table of any size costs its footers.
+    """
+    found = stored_bounds_table(spark, path, col).first()
+    return found["first"], found["last"], found["n"]
+
+
+def stored_bounds_table(spark: SparkSession, path: str, col: str = DATE) -> DataFrame:
+    """``first, last, n`` of a stored table as a plan whose scan answers from statistics."""
+    old = spark.conf.get("spark.sql.sources.useV1SourceList")
+    # the aggregate is pushed into the v2 reader only, which is chosen when the table is opened
+    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in old.split(",") if s != "parquet"))
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    try:
+        table = read_required(spark, path)
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", old)
+    told = table.agg(F.min(col).alias("first"), F.max(col).alias("last"), F.count(F.lit(1)).alias("n"))
+    # files without row groups have no statistics, not even a count
+    return told.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
