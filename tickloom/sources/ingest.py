@@ -191,7 +191,7 @@ def stored_bounds(spark: SparkSession, path: str, col: str = DATE) -> tuple[obje
     The aggregate is pushed into the reader, so no column is read: a table of any size costs its footers.
     """
     found = stored_bounds_table(spark, path, col).first()
-    return found["first"], found["last"], found["n"]
+    return found["first"], found["last"], found["n"] or 0
 
 
 def stored_bounds_table(spark: SparkSession, path: str, col: str = DATE) -> DataFrame:
@@ -205,5 +205,5 @@ def stored_bounds_table(spark: SparkSession, path: str, col: str = DATE) -> Data
     finally:
         spark.conf.set("spark.sql.sources.useV1SourceList", old)
     told = table.agg(F.min(col).alias("first"), F.max(col).alias("last"), F.count(F.lit(1)).alias("n"))
-    # files without row groups have no statistics, not even a count
-    return told.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    # files without row groups have no statistics, and the pushed count is null against its own type
+    return told.withColumn("n", F.greatest("n", F.lit(0).cast("long")))
