@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -284,6 +285,17 @@ def j5(spark, sf):
     return tidy(scoring.score_as_of(panel, scoring.pandas_scorer(model, 4), ["open", "close"], _H4, _AS_OF, LOOKBACK, 25))
 
 
+@query("j5_predict_batch", _FETCHED + _table_sql("SELECT * FROM scored", _AS_OF))
+def j5_batch(spark, sf):
+    """The same scores from a model that workers load once and feed with arrays."""
+
+    def make():
+        return lambda x: (x[:, -1, 1].astype("float64") / x[:, -1, 0] - 1)[:, None] * np.arange(1, 5) / 10
+
+    panel = views.prices(spark, sf).select("symbol", "date", "open", "close")
+    return tidy(scoring.score_as_of(panel, scoring.batch_scorer(make, LOOKBACK, 2, 4), ["open", "close"], _H4, _AS_OF, LOOKBACK, 25))
+
+
 @query("k9_score_as_of_fitted")
 def k9b(spark, sf):
     panel = staged(daily_panel(views.ticks(spark, sf), views.TICK_ORDER), "panel")

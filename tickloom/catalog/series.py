@@ -224,21 +224,38 @@ def e15(spark, sf):
     return _sums(w, 3, 2)
 
 
-@query(
-    "e16_label_range_windows",
+_RANGE_SQL = (
     needs("targeted")
     + f"""SELECT symbol, label_date, CAST({LOOKBACK} AS INTEGER) AS n_steps, CAST({LOOKBACK} AS INTEGER) AS n_ok, asset_id,
     {', '.join(f'sum_{i}, last_{i}' for i in range(3))}, {', '.join(f'y_{i}' for i in range(2))} FROM (
     SELECT symbol, date AS label_date, rn, asset_id, {_win(_FRAME)}, {_Y}, {_HAVE} AS have
     FROM (SELECT * REPLACE (coalesce(logret_1d, lead(logret_1d, 1) OVER ({_W})) AS logret_1d) FROM targeted))
-    WHERE rn > {LOOKBACK} AND have""",
+    WHERE rn > {LOOKBACK} AND have"""
 )
+
+
+@query("e16_label_range_windows", _RANGE_SQL)
 def e16(spark, sf):
     lo, hi = calendar.date_bounds(views.ticks(spark, sf))
     w = windows.label_range_windows(_features(spark, sf), LOOKBACK, _FEATS, HORIZONS, str(lo), str(hi))
     return _sums(w, 3, 2)
 
 
+@query("e14_windows_in_ranges", _window_sql("logret_1d IS NOT NULL"))
+def e14_ranges(spark, sf):
+    """The windows of e14 with every symbol's history in ranges of 512 rows."""
+    w = windows.lookback_windows(_features(spark, sf), LOOKBACK, _FEATS, _TC, _MC, mode="finite", span_rows=512)
+    return _sums(w, 3, 2)
+
+
+@query("e16_windows_in_ranges", _RANGE_SQL)
+def e16_ranges(spark, sf):
+    """The windows of e16 with every symbol's history in ranges of 512 rows."""
+    lo, hi = calendar.date_bounds(views.ticks(spark, sf))
+    w = windows.label_range_windows(_features(spark, sf), LOOKBACK, _FEATS, HORIZONS, str(lo), str(hi), span_rows=512)
+    return _sums(w, 3, 2)
+
+
 @query(
     "e17_inference_window",
     needs("prices")

@@ -68,14 +68,20 @@ def lookback_windows(
     masks: list[str],
     mode: str = "finite",
     require_all: bool = True,
+    span_rows: int | None = None,
 ) -> DataFrame:
     """``(symbol, label_date, x, m, asset_id, y)`` for each accepted label row t.
 
     ``x`` holds the features of rows t-lookback .. t-1, ``m`` their validity (all features
     finite, or trading day), ``asset_id`` that of row t-1. Arrays have ``lookback`` entries,
-    whatever the length of the history.
+    whatever the length of the history. With ``span_rows`` a symbol's history is dealt out in ranges of so
+    many rows: one more exchange, for histories that are too long for a task.
     """
     marked = valid_labels(panel, lookback, _step_ok(features, mode), targets, masks, require_all)
+    y = F.array(*[F.col(c).cast("float") for c in targets])
+    if span_rows is not None:
+        cut = _cut_windows(marked, lookback, span_rows, _row(features), F.col("_ok"), F.col("asset_id"), y)
+        return cut.select(SYMBOL, "label_date", "x", "m", F.get("_ids", F.lit(-1) + F.size("_ids")).alias("asset_id"), "y")
     rows = marked.withColumns(
         {
             "x": F.collect_list(_row(features)).over(_before(lookback)),
@@ -83,14 +89,36 @@ def lookback_windows(
             "_id": F.lag("asset_id", 1).over(by_symbol()),
         }
     )
-    return rows.where("_valid").select(
-        SYMBOL,
-        F.col(DATE).alias("label_date"),
-        "x",
-        "m",
-        F.col("_id").alias("asset_id"),
-        F.array(*[F.col(c).cast("float") for c in targets]).alias("y"),
-    )
+    return rows.where("_valid").select(SYMBOL, F.col(DATE).alias("label_date"), "x", "m", F.col("_id").alias("asset_id"), y.alias("y"))
+
+
+def _cut_windows(marked: DataFrame, lookback: int, span_rows: int, row: Column, ok: Column, asset: Column, y: Column) -> DataFrame:
+    """``symbol, label_date, x, m, _ids, own, y`` for every ``_valid`` row: arrays over the ``lookback`` rows before it.
+
+    A symbol's history is cut into ranges of rows that also get the last ``lookback`` rows of the range before. Ranges
+    are dealt out by (symbol, range), so a long history is many tasks, and a window's arrays are slices of its
+    range's, which are made for accepted labels alone.
+    """
+    span = max(span_rows, lookback)
+    numbered = marked.withColumn("_at", (F.row_number().over(by_symbol()) - 1).cast("long"))
+    of = F.expr(f"_at div {span}")
+    halo = F.col("_at") % span >= span - lookback
+    step = F.struct("_at", F.col("_valid").alias("v"), F.col(DATE).alias("d"), row.alias("x"), ok.alias("m"), asset.alias("i"), y.alias("y"))
+    copies = numbered.select(SYMBOL, F.explode(F.when(halo, F.array(of, of + 1)).otherwise(F.array(of))).alias("_range"), step.alias("_step"))
+    ranges = copies.repartition(SYMBOL, "_range").groupBy(SYMBOL, "_range").agg(F.sort_array(F.collect_list("_step")).alias("_steps"))
+
+    def part(name: str):
+        return lambda s: s[name]
+
+    whole = ranges.withColumns({f"_{c}": F.transform("_steps", part(c)) for c in "xmi"})
+    places = F.transform("_steps", lambda s, k: F.when(s["v"] & (F.floor(s["_at"] / span) == F.col("_range")), k))
+
+    def window(k: Column) -> Column:
+        label = F.get("_steps", k)
+        before = [F.slice(f"_{c}", k - lookback + 1, lookback) for c in "xmi"]
+        return F.struct(label["d"].alias("label_date"), before[0].alias("x"), before[1].alias("m"), before[2].alias("_ids"), label["i"].alias("own"), label["y"].alias("y"))
+
+    return whole.select(SYMBOL, F.inline(F.transform(F.filter(places, lambda k: k.isNotNull()), window)))
 
 
 def count_samples(
@@ -146,20 +174,16 @@ def label_rows(
 
 
 def label_range_windows(
-    panel: DataFrame, lookback: int, features: list[str], horizons: list[int], start: str, end: str
+    panel: DataFrame, lookback: int, features: list[str], horizons: list[int], start: str, end: str, span_rows: int | None = None
 ) -> DataFrame:
-    """``(symbol, label_date, x, m, asset_id, y)`` for labels in [start, end]."""
+    """``(symbol, label_date, x, m, asset_id, y)`` for labels in [start, end]; ``span_rows`` as in ``lookback_windows``."""
     rows = label_rows(panel, lookback, features, horizons, start, end)
+    asset = F.coalesce(F.col("asset_id") if "asset_id" in panel.columns else F.lit(0), F.lit(0))
+    if span_rows is not None:
+        cut = _cut_windows(rows, lookback, span_rows, _row(features), F.lit(True), asset, F.col("y"))
+        return cut.select(SYMBOL, "label_date", "x", "m", F.col("own").alias("asset_id"), "y")
     rows = rows.withColumn("x", F.collect_list(_row(features)).over(_before(lookback)))
-    asset = F.col("asset_id") if "asset_id" in panel.columns else F.lit(0)
-    return rows.where("_valid").select(
-        SYMBOL,
-        F.col(DATE).alias("label_date"),
-        "x",
-        F.array_repeat(F.lit(True), lookback).alias("m"),
-        F.coalesce(asset, F.lit(0)).alias("asset_id"),
-        "y",
-    )
+    return rows.where("_valid").select(SYMBOL, F.col(DATE).alias("label_date"), "x", F.array_repeat(F.lit(True), lookback).alias("m"), asset.alias("asset_id"), "y")
 
 
 def inference_window(
