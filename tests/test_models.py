@@ -50,11 +50,15 @@ def test_quantiles_of_hot_group_equal_numpy(spark):
     hot, cold = rng.normal(size=5000).round(2), rng.normal(size=7)
     rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("cold", float("nan")), ("cold", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    out = exact_quantiles(df, ["k"], ["v"], [0.0, 0.1, 0.5, 0.9, 1.0])
-    got = {(r["k"], r["prob"]): r["value"] for r in out.collect()}
-    for k, data in (("hot", hot), ("cold", cold)):
-        for p in (0.0, 0.1, 0.5, 0.9, 1.0):
-            assert got[(k, p)] == pytest.approx(np.quantile(data, p))
+    # one way for all groups, the other one, and both
+    for most in (10**6, 0, 100):
+        out = exact_quantiles(df, ["k"], ["v"], [0.0, 0.1, 0.5, 0.9, 1.0], most)
+        got = {(r["k"], r["prob"]): r["value"] for r in out.collect()}
+        assert len(got) == out.count() == 10
+        for k, data in (("hot", hot), ("cold", cold)):
+            for p in (0.0, 0.1, 0.5, 0.9, 1.0):
+                assert got[(k, p)] == pytest.approx(np.quantile(data, p))
+    assert exact_quantiles(df.where("k IS NULL"), ["k"], ["v"], [0.5]).count() == 0
     # values are dealt out by group and partition, never by group alone
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_part" in plan and "BroadcastNestedLoop" not in plan

@@ -1,9 +1,10 @@
 """Exact group quantiles in which no group is ever one task's alone.
 
-Values are reduced to ``(group, value, count)`` with map-side partials, laid out in (group, value)
-order by range, and numbered: rows before a range partition come from one count per group and
-partition, rows inside it from a running sum. The wanted ranks are then single rows. A group may
-span any number of partitions; groups of all sizes take the same way.
+Values are reduced to ``(group, value, count)`` with map-side partials. A group with at most
+``GROUP_VALUES`` different values is one entry of an exact percentile aggregate. Larger groups are laid out
+in (group, value) order by range and numbered: rows before a range partition come from one count per group
+and partition, rows inside it from a running sum, and only partitions that hold a wanted rank are
+sorted. Such a group may span any number of partitions. Both ways interpolate alike.
 """
 
 from __future__ import annotations
@@ -22,26 +23,52 @@ def _long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return long.where(F.col("_v").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+#: Different values up to which a group is one task's: a few megabytes.
+GROUP_VALUES = 50_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float], group_values: int = GROUP_VALUES) -> DataFrame:
     """Linear-interpolated quantiles: ``(*keys, measure, prob, value)``.
 
     Groups are (keys, measure). Missing and non-finite values and rows without key are left out.
     """
     group = [*keys, "_measure"]
     counted = staged(_long(df.dropna(subset=keys), keys, cols).groupBy(*group, "_v").agg(F.count("*").alias("_c")), "counted")
+    large = staged(counted.groupBy(*group).agg(F.count("*").alias("_d")).where(F.col("_d") > group_values).select(*group), "large-groups")
+    if large.isEmpty():
+        return _of_groups(counted, keys, probs)
+    small = _of_groups(counted.join(large, group, "left_anti"), keys, probs)
+    return small.unionByName(_of_ranges(counted.join(large, group, "left_semi"), keys, probs))
+
+
+def _of_groups(counted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of groups that fit in a task each."""
+    levels = [float(p) for p in probs]
+    found = counted.groupBy(*keys, "_measure").agg(F.percentile("_v", levels, F.col("_c")).alias("_q"))
+    each = F.transform(F.col("_q"), lambda v, i: F.struct(F.get(F.array(*[F.lit(p) for p in levels]), i).alias("prob"), v.alias("value")))
+    return found.select(*keys, F.col("_measure").alias("measure"), F.inline(each))
+
+
+def _of_ranges(counted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of groups of any size, dealt out by group and value."""
+    group = [*keys, "_measure"]
     # written with its partition number, which both counts below have to agree on
     ranged = staged(counted.repartitionByRange(*group, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy(*group, "_part").agg(F.sum("_c").alias("_rows"))
     # one row per group and partition that it reaches into
     of_group = Window.partitionBy(*group)
     before = F.sum("_rows").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = staged(sizes.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(of_group).alias("_n")), "starts")
-
+    starts = sizes.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(of_group).alias("_n"), "_rows")
     ranks = [F.struct(F.lit(float(p)).alias("prob"), ((F.col("_n") - 1) * float(p)).alias("at")) for p in probs]
+
+    def here(q):
+        return (F.ceil(q["at"]) >= F.col("_before")) & (F.floor(q["at"]) < F.col("_before") + F.col("_rows"))
+
+    wanted = staged(starts.withColumn("_ranks", F.filter(F.array(*ranks), here)).where(F.size("_ranks") > 0).drop("_rows"), "starts")
     running = F.sum("_c").over(Window.partitionBy("_part", *group).orderBy("_v"))
-    placed = ranged.join(starts, [*group, "_part"]).withColumn("_last", F.col("_before") + running - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    placed = ranged.join(wanted, [*group, "_part"]).withColumn("_last", F.col("_before") + running - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
     # a value is kept for each rank it covers: the one below and the one above a quantile's place
-    each = placed.withColumn("_q", F.explode(F.array(*ranks))).select(*group, "_v", "_first", "_last", "_q.prob", "_q.at")
+    each = placed.withColumn("_q", F.explode("_ranks")).select(*group, "_v", "_first", "_last", "_q.prob", "_q.at")
     covers = lambda rank: (F.col("_first") <= rank) & (rank <= F.col("_last"))
     low, high = covers(F.floor("at")), covers(F.ceil("at"))
     found = each.where(low | high).groupBy(*group, "prob").agg(F.max(F.when(low, F.col("_v"))).alias("_a"), F.max(F.when(high, F.col("_v"))).alias("_b"), F.first("at").alias("_at"))
