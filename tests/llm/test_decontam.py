@@ -64,3 +64,15 @@ def test_matches_plain_version_on_the_tables(spark, sf):
                 if covered >= decontam.COVERAGE * len(item):
                     want.add((d["doc_id"], k, covered))
     assert {(r["doc_id"], r["item_id"], r["covered"]) for r in decontam.leak_digest(docs, bench).collect()} == want and want
+
+
+def test_repeated_words_take_little_time():
+    import time
+
+    begin = time.perf_counter()
+    assert decontam.tile(["a"] * 2000, ["a"] * 20_000) == [(0, 0, 2000)]
+    found = decontam.tile(["a", "b"] * 1000, ["b", "a"] * 10_000)
+    assert found == [(0, 1, 2000)]
+    found = decontam.tile(["a"] * 2000, (["a"] * 150 + ["x"]) * 130)
+    assert sum(n for _, _, n in found) == 2000 and [n for _, _, n in found][:13] == [150] * 13
+    assert time.perf_counter() - begin < 4

@@ -58,29 +58,51 @@ def tile(item: list, doc: list, least: int = SEED) -> list[tuple[int, int, int]]
     least = max(1, min(least, len(item)))
     item_used, doc_used = [False] * len(item), [False] * len(doc)
 
-    def common(size: int) -> list[tuple[int, int]]:
-        """Equal unmarked runs of ``size`` words: looked up by hash, then compared."""
+    def places(size: int) -> dict[int, list[int]]:
+        """Unmarked runs of the document by hash, in order."""
         at: dict[int, list[int]] = {}
         for j, h in enumerate(_hashes(doc, doc_used, size)):
             if h is not None:
                 at.setdefault(h, []).append(j)
-        return [(i, j) for i, h in enumerate(_hashes(item, item_used, size)) if h is not None for j in at.get(h, ()) if item[i : i + size] == doc[j : j + size]]
+        return at
+
+    def shared(size: int) -> bool:
+        """Whether some unmarked run of ``size`` words is common: looked up by hash, then compared."""
+        at = places(size)
+        return any(item[i : i + size] == doc[j : j + size] for i, h in enumerate(_hashes(item, item_used, size)) if h is not None for j in at.get(h, ()))
+
+    def mark(size: int) -> None:
+        """Tiles of the greatest common length; places that are marked on the way are passed over for good."""
+        at = places(size)
+        first = dict.fromkeys(at, 0)
+        for i, h in list(enumerate(_hashes(item, item_used, size))):
+            # what is marked by now is as long as a run, so it holds one of the run's ends
+            if h not in at or item_used[i] or item_used[i + size - 1]:
+                continue
+            options = at[h]
+            for n in range(first[h], len(options)):
+                j = options[n]
+                if doc_used[j] or doc_used[j + size - 1]:
+                    first[h] += n == first[h]
+                elif item[i : i + size] == doc[j : j + size]:
+                    tiles.append((i, j, size))
+                    item_used[i : i + size] = doc_used[j : j + size] = [True] * size
+                    break
 
     tiles, reach = [], min(len(item), len(doc))
     while reach >= least:
         # a common run of some length holds one of every smaller length, so the longest is found by halving
-        low, size, found = least - 1, reach, []
+        low, size = least - 1, reach
         while low < size:
             middle = (low + size + 1) // 2
-            if pairs := common(middle):
-                low, found = middle, pairs
+            if shared(middle):
+                low = middle
             else:
                 size = middle - 1
-        for i, j in found:
-            if not any(item_used[i : i + low]) and not any(doc_used[j : j + low]):
-                tiles.append((i, j, low))
-                item_used[i : i + low] = doc_used[j : j + low] = [True] * low
-        reach = low - 1 if found else 0
+        if low < least:
+            break
+        mark(low)
+        reach = low - 1
     return tiles
 
 
