@@ -28,7 +28,9 @@ def odd_docs(spark, odd_texts):
     """The odd texts with a null id, a repeated id, null sources, and columns that clash with results."""
     rows = [(i if i != 4 else None, t, ["en", None, "de"][i % 3], None if i % 7 == 0 else f"s{i % 2}", len(t) if t else None, "x", 5) for i, t in enumerate(odd_texts)]
     rows += [rows[5], rows[8]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words long").repartition(3).persist()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words long").repartition(3).persist()
+    yield docs
+    docs.unpersist()
 
 
 @pytest.fixture(scope="session")

@@ -12,7 +12,9 @@ from tickloom.llm import warc
 def pages(spark):
     long, other = "<p>" + "é" * 600, "y" * 1000
     rows = [(1, "http://a/x", long), (2, "http://a/y", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "a b\r\nWARC-Type: evil", other), (7, "u", None), (None, "u", other), (8, "u", "x" * 999), (9, "u", "x" * 999), (3, None, long)]
-    return spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string").repartition(3).persist()
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string").repartition(3).persist()
+    yield frame
+    frame.unpersist()
 
 
 def test_digest_matches_plain_version(pages):

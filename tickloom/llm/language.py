@@ -28,8 +28,8 @@ from tickloom.session import staged
 BUCKETS = 1 << 14
 #: Labels that are language codes; everything else is no label.
 CODE = "^[a-z]{2,3}$"
-#: Most languages a model may have (the number of two-letter codes).
-MAX_LANGUAGES = 184
+#: Languages scored at a time.
+LANGUAGE_BLOCK = 128
 #: Rows that a domain's or the corpus's languages count for in the prior of a host or domain.
 HOST_STRENGTH = 8.0
 DOMAIN_STRENGTH = 16.0
@@ -38,12 +38,47 @@ EVIDENCE_PRIOR = 1.0
 #: Overlapping trigrams see each byte three times.
 TEMPER = 1 / 3
 
-_MARKUP = re.compile(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>")
+_RAW = re.compile(r"(?i)<(script|style)\b")
+_RAW_END = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>")}
 
 
 def plain_text(text: str) -> str:
-    """Text without markup: scripts, styles, comments and tags become blanks."""
-    return _MARKUP.sub(" ", text) if "<" in text else text
+    """Text without markup: scripts, styles, comments and tags become blanks.
+
+    One walk from "<" to "<". What closes none of the openers behind some place is looked for once, so the walk
+    takes time in proportion to the text even where nothing is closed; an opener that is not closed is a tag.
+    """
+    out, at, absent = [], 0, set()
+    lt = text.find("<")
+    while lt >= 0:
+        end = -1
+        if text.startswith("<!--", lt):
+            if "-->" not in absent:
+                found = text.find("-->", lt + 4)
+                end = found + 3 if found >= 0 else -1
+                if end < 0:
+                    absent.add("-->")
+        elif (raw := _RAW.match(text, lt)) and (name := raw[1].lower()) not in absent:
+            found = _RAW_END[name].search(text, raw.end())
+            end = found.end() if found else -1
+            if end < 0:
+                absent.add(name)
+        if end < 0 and ">" not in absent:
+            end = text.find(">", lt) + 1 or -1
+            if end < 0:
+                absent.add(">")
+        if end < 0:
+            break
+        out += [text[at:lt], " "]
+        at = end
+        lt = text.find("<", at)
+    return "".join([*out, text[at:]])
+
+
+def label_code(label: Column) -> Column:
+    """The language code of a label: lower case, without what follows a hyphen or underscore; null if that is none."""
+    code = F.lower(F.trim(F.split(label, "[-_]", 2)[0]))
+    return F.when(code.rlike(CODE), code)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -68,7 +103,7 @@ def trigram_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": n[at]})
 
-    rows = docs.where(F.col(label).rlike(CODE)).select(text, label)
+    rows = docs.select(text, label_code(F.col(label)).alias("code")).where(F.col("code").isNotNull())
     return rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -84,21 +119,27 @@ class Model:
             return [0.0] * len(self.languages)
         n = np.bincount(trigrams(plain_text(text)), minlength=BUCKETS)
         at = np.flatnonzero(n)
-        return (TEMPER * (self.weights[:, at] @ n[at])).tolist()
+        blocks = [self.weights[i : i + LANGUAGE_BLOCK, at] @ n[at] for i in range(0, len(self.weights), LANGUAGE_BLOCK)]
+        return (TEMPER * np.concatenate(blocks)).tolist()
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
-    """Model of all labelled rows; without labels it has no languages and every result is null."""
+    """Model of all labelled rows, with every language that occurs; without labels it has none and every result is null.
+
+    A language is 64 KB of weights; how many there can be is bounded by the codes of two and three letters.
+    """
     counts = staged(trigram_counts(docs, text, label), "trigrams")
-    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # at most BUCKETS rows per language
-    table = counts.toPandas()
-    n = np.zeros((len(languages), BUCKETS))
-    n[table["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
-    smooth = n + 0.5
-    return Model(languages, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32))
+    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    weights = np.zeros((len(languages), BUCKETS), np.float32)
+    for i in range(0, len(languages), LANGUAGE_BLOCK):
+        # at most BUCKETS rows per language
+        some = languages[i : i + LANGUAGE_BLOCK]
+        table = counts.where(F.col("lang").isin(some)).toPandas()
+        n = np.zeros((len(some), BUCKETS))
+        n[table["lang"].map({x: k for k, x in enumerate(some)}).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
+        smooth = n + 0.5
+        weights[i : i + len(some)] = np.log(smooth / smooth.sum(1, keepdims=True))
+    return Model(languages, weights)
 
 
 def address_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -113,7 +154,7 @@ def address_parts(url: Column) -> tuple[Column, Column, Column]:
 
 def declared_language(html: Column) -> Column:
     """The two- or three-letter code that the html element declares, null if none."""
-    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^<>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     return F.when(found != "", found)
 
 
@@ -195,13 +236,13 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def document_rows(docs: DataFrame) -> DataFrame:
     docs = fields(docs, doc_id="long", text="string", lang="string", source="string")
     none = F.lit(None).cast("string")
-    return docs.select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.when(F.col("lang").rlike(CODE), F.col("lang")).alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    return docs.select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), "text", label_code(F.col("lang")).alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
 
 
 def language_digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Per document and page: kind, doc_id (null for pages), page_id (null for documents), lang, probability, text_lang.
 
-    The text models come from all documents with a language code for a label. Documents declare that
+    The text models come from all documents with a language code for a label, in any case and with or without a region. Documents declare that
     label and have their source for a host; pages declare what their markup says and have an address.
     Empty tables add no rows; without any label all languages are null. Other columns are ignored.
     """
