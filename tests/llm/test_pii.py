@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import pii
 from tickloom.llm.tagger import KINDS, LABELS, Tagger
@@ -119,3 +120,10 @@ def test_forms_of_masked_addresses():
     texts = {"x jane [dot] doe [at] uni [dot] de y": "jane [dot] doe [at] uni [dot] de", "look at example.com": None, "we met at noon": None, "JOE AT HOST DOT COM": "JOE AT HOST DOT COM", "[at] host [dot] de": None}
     for text, want in texts.items():
         assert [text[a:b] for a, b in pii.masked_addresses(text)] == ([want] if want else []), text
+
+
+def test_sample_is_as_large_where_anchors_are_rare(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_DOCS", 5)
+    # one row in a hundred can be sampled
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("call "), "id")).otherwise(F.lit("no digits here")).alias("text"))
+    assert pii.sample_contexts(docs, "doc_id", "text").count() == 5 * 2

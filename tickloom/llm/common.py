@@ -34,7 +34,7 @@ def fields(df: DataFrame, **types: str) -> DataFrame:
 def sample_keys(rows: DataFrame, key: str, n: int, total: int, spare: int) -> list:
     """Up to ``n`` keys of ``rows`` in the order of a hash, for samples whose size is a documented bound.
 
-    ``total`` is the size of the whole table: it thins the rows by another hash to about ``spare * n``
+    ``total`` is the number of ``rows``: it thins them by another hash to about ``spare * n``
     before they are ordered, so that what tasks send does not grow with their number.
     """
     thin = max(1, total // (spare * n))

@@ -174,9 +174,10 @@ def training_windows(contexts: list[str], n: int = GENERATED, seed: int = 5) ->
 def sample_contexts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``c``: stretches around anchors, and one plain stretch, of ``TRAIN_DOCS`` documents in the order of a hash of the key.
 
-    The sample is bounded by ``TRAIN_DOCS`` and ``WINDOWS_PER_DOC``.
+    The sample is bounded by ``TRAIN_DOCS`` and ``WINDOWS_PER_DOC``; it is as large however rare anchors are.
     """
-    ids = sample_keys(docs.where(F.col(text).rlike("[0-9@]")), key, TRAIN_DOCS, docs.count(), 64)
+    eligible = docs.where(F.col(text).rlike("[0-9@]"))
+    ids = sample_keys(eligible, key, TRAIN_DOCS, eligible.count(), 64)
 
     def cut(batches):
         for batch in batches:
