@@ -215,3 +215,13 @@ def test_folds_cost_no_further_pass(spark, tmp_path):
     plan = moments.range_totals(totals, ranges, "tr_start", "tr_end")._jdf.queryExecution().executedPlan().toString()
     assert "marked" not in plan and "NestedLoop" not in plan.replace("BroadcastNestedLoopJoin BuildRight, Inner", "")
     assert scaler_values(fit_window_scaler(marked, ["x"], 4))["x"][1] > 0
+
+
+def test_horizons_in_trading_days_have_their_own_labels(spark):
+    summary = ["last_x"]
+    fc = training.Forecaster(["x"], [5, 21, 7], 3, FLAT, chosen=summary, linear=[[0.0, 1.0]] * 3, residual_quantiles={(h, 0.9): 0.5 for h in (5, 21, 7)})
+    panel = planted(spark, 20, 1)
+    assert [c for c in scoring.score_point(panel, fc, trading=True).columns if c.endswith("logret")] == ["pred_1w_logret", "pred_1m_logret", "pred_7d_logret"]
+    assert [c for c in scoring.score_point(panel, fc).columns if c.endswith("logret")] == ["pred_5d_logret", "pred_21d_logret", "pred_1w_logret"]
+    row = scoring.score_quantile(panel, fc, [0.9], trading=True).first()
+    assert row["pred_1m_p90_logret"] == pytest.approx(scoring.score_point(panel, fc).first()["pred_21d_logret"] + 0.5)

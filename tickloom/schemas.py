@@ -36,6 +36,9 @@ CURRENCIES = (
 # Horizon labels and their calendar-day offsets.
 HORIZON_DAYS = {"1w": 7, "1m": 30, "6m": 182, "1y": 365}
 
+# The same labels for horizons in trading days.
+TRADING_DAYS = {"1w": 5, "1m": 21, "6m": 126, "1y": 252}
+
 
 def _table(keys: dict[str, T.DataType], measures: list[str], bits: int) -> T.StructType:
     number = T.FloatType() if bits == 32 else T.DoubleType()
