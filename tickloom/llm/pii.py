@@ -363,7 +363,8 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
 def personal_spans(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, and ``base`` and ``added``: arrays of (kind, start, end) in code points.
 
-    Null texts count as empty; repeated rows are read one by one. Texts are read whole.
+    Null texts count as empty; repeated rows are read one by one. Patterns are searched in whole texts, the
+    tagger reads the surroundings of anchors and of masked addresses (see ``stretches``).
     """
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -383,7 +384,11 @@ def personal_spans(docs: DataFrame, tagger: Tagger, keep: list[str], text: str =
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts of pattern spans by kind, base_sha256, spans (pattern and added), n_added."""
+    """Per document: doc_id, counts of pattern spans by kind, base_sha256, spans (pattern and added), n_added.
+
+    Null and empty texts have no spans; texts of any length are searched whole by the patterns; spans that start
+    together stand in the order of their kinds; repeated rows give repeated results, an empty table none.
+    """
     docs = fields(docs, doc_id="long", text="string")
     found = personal_spans(docs, train(docs), ["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
