@@ -1,19 +1,24 @@
 """Benchmark decontamination by greedy string tiling.
 
-Benchmark items are a query set: it is read in blocks of bounded size, and every block meets all
-documents. Windows of ``SEED`` tokens of an item are its seeds; a document's windows are looked up among
-them in one vector operation, which joins documents to items by shared seeds. For each joined pair the
-item's tokens are tiled: the longest common token run that touches no earlier tile is marked, found by
-Karp-Rabin hashes of shrinking length, until no run of ``SEED`` tokens is left. Tiles may come in any
-order, so reordered passages are covered as well as verbatim ones. A document is contaminated by an item
-if tiles cover enough of the item.
+A seed is a window of ``SEED`` tokens of a benchmark item (a shorter item is one seed as a whole). Seeds and
+the windows of documents meet in an equi-join on two hashes of their words, so neither table passes through
+the driver and documents are read once, whatever the size of the benchmark. Before the join, documents drop
+the windows that a bit filter of bounded size shows to be no seed.
+
+Seeds that are frequent in documents need not find an item: those of an item's seeds, most frequent first, whose words
+together are less than the wanted coverage are left out of the join, because a document that reaches the
+coverage holds another one too. So a phrase that all items and many documents share pairs nothing.
+
+For each joined pair the item's tokens are tiled: the longest common token run that touches no earlier tile
+is marked, found by Karp-Rabin hashes of shrinking length, until no run of ``SEED`` tokens is left. Tiles may
+come in any order, so reordered passages are covered as well as verbatim ones. A document is contaminated by
+an item if tiles cover enough of the item.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import bounded_batches, fields, mixed
+from tickloom.llm.common import BASE_A, BASE_B, Powers, Rolling, bounded_batches, fields, fresh
+from tickloom.session import staged
 
 #: Tokens of a seed, and the shortest tile.
 SEED = 5
 #: Part of an item's tokens that tiles have to cover.
 COVERAGE = 0.5
-#: Characters of benchmark text that are held at a time.
-BLOCK_CHARS = 8 << 20
+#: Bits of the filter for each seed, and the most bits it has (32 MB); a fuller filter passes more windows on to the join.
+SEED_BITS = 32
+MOST_BITS = 1 << 28
 
 _TOKEN = re.compile(r"\w+")
 
@@ -40,14 +47,43 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def _runs(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of ``size`` ids."""
-    if len(ids) < size:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(ids) - size + 1, np.uint64)
-    for i in range(size):
-        h = h * np.uint64(_BASE) + ids[i : len(ids) - size + 1 + i].astype(np.uint64) + np.uint64(1)
-    return mixed(h)
+class Windows:
+    """Two hashes of every run of words of a text: equal runs hash alike in all texts."""
+
+    _powers = Powers(BASE_A), Powers(BASE_B)
+
+    def __init__(self, words: list[str]):
+        self.n = len(words)
+        self.data = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+        self.ends = np.flatnonzero(self.data == 32)
+        self.starts = np.r_[0, self.ends[:-1] + 1]
+
+    def hashes(self, size: int, which: int = 0) -> np.ndarray:
+        """Hashes of the runs of ``size`` words, in order of their starts."""
+        return Rolling(self.data, self._powers[which]).of(self.starts[: self.n - size + 1], self.ends[size - 1 :])
+
+    def found(self, size: int, bits: np.ndarray | None = None) -> list[tuple[int, int, list[int]]]:
+        """``(seed, check, places)`` of the distinct runs of ``size`` words that pass the filter, all without one."""
+        if self.n < size:
+            return []
+        seed = self.hashes(size)
+        at = np.arange(len(seed)) if bits is None else np.flatnonzero(passes(bits, seed))
+        if not len(at):
+            return []
+        seed, check = seed[at].view(np.int64), self.hashes(size, 1)[at].view(np.int64)
+        order = np.lexsort((at, check, seed))
+        seed, check, at = seed[order], check[order], at[order]
+        first = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (check[1:] != check[:-1])])
+        return [(int(seed[a]), int(check[a]), at[a:b].tolist()) for a, b in zip(first, np.r_[first[1:], len(at)], strict=True)]
+
+
+def passes(bits: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set in the filter."""
+    last = np.uint64(len(bits) * 64 - 1)
+    good = np.ones(len(seed), bool)
+    for p in (seed & last, (seed >> np.uint64(32)) & last):
+        good &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return good
 
 
 def tile(item: list, doc: list, least: int = SEED) -> list[tuple[int, int, int]]:
@@ -118,150 +154,195 @@ def _hashes(words: list, used: list[bool], size: int) -> Iterator[int | None]:
             yield value if clean >= size else None
 
 
-@dataclass
-class Items:
-    """A block of benchmark items, ready to be looked up."""
-
-    ids: list
-    words: list[list[str]]
-    vocabulary: dict[str, int]
-    seeds: np.ndarray  # sorted hashes
-    owners: np.ndarray  # item of each seed
-    short: dict[tuple[int, ...], list[int]]  # whole items with fewer tokens than a seed
-
-    @classmethod
-    def of(cls, rows: list[tuple]) -> Items:
-        words = [tokens(t) for _, t in rows]
-        vocabulary: dict[str, int] = {}
-        hashes, owners, short = [], [], {}
-        for i, w in enumerate(words):
-            ids = np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64)
-            if 0 < len(w) < SEED:
-                short.setdefault(tuple(ids.tolist()), []).append(i)
-            h = np.unique(_runs(ids, SEED))
-            hashes.append(h)
-            owners.append(np.full(len(h), i))
-        seeds, owner = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((hashes, np.uint64), (owners, np.int64)))
-        order = np.argsort(seeds, kind="stable")
-        return cls([k for k, _ in rows], words, vocabulary, seeds[order], owner[order], short)
-
-    def matches(self, doc: list[str]) -> dict[int, np.ndarray]:
-        """Items that share a seed with the document, with the places of the shared windows."""
-        ids = np.fromiter(map(self.vocabulary.get, doc, [-1] * len(doc)), np.int64, len(doc))
-        found: dict[int, list[np.ndarray]] = {}
-        known = ids >= 0
-        if len(self.seeds) and known.any():
-            # only windows of tokens that the items use can be seeds
-            count = np.cumsum(np.r_[0, known])
-            at = np.flatnonzero(count[SEED:] - count[:-SEED] == SEED) if len(ids) >= SEED else np.zeros(0, np.int64)
-            if len(at):
-                h = np.zeros(len(at), np.uint64)
-                for i in range(SEED):
-                    h = h * np.uint64(_BASE) + ids[at + i].astype(np.uint64) + np.uint64(1)
-                h = mixed(h)
-                lo, hi = np.searchsorted(self.seeds, h), np.searchsorted(self.seeds, h, "right")
-                for p in np.flatnonzero(hi > lo):
-                    for owner in self.owners[lo[p] : hi[p]].tolist():
-                        found.setdefault(owner, []).append(at[p])
-        for key, owners in self.short.items():
-            n = len(key)
-            at = np.flatnonzero(np.logical_and.reduce([ids[i : len(ids) - n + 1 + i] == k for i, k in enumerate(key)])) if len(ids) >= n else []
-            for owner in owners if len(at) else []:
-                found.setdefault(owner, []).extend(at)
-        return {i: np.array(sorted(places)) for i, places in found.items()}
-
-    def tiles(self, doc: list[str], places: np.ndarray, item: int) -> list[tuple[int, int, int]]:
-        """Tiles of an item in a document: only words inside shared windows can be part of one."""
-        size = min(SEED, len(self.words[item]))
-        inside = np.zeros(len(doc) + 1, np.int32)
-        np.add.at(inside, places, 1)
-        np.add.at(inside, places + size, -1)
-        kept = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        # a gap becomes one foreign word, so that no tile crosses it
-        words, origin = [], []
-        for a, b in zip(np.r_[-1, kept[:-1]], kept, strict=True):
-            if b != a + 1:
-                words.append(None)
-                origin.append(-1)
-            words.append(doc[b])
-            origin.append(int(b))
-        return [(i, origin[j], n) for i, j, n in tile(self.words[item], words)]
-
-
-def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Items]:
-    """The benchmark in blocks of at most ``chars`` characters (or one item), item by item from Spark."""
-    rows, size = [], 0
-    for row in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
-        if rows and size + len(row["text"]) > chars:
-            yield Items.of(rows)
-            rows, size = [], 0
-        rows.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-    if rows:
-        yield Items.of(rows)
+# --- the tables ----------------------------------------------------------------------------------
 
+_SEEN = "array<struct<seed: bigint, check: bigint, places: array<int>>>"
+_SEEN_ARROW = pa.list_(pa.struct([("seed", pa.int64()), ("check", pa.int64()), ("places", pa.list_(pa.int32()))]))
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """``keep``, item_id, covered, item_tokens, coverage, tiles: one row per document and item above ``coverage``.
 
-    Tiles list (item_at, doc_at, length) in tokens. Null and empty texts and items match nothing; repeated
-    rows and items give repeated results; an empty table on either side gives an empty result.
-    """
+def _told(found: list[tuple[int, int, list[int]]]) -> list[dict]:
+    return [{"seed": s, "check": c, "places": p} for s, c, p in found]
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """item, total (tokens), size (tokens of a seed), seed, check, places: one row per item and distinct seed."""
+
+    def cut(batches):
+        for batch in batches:
+            ids, totals, sizes, seen = [], [], [], []
+            for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = tokens(t)
+                if words:
+                    size = min(SEED, len(words))
+                    ids.append(item)
+                    totals.append(len(words))
+                    sizes.append(size)
+                    seen.append(_told(Windows(words).found(size)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(totals, pa.int32()), pa.array(sizes, pa.int32()), pa.array(seen, _SEEN_ARROW)], names=["item", "total", "size", "seen"])
+
+    rows = items.select("item", "text").mapInArrow(cut, f"item long, total int, size int, seen {_SEEN}")
+    return rows.select("item", "total", "size", F.inline("seen"))
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """Two bits per seed in a filter of at most ``MOST_BITS`` bits, put together by Spark 64 bits at a time."""
+    bits = 64
+    while bits < min(MOST_BITS, SEED_BITS * seeds.count()):
+        bits *= 2
+    places = F.array(F.col("seed").bitwiseAND(bits - 1), F.shiftrightunsigned("seed", 32).bitwiseAND(bits - 1))
+    words = seeds.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("mask"))
+    told = words.toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[told.column("word").to_numpy()] = told.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def seen_seeds(docs: DataFrame, keep: list[str], text: str, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """``keep``, content (digest of the text), seen (seed, check, places): rows with a window that passes the filter."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    tile_type = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("item_at", "doc_at", "length")]))
-    item_id = benchmark.schema["item_id"].dataType
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("item_id", item_id), T.StructField("covered", T.LongType()), T.StructField("item_tokens", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", tile_type)])
-    columns = [*keep, text]
-    out = None
-    for items in item_blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(items)
-
-        def find(batches, shipped=shipped):
-            block: Items = shipped.value
-            for batch in batches:
-                rows, told = [], []
-                for r, t in enumerate(batch.column(len(keep)).to_pylist()):
-                    words = tokens(t)
-                    for i, places in sorted(block.matches(words).items()):
-                        tiles = block.tiles(words, places, i)
-                        covered, total = sum(n for _, _, n in tiles), len(block.words[i])
-                        if covered >= coverage * total:
-                            rows.append(r)
-                            told.append((block.ids[i], covered, total, covered / total, [{"item_at": a, "doc_at": b, "length": n} for a, b, n in tiles]))
-                kept = batch.take(pa.array(rows, pa.int64()))
-                names = ["item_id", "covered", "item_tokens", "coverage", "tiles"]
-                kinds = [pa.int64() if item_id == T.LongType() else pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))]
-                values = list(zip(*told, strict=True)) if told else [[]] * 5
-                yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(keep))] + [pa.array(list(v), k) for v, k in zip(values, kinds, strict=True)], names=[*keep, *names])
-
-        part = docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(find, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    shipped = spark.sparkContext.broadcast(bits)
+    n = len(keep)
+
+    def find(batches):
+        for batch in batches:
+            rows, seen = [], []
+            for r, t in enumerate(batch.column(n + 1).to_pylist() if sizes else []):
+                words = tokens(t)
+                if words:
+                    windows = Windows(words)
+                    found = [x for size in sizes for x in windows.found(size, shipped.value)]
+                    if found:
+                        rows.append(r)
+                        seen.append(_told(found))
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[kept.column(i) for i in range(n + 1)], pa.array(seen, _SEEN_ARROW)], names=[*[f"k{i}" for i in range(n)], "content", "seen"])
+
+    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    digest = F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("content")
+    kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    return docs.select(*columns, digest, F.col(f"`{text}`").alias("text")).mapInArrow(find, f"{kinds}content binary, seen {_SEEN}")
+
+
+def needed_seeds(seeds: DataFrame, hits: DataFrame, coverage: float) -> DataFrame:
+    """item, seed, check, finds: the seeds that occur in documents, and whether they find their item.
+
+    Of an item's seeds, most frequent first, those do not whose words together stay below the coverage.
+    """
+    often = hits.groupBy("seed", "check").agg(F.count("*").alias("often"))
+    known = seeds.join(often, ["seed", "check"])
+    each = known.groupBy("item", "total", "size").agg(F.collect_list(F.struct("often", "seed", "check", "places")).alias("seen"))
+
+    def choose(batches):
+        for batch in batches:
+            out = {"item": [], "seed": [], "check": [], "finds": []}
+            for row in batch.to_pylist():
+                inside, need = np.zeros(row["total"], bool), coverage * row["total"]
+                for x in sorted(row["seen"], key=lambda x: (-x["often"], x["seed"], x["check"])):
+                    new = np.unique(np.add.outer(x["places"], np.arange(row["size"])))
+                    new = new[~inside[new]]
+                    spare = inside.sum() + len(new) < need
+                    if spare:
+                        inside[new] = True
+                    for name, value in (("item", row["item"]), ("seed", x["seed"]), ("check", x["check"]), ("finds", not spare)):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["item"], pa.int64()), pa.array(out["seed"], pa.int64()), pa.array(out["check"], pa.int64()), pa.array(out["finds"], pa.bool_())], names=list(out))
+
+    return each.mapInArrow(choose, "item long, seed long, check long, finds boolean")
+
+
+def shared_seeds(hits: DataFrame, needed: DataFrame) -> DataFrame:
+    """content, item, seed, check, places: all seeds of an item in a text that holds one that finds it."""
+    found = staged(hits.join(needed.where("finds").drop("finds"), ["seed", "check"]).select("content", "item", "seed", "check", "places"), "found")
+    pairs = found.select("content", "item").distinct()
+    rest = pairs.join(needed.where("NOT finds").drop("finds"), "item").join(hits, ["content", "seed", "check"])
+    return found.unionByName(rest.select("content", "item", "seed", "check", "places"))
+
+
+def _tiles_of(item: list[str], seen: list[dict]) -> list[tuple[int, int, int]]:
+    """Tiles of an item in a text of which the shared seeds are given: no other word can be part of a tile."""
+    size = min(SEED, len(item))
+    at = {(s, c): p[0] for s, c, p in Windows(item).found(size)}
+    steps = np.arange(size)
+    places = np.concatenate([np.add.outer(x["places"], steps).ravel() for x in seen])
+    source = np.concatenate([np.tile(at[x["seed"], x["check"]] + steps, len(x["places"])) for x in seen])
+    kept, first = np.unique(places, return_index=True)
+    # a gap becomes one foreign word, so that no tile crosses it
+    words, origin, last = [], [], -1
+    for place, k in zip(kept.tolist(), source[first].tolist(), strict=True):
+        if place != last + 1:
+            words.append(None)
+            origin.append(-1)
+        words.append(item[k])
+        origin.append(place)
+        last = place
+    return [(i, origin[j], n) for i, j, n in tile(item, words)]
+
+
+def _tiled(pairs: DataFrame, coverage: float) -> DataFrame:
+    """content, item, covered, item_tokens, coverage, tiles of the pairs (content, item, text, seen) that reach ``coverage``."""
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))]
+    names = ["content", "item", "covered", "item_tokens", "coverage", "tiles"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                words = tokens(row["text"])
+                tiles = _tiles_of(words, row["seen"])
+                covered = sum(n for _, _, n in tiles)
+                if covered >= coverage * len(words):
+                    out.append((row["content"], row["item"], covered, len(words), covered / len(words), [{"item_at": a, "doc_at": b, "length": n} for a, b, n in tiles]))
+            values = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    return pairs.select("content", "item", "text", "seen").mapInArrow(run, "content binary, item long, covered long, item_tokens long, coverage double, tiles array<struct<item_at: int, doc_at: int, length: int>>")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """``(rows, found)``: rows (k0, k1, ... for ``keep``, content) that may match, and the items that texts really hold."""
+    bounded_batches(docs.sparkSession)
+    items = staged(benchmark.where(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    seeds = staged(item_seeds(items), "seeds")
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # at most SEED values
+    rows = staged(seen_seeds(docs, keep, text, seed_filter(seeds), sizes), "seen")
+    # copies of a text are looked at once
+    hits = rows.select("content", "seen").dropDuplicates(["content"]).select("content", F.inline("seen"))
+    hits = staged(hits.join(seeds.select("seed", "check").distinct(), ["seed", "check"], "left_semi"), "hits")
+    needed = staged(needed_seeds(seeds, hits, coverage), "needed")
+    pairs = shared_seeds(hits, needed).groupBy("content", "item").agg(F.collect_list(F.struct("seed", "check", "places")).alias("seen"))
+    found = staged(_tiled(pairs.join(items.select("item", "text"), "item"), coverage), "tiled")
+    return rows, found.join(items.select("item", "item_id"), "item")
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """``keep``, item_id, covered, item_tokens, coverage, tiles: one row per document and item that reaches ``coverage`` (above 0).
+
+    Tiles list (item_at, doc_at, length) in tokens. Null and empty texts and items match nothing; texts and items
+    may be of any length; repeated rows and items give repeated results; an empty table on either side gives an
+    empty result.
+    """
+    rows, found = _leaks(docs, benchmark, keep, text, coverage)
+    names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return rows.drop("seen").join(found, "content").select(*names, "item_id", "covered", "item_tokens", "coverage", "tiles")
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document and item that it holds: doc_id, item_id, covered, item_tokens, coverage, n_tiles."""
+    """Per document and item that it holds: doc_id, item_id, covered, item_tokens, coverage, n_tiles.
+
+    Null and empty texts and items match nothing; null ids stay null, repeated rows and items give repeated results;
+    extra columns are ignored; an empty table on either side gives an empty result.
+    """
     docs, benchmark = fields(docs, doc_id="long", text="string"), fields(benchmark, item_id="long", text="string")
     return contaminations(docs, benchmark, ["doc_id"]).select("doc_id", "item_id", "covered", "item_tokens", "coverage", F.size("tiles").cast("long").alias("n_tiles"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; columns unchanged, whatever they are called."""
-    bounded_batches(docs.sparkSession)
-    benchmark = fields(benchmark, item_id="long", text="string")
-    at = docs.columns.index(text)
-    for items in item_blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
-
-        def clean(batches, shipped=shipped):
-            block: Items = shipped.value
-            for batch in batches:
-                good = []
-                for t in batch.column(at).to_pylist():
-                    words = tokens(t)
-                    good.append(not any(sum(n for _, _, n in block.tiles(words, p, i)) >= COVERAGE * len(block.words[i]) for i, p in block.matches(words).items()))
-                yield batch.filter(pa.array(good, pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    """``docs`` without the rows that hold a benchmark item; columns unchanged, whatever they are called.
+
+    Rows with null and empty texts stay, and so does every row if the benchmark is empty.
+    """
+    _, found = _leaks(docs, fields(benchmark, item_id="long", text="string"), [], text, COVERAGE)
+    name = fresh(docs, "_content")
+    leaked = staged(found.select(F.col("content").alias(name)).distinct(), "leaked")
+    return docs.withColumn(name, F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))).join(leaked, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
