@@ -86,3 +86,54 @@ def test_pruning_keeps_pairs_at_the_threshold():
         b = np.where(same, a, a + np.uint8(1)).astype(np.uint8)
         kept += len(jaccard.likely_pairs(a[None], b[None], np.array([100]), np.array([100]), False)[0])
     assert kept == 400
+
+
+def changed_copies(rng, n, words, most):
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for p in rng.integers(0, words, rng.integers(0, most)):
+            w[p] = f"v{rng.integers(1000)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_blocks_by_bytes_lose_no_link(spark, monkeypatch):
+    docs = spark.createDataFrame(changed_copies(np.random.default_rng(6), 50, 150, 8), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "FAMILY_BYTES", 4000)
+    got = [(r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.join_digest(docs).collect()]
+    assert order(got) == order(plain(docs.collect()))
+
+
+def test_bounds_and_differences_are_exact():
+    """Sets near and far from the first one, as differences and plain, against Python sets."""
+    rng = np.random.default_rng(5)
+    first = np.unique(rng.integers(0, 400, 90)).astype(np.uint64)
+    sets, plain_rows, gone, new = [], [], [], []
+    for k in range(60):
+        drop = rng.random(len(first)) < rng.choice([0.0, 0.05, 0.1, 0.2, 0.6])
+        added = np.unique(rng.integers(400, 430, rng.integers(0, 25))).astype(np.uint64)
+        own = np.union1d(first[~drop], added)
+        sets.append(set(own.tolist()))
+        plain_rows.append(k % 7 == 0)
+        gone.append(np.zeros(0, np.uint64) if plain_rows[-1] else first[drop])
+        new.append(own if plain_rows[-1] else added)
+    i, j = np.nonzero(np.arange(60)[:, None] < np.arange(60)[None, :])
+    good = jaccard.similar_enough(i, j, np.array([len(s) for s in sets]), first, np.array(plain_rows), gone, new)
+    want = [10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) for a, b in zip(i, j, strict=True)]
+    assert good.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_large_family_sends_differences(spark):
+    """One family of 5,000 texts: what goes to the blocks is far less than the texts, and links are complete."""
+    rows = changed_copies(np.random.default_rng(9), 5000, 400, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = len({t for _, t in rows})
+    got = jaccard.join_digest(docs).select("class_id", "n_links").distinct().collect()
+    assert [(r["class_id"], r["n_links"]) for r in got] == [(0, texts - 1)]
+    first = jaccard.shingles(rows[0][1]).tobytes()
+    batch = jaccard.pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "family": [0] * 5000, "text": [t for _, t in rows], "whole": [first] * 5000})
+    sent = next(jaccard._differences([batch]))
+    bytes_sent = sum(len(x) for c in ("gone", "new") for x in sent.column(c).to_pylist())
+    assert not any(sent.column("plain").to_pylist()) and bytes_sent * 8 < 5000 * len(first)

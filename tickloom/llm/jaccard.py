@@ -6,9 +6,13 @@ dropped as soon as the posterior probability that its similarity reaches the thr
 ``TOLERANCE``. Survivors tie texts into families. Inside a family the same comparison decides which
 pairs are verified exactly, on the full sets.
 
-Pairs are never rows. Buckets and families are cut into blocks, every two blocks meet in a task of their
-own, and a task returns for each of its texts the links it counted and the smallest text it is linked to,
+Pairs are never rows. Buckets and families are cut into blocks, every two blocks meet in a group of their
+own, and a group returns for each of its texts the links it counted and the smallest text it is linked to,
 so results grow with texts and not with pairs, and no bucket or family is one task's alone.
+
+What a family's texts send to every block is small: their signature and the windows in which they differ from
+the family's first text (all windows where those are fewer). The sizes of the differences alone decide most pairs
+exactly, without a look at the windows.
 """
 
 from __future__ import annotations
@@ -32,9 +36,10 @@ HASHES = BANDS * ROWS
 #: Posterior probability below which a pair is dropped, and values compared between two looks.
 TOLERANCE = 1e-7
 STEP = 16
-#: Texts of a block; two blocks meet in a task.
+#: Texts of a block, and bytes of windows of a family's block; two blocks meet in a group.
 BUCKET_BLOCK = 1024
-FAMILY_BLOCK = 192
+FAMILY_BLOCK = 1024
+FAMILY_BYTES = 16 << 20
 
 _powers = Powers(BASE_A)
 _rng = np.random.default_rng(1)
@@ -161,17 +166,18 @@ def signatures(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     return docs.select(*columns).mapInArrow(sign, f"{kinds}, n_shingles int, sig binary, bands array<long>")
 
 
-def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` (with n, the size of their group) once for each pair of blocks x <= y they take part in; own is their block."""
-    cut = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` (with blocks, the number of their group's) once for each pair of blocks x <= y they take part in; own is their block."""
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    each = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return each.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("blocks", "other")
 
 
 def _met(rows: DataFrame, group: str, task, schema: str) -> DataFrame:
     keys = [group, "x", "y"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
+    # the work of a group is not in its bytes, so partitions are not merged by them
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
 
 
 def _bytes_matrix(column) -> np.ndarray:
@@ -207,20 +213,67 @@ def _tie_bucket(batches):
             yield pa.RecordBatch.from_pydict({"a": ids[moved], "b": ids[root[moved]]})
 
 
+def _differences(batches):
+    """id, family, plain, gone, new of texts beside their family's first one: windows that only the first has, and only the text."""
+    for batch in batches:
+        plain, gone, new = [], [], []
+        for text, whole in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            own, first = shingles(text), np.frombuffer(whole, np.uint64)
+            a, b = np.setdiff1d(first, own, assume_unique=True), np.setdiff1d(own, first, assume_unique=True)
+            plain.append(len(a) + len(b) >= len(own))
+            gone.append(b"" if plain[-1] else a.tobytes())
+            new.append(own.tobytes() if plain[-1] else b.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plain, pa.bool_()), pa.array(gone, pa.binary()), pa.array(new, pa.binary())], names=["id", "family", "plain", "gone", "new"])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def similar_enough(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, first: np.ndarray, plain: np.ndarray, gone: list[np.ndarray], new: list[np.ndarray]) -> np.ndarray:
+    """Which of the pairs of rows reach ``THRESHOLD``, exactly.
+
+    Two texts that lack a and a' windows of the first text and add b and b' share at least |first| - a - a'
+    windows, and at most |first| - max(a, a') + min(b, b'). Where both bounds agree on the threshold, that is the answer.
+    """
+    part = round(10 * THRESHOLD)
+    lacks, adds = (np.array([len(x) for x in found], np.int64) for found in (gone, new))
+    # in whole numbers, so that a similarity of exactly 4/5 counts
+    need = part * (sizes[i].astype(np.int64) + sizes[j])
+    both = ~(plain[i] | plain[j])
+    least = len(first) - lacks[i] - lacks[j]
+    most = len(first) - np.maximum(lacks[i], lacks[j]) + np.minimum(adds[i], adds[j])
+    good = both & ((10 + part) * least >= need)
+    wholes: dict[int, np.ndarray] = {}
+
+    def whole(k: int) -> np.ndarray:
+        if k not in wholes:
+            wholes[k] = new[k] if plain[k] else np.union1d(np.setdiff1d(first, gone[k], assume_unique=True), new[k])
+        return wholes[k]
+
+    for p in np.flatnonzero(~good & ~(both & ((10 + part) * most < need))).tolist():
+        a, b = int(i[p]), int(j[p])
+        shared = least[p] + _common(gone[a], gone[b]) + _common(new[a], new[b]) if both[p] else _common(whole(a), whole(b))
+        good[p] = (10 + part) * shared >= need[p]
+    return good
+
+
 def _verify_family(batches):
     for table in _groups(batches, ["family", "x", "y"]):
         i, j = _pairs_of(table)
         if not len(i):
             continue
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        good = np.zeros(len(i), bool)
-        for p, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-            small, large = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            common = int((large[at] == small).sum())
-            # in whole numbers, so that a similarity of exactly 4/5 counts
-            good[p] = 10 * common >= round(10 * THRESHOLD) * (len(small) + len(large) - common)
+        gone, new = ([np.frombuffer(s, np.uint64) for s in table.column(c).to_pylist()] for c in ("gone", "new"))
+        # the family's first text stands in every group, outside of the blocks
+        first = new[int(np.flatnonzero(table.column("own").to_numpy() < 0)[0])]
+        good = similar_enough(i, j, table.column("n_shingles").to_numpy(), first, table.column("plain").to_numpy(), gone, new)
         i, j = i[good], j[good]
         if len(i):
             ids = table.column("id").to_numpy()
@@ -230,6 +283,18 @@ def _verify_family(batches):
             yield pa.RecordBatch.from_pydict({"id": ids[linked], "links": links[linked], "root": ids[root[linked]]})
 
 
+def family_rows(members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``members`` (id, family, plain, gone, new, n_shingles, sig) for every pair of blocks, each with the family's first text (``firsts``: family, whole)."""
+    size = F.sum(F.length("gone") + F.length("new") + F.lit(HASHES))
+    blocks = F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(size / FAMILY_BYTES)).cast("int").alias("blocks")
+    sizes = staged(members.groupBy("family").agg(F.count("*").alias("n"), blocks).where("n > 1").drop("n"), "blocks")
+    rows = _block_pairs(members.join(sizes, "family"))
+    each = firsts.join(sizes, "family").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.explode(F.sequence("x", F.col("blocks") - 1)))
+    none = F.lit(b"")
+    each = each.select(F.col("family").alias("id"), "family", F.lit(True).alias("plain"), none.alias("gone"), F.col("whole").alias("new"), F.lit(0).alias("n_shingles"), F.lit(bytes(HASHES)).alias("sig"), F.lit(-1).alias("own"), "x", "y")
+    return rows.unionByName(each)
+
+
 def similar_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, classes)`` of ``docs`` with columns key (long, may repeat or be null) and text.
 
@@ -246,23 +311,23 @@ def similar_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     banded = one.select("id", F.explode("bands").alias("bucket"))
     shared = banded.join(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    members = shared.join(one.select("id", "n_shingles", "sig"), "id")
-    ties = _met(_block_pairs(members, BUCKET_BLOCK), "bucket", _tie_bucket, "a long, b long")
+    members = shared.join(one.select("id", "n_shingles", "sig"), "id").withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")).drop("n")
+    ties = _met(_block_pairs(members), "bucket", _tie_bucket, "a long, b long")
     families = staged(components(ties, "ties").select(F.col("node").alias("id"), F.col("root").alias("family")), "families")
 
     wanted = families.join(firsts, "id").select("id", "family", F.col("content").alias("c"), F.col("first_key").alias("k"))
     chosen = docs.join(wanted, (docs["content"] == F.col("c")) & docs["key"].eqNullSafe(F.col("k"))).select("id", "family", "text")
+    chosen = staged(chosen, "members")
 
-    def listed(batches):
+    def whole(batches):
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "family", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["family", "whole"])
 
     # a repeated row (same key, same text) comes more than once
-    sets = chosen.mapInArrow(listed, "id long, family long, shingles binary").dropDuplicates(["id"])
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    sets = sets.join(one.select("id", "n_shingles", "sig"), "id").join(sizes, "family")
-    found = staged(_met(_block_pairs(sets, FAMILY_BLOCK), "family", _verify_family, "id long, links long, root long"), "links")
+    leads = staged(chosen.where("id = family").select("family", "text").mapInArrow(whole, "family long, whole binary").dropDuplicates(["family"]), "leads")
+    differ = chosen.join(leads, "family").select("id", "family", "text", "whole").mapInArrow(_differences, "id long, family long, plain boolean, gone binary, new binary")
+    differ = staged(differ.dropDuplicates(["id"]).join(one.select("id", "n_shingles", "sig"), "id"), "differences")
+    found = staged(_met(family_rows(differ, leads), "family", _verify_family, "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "groups")
     classes = firsts.join(links, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
