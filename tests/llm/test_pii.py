@@ -127,3 +127,22 @@ def test_sample_is_as_large_where_anchors_are_rare(spark, monkeypatch):
     # one row in a hundred can be sampled
     docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("call "), "id")).otherwise(F.lit("no digits here")).alias("text"))
     assert pii.sample_contexts(docs, "doc_id", "text").count() == 5 * 2
+
+
+def test_reading_whole_texts_gives_the_same_spans(tagger, spark, sf, odd_docs):
+    rng = random.Random(91)
+    docs = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("n_chars").limit(40).collect()]
+    texts = ["", "no data in here"]
+    for i, t in enumerate(docs):
+        # every layout of the generators, set between the words of real texts
+        words = t.split(" ")[:80]
+        for _ in range(3):
+            words.insert(rng.randint(0, len(words)), (pii._variant if i % 2 else pii._long_variant)(rng)[0])
+        texts.append(" ".join(words))
+    near, whole = (pii.all_spans(texts, tagger, whole=w) for w in (False, True))
+    assert [b for b, _ in near] == [b for b, _ in whole]
+    found = sum(len(a) for _, a in whole)
+    same = sum(len(set(a) & set(b)) for (_, a), (_, b) in zip(near, whole, strict=True))
+    assert found > 40 and same >= 0.97 * max(found, sum(len(a) for _, a in near))
+    read = {r["doc_id"]: r for r in pii.personal_spans(odd_docs, tagger, ["doc_id"], whole=True).collect()}
+    assert len(read) == odd_docs.select("doc_id").distinct().count()

@@ -343,28 +343,30 @@ def _read(tagger: Tagger, texts: list[str], wanted: list[list[tuple[int, int]]])
     return [[(a, known[i, a, b]) for a, b in parts] for i, parts in enumerate(wanted)]
 
 
-def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
-    """Pattern spans and added spans of every text."""
+def all_spans(texts: list[str], tagger: Tagger, whole: bool = False) -> list[tuple[list[Span], list[Span]]]:
+    """Pattern spans and added spans of every text; with ``whole`` the tagger reads every character."""
     base = [pattern_spans(t) for t in texts]
     masked = [masked_addresses(t) for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
-    for i, parts in enumerate(_read(tagger, texts, [stretches(t, m) for t, m in zip(texts, masked, strict=True)])):
+    wanted = [[(0, len(t))] if t else [] for t in texts] if whole else [stretches(t, m) for t, m in zip(texts, masked, strict=True)]
+    for i, parts in enumerate(_read(tagger, texts, wanted)):
         for a, labels in parts:
             for s, k, e in _spans_of(labels) if labels.any() else []:
                 s, e = s + a, e + a
-                whole = [(x, y) for x, y in masked[i] if x < e and s < y] if k == 0 else []
-                for x, y in whole or [(s, e)]:
+                address = [(x, y) for x, y in masked[i] if x < e and s < y] if k == 0 else []
+                for x, y in address or [(s, e)]:
                     free = not any(p < y and x < q for p, _, q in base[i] + added[i])
                     if free and _plausible(k, texts[i], x, y):
                         added[i].append((x, k, y))
     return list(zip(base, added, strict=True))
 
 
-def personal_spans(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text") -> DataFrame:
+def personal_spans(docs: DataFrame, tagger: Tagger, keep: list[str], text: str = "text", whole: bool = False) -> DataFrame:
     """The columns ``keep``, and ``base`` and ``added``: arrays of (kind, start, end) in code points.
 
     Null texts count as empty; repeated rows are read one by one. Patterns are searched in whole texts, the
-    tagger reads the surroundings of anchors and of masked addresses (see ``stretches``).
+    tagger reads the surroundings of anchors and of masked addresses (see ``stretches``), or with ``whole`` every
+    character, which takes many times as long.
     """
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -376,7 +378,7 @@ def personal_spans(docs: DataFrame, tagger: Tagger, keep: list[str], text: str =
     def read(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(columns.index(text)).to_pylist()]
-            found = all_spans(texts, shipped.value)
+            found = all_spans(texts, shipped.value, whole)
             told = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x[j]] for x in found], arrow) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in keep] + told, names=[*keep, "base", "added"])
 
@@ -400,10 +402,11 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, tagger: Tagger, text: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets; other columns unchanged.
 
     Overlapping spans of different kinds are replaced as one, under the kind that begins first. Null texts stay null.
+    ``whole`` as in ``personal_spans``.
     """
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -413,7 +416,7 @@ def redact(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             out = []
-            for t, (base, added) in zip(texts, all_spans([t or "" for t in texts], shipped.value), strict=True):
+            for t, (base, added) in zip(texts, all_spans([t or "" for t in texts], shipped.value, whole), strict=True):
                 parts, done = [], 0
                 for s, k, e in sorted(base + added):
                     if s >= done:
