@@ -97,6 +97,15 @@ def test_prediction_table_fallbacks(spark):
     assert r["a"]["expected_price_date"] == D(2020, 1, 8)
 
 
+def test_horizons_given_as_dates(spark):
+    dates = ["2020-01-06", D(2020, 2, 3), "2019-12-01", "2021-01-05 09:30:00"]
+    assert rank.day_offsets(dates, "2020-01-01") == [5, 33, -31, 370]
+    assert rank.day_offsets([7, "2020-01-01"], "2020-01-01 16:00:00") == [7, 0]
+    s = spark.createDataFrame([("a", i, i / 10, 10.0) for i in range(4)], "symbol string, horizon_idx int, logret double, current_price double")
+    by_date, by_days = (rank.prediction_table(s, h, "2020-01-01").collect() for h in (dates, [5, 33, -31, 370]))
+    assert by_date == by_days and by_date[0]["expected_price_date"] == D(2021, 1, 5)
+
+
 def test_weather_pca(spark, sf):
     daily = dims.weather_daily(views.weather(spark, sf))
     fit = dims.fit_pca(daily, 3)
