@@ -197,3 +197,29 @@ def test_lookback_windows_modes(spark):
     trading = {r["label_date"].day: r["m"] for r in windows.lookback_windows(*args, mode="trading").collect()}
     assert trading == {5: [False, True]}
     assert windows.count_samples(*args, mode="trading").first()["n_samples"] == 1
+
+
+def test_rolling_deviations_without_sliding_frames(spark):
+    rows = [("a", D(2020, 1, 1) + dt.timedelta(days=i), v) for i, v in enumerate([None, 1e9, -1e9, *[0.1] * 40, None, *[math.sin(i) for i in range(60)]])]
+    rows += [("b", D(2020, 1, 1), 3.0), ("b", D(2020, 1, 2), 5.0)]
+    panel = spark.createDataFrame(rows, "symbol string, date date, v double")
+    spans = {f"s{k}": k for k in (1, 2, 3, 7, 20, 30, 63)}
+    out = features.rolling_stds(panel, "v", spans)
+    # a sliding frame adds up every row of the span again
+    assert "specifiedwindowframe(RowFrame, -" not in out.drop("s1")._jdf.queryExecution().optimizedPlan().toString().replace("currentrow$()), ", "").lower()
+    got = out.orderBy("symbol", "date").collect()
+    for name, k in spans.items():
+        for i, r in enumerate(got):
+            near = [x[2] for x in rows[max(0, i - k + 1) : i + 1] if x[0] == r["symbol"] and x[2] is not None]
+            assert r[name] == pytest.approx(np.std(near, ddof=1) if k > 1 and len(near) > 1 else 0.0, rel=1e-9, abs=1e-12)
+    assert out.columns == ["symbol", "date", "v", *spans]
+
+
+def test_dense_panel_is_dealt_out_by_its_size(spark, monkeypatch):
+    from tickloom.plans import features as plan_features
+
+    rows = [(f"s{i}", D(2020, 1, 1) + dt.timedelta(days=99 * (i % 2)), 1.0) for i in range(40)]
+    ticks = spark.createDataFrame(rows, "symbol string, date date, close double")
+    monkeypatch.setattr(plan_features, "TASK_ROWS", 200)
+    panel = daily_panel(ticks, ["close"])
+    assert panel.rdd.getNumPartitions() >= 15 and panel.count() == 4000

@@ -87,8 +87,8 @@ def e5(spark, sf):
     {', '.join(rs(f'coalesce(stddev_samp(logret_1d) OVER ({_W} ROWS {k - 1} PRECEDING), 0.0)', n) for n, k in (('vol_7d', 7), ('vol_30d', 30), ('vol_20d', 20)))} FROM rets""",
 )
 def e6(spark, sf):
-    rets = features.add_volatility(features.add_returns(_panel(spark, sf), {"1d": 1}))
-    return tidy(rets.withColumn("vol_20d", features.rolling_std("logret_1d", 20)).select("symbol", "date", "vol_1d", "vol_7d", "vol_30d", "vol_20d"))
+    rets = features.add_volatility(features.add_returns(_panel(spark, sf), {"1d": 1}), features.SPAN_ROWS | {"20d": 20})
+    return tidy(rets.select("symbol", "date", "vol_1d", "vol_7d", "vol_30d", "vol_20d"))
 
 
 @query("e7_return_change", needs("feats") + f"SELECT symbol, date, {rlist('mom_1d', 'mom_7d', 'mom_30d')} FROM feats")

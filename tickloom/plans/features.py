@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.aggregates import daily_ohlcv
-from tickloom.operators.calendar import whole, date_bounds, densify_calendar, fill_prices, mask_activity
+from tickloom.operators.calendar import date_bounds, densify_calendar, fill_prices, mask_activity, whole
 from tickloom.operators.clean import prep_crypto, prep_stock
 from tickloom.operators.dims import fx_log_return, news_daily, news_embedding_pca, weather_daily
 from tickloom.operators.features import RETURN_LAGS, SPAN_ROWS, add_technicals, add_technicals_long
@@ -22,14 +22,29 @@ from tickloom.session import staged
 from tickloom.sources.ingest import read_required
 
 
+#: Rows of the dense panel that one task sorts and windows: some 60 MB.
+TASK_ROWS = 250_000
+
+
 def daily_panel(ticks: DataFrame, order_cols: list[str], bounds=None) -> DataFrame:
     """Dense daily panel with filled prices: duplicates reduced, calendar completed."""
-    return dense_panel(daily_ohlcv(ticks, order_cols), bounds)
+    # the reduction keeps all dates and symbols, so the ticks tell its size without being reduced twice
+    return dense_panel(daily_ohlcv(ticks, order_cols), bounds, ticks)
 
 
-def dense_panel(daily: DataFrame, bounds=None) -> DataFrame:
-    """Filled prices on every day of ``bounds`` (default: the range of ``daily``), from one row per (symbol, day)."""
-    bounds = bounds or date_bounds(daily)
+def dense_panel(daily: DataFrame, bounds=None, sized_by: DataFrame | None = None) -> DataFrame:
+    """Filled prices on every day of ``bounds`` (default: the range of ``daily``), from one row per (symbol, day).
+
+    Without ``bounds`` symbols are dealt out by the size the panel will have, so that tasks grow in number and not in
+    memory: the few rows from which it is stretched do not tell. ``sized_by`` are rows with the same symbols and dates.
+    """
+    if bounds is None:
+        rows = (daily if sized_by is None else sized_by).where(F.col(DATE).isNotNull())
+        told = rows.agg(F.min(DATE).alias("lo"), F.max(DATE).alias("hi"), F.approx_count_distinct(SYMBOL).alias("symbols")).first()
+        bounds = told["lo"], told["hi"]
+        if told["lo"] is not None:
+            dense = told["symbols"] * ((told["hi"] - told["lo"]).days + 1)
+            daily = daily.repartition(-(-dense // TASK_ROWS) or 1, SYMBOL)
     if "source" in daily.columns:
         # constant per symbol: its first day's source, kept on the added days
         daily = daily.withColumn("source", F.first("source").over(whole()))
