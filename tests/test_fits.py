@@ -225,3 +225,12 @@ def test_horizons_in_trading_days_have_their_own_labels(spark):
     assert [c for c in scoring.score_point(panel, fc).columns if c.endswith("logret")] == ["pred_5d_logret", "pred_21d_logret", "pred_1w_logret"]
     row = scoring.score_quantile(panel, fc, [0.9], trading=True).first()
     assert row["pred_1m_p90_logret"] == pytest.approx(scoring.score_point(panel, fc).first()["pred_21d_logret"] + 0.5)
+
+
+def test_fits_store_only_what_they_read(spark, sf, monkeypatch):
+    from tickloom.catalog import models
+
+    kept, real = {}, models.staged
+    monkeypatch.setattr(models, "staged", lambda df, name="staged": kept.setdefault(name, df.columns) and real(df, name))
+    models._fit_closed_form(spark, sf)
+    assert kept["panel"] == ["symbol", "date", "close", "logret_1d"]
