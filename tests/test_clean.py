@@ -170,3 +170,18 @@ def test_topk_sink_skips_empty(spark, tmp_path):
 def test_declared_schemas():
     assert len(schemas.fx_schema().fields) == 172
     assert [len(s.fields) for s in (schemas.crypto_schema(), schemas.stock_schema(), schemas.weather_schema())] == [13, 7, 13]
+
+
+def test_apply_by_key_query_makes_no_frame_per_day(spark, tmp_path, monkeypatch):
+    from tickloom.catalog import context
+
+    day = dt.datetime(2020, 1, 1)
+    line = lambda key, supp, at, qty, price: (key, key, supp, 1, qty, price, 0.1, 0.1, "A", "O", at)
+    rows = [line(1, 7, day, 2.0, 5.0), line(2, 7, day, 3.0, None), line(3, 7, None, 1.0, 8.0), line(4, 7, day + dt.timedelta(days=1), None, 9.0), line(5, 8, day, 4.0, 1.0)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    keyed, real = [], aggregates.apply_by_key
+    monkeypatch.setattr(aggregates, "apply_by_key", lambda df, keys, *rest: keyed.append(keys) or real(df, keys, *rest, chunk_rows=2))
+    out = {(r["symbol"], str(r["date"])): (r["n"], r["volume"], r["close"]) for r in context.d16(spark, str(tmp_path)).collect()}
+    assert keyed == [["symbol"]]
+    assert out == {("7", "2020-01-01"): (2, 5.0, None), ("7", "2020-01-02"): (1, 0.0, 9.0), ("7", "None"): (1, 1.0, 8.0), ("8", "2020-01-01"): (1, 4.0, 1.0)}

@@ -332,16 +332,20 @@ def d15(spark, sf):
     FROM ticks GROUP BY symbol, date""",
 )
 def d16(spark, sf):
+    # a symbol's days together: a frame per day would cost more than its rows
+    def days(pdf: pd.DataFrame, n: pd.Series) -> pd.DataFrame:
+        by_day = pdf.assign(n=n).groupby("date", sort=False, dropna=False)
+        last = pdf.drop_duplicates("date", keep="last")
+        return last[["symbol", "date"]].assign(n=by_day["n"].sum().to_numpy(), volume=by_day["volume"].sum().to_numpy(), close=last["close"])
+
     def partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, len(pdf), pdf["volume"].sum(), pdf["close"].iloc[-1])], columns=["symbol", "date", "n", "volume", "close"])
+        return days(pdf, pd.Series(1, pdf.index))
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(*key, parts["n"].sum(), parts["volume"].sum(), parts["close"].iloc[-1])], columns=["symbol", "date", "n", "volume", "close"]
-        )
+        return days(parts, parts["n"])
 
     schema = "symbol string, date date, n long, volume double, close double"
     t = views.ticks(spark, sf).select("symbol", "date", "volume", "close", *views.TICK_ORDER)
-    return tidy(aggregates.apply_by_key(t, ["symbol", "date"], views.TICK_ORDER, partial, schema, merge, schema))
+    return tidy(aggregates.apply_by_key(t, ["symbol"], ["date", *views.TICK_ORDER], partial, schema, merge, schema))
 
 
