@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from tickloom import views
 from tickloom.operators import clean, windows
 from tickloom.plans.features import build_features
 from tickloom.streaming import jobs
-from tickloom.streaming.windows import stateful_lookback_windows
+from tickloom.streaming.windows import _PACKET, stateful_lookback_windows, windows_of
 
 FEATS, TC, MC = ["logret_1d", "hl_spread"], ["target_7d"], ["mask_7d"]
 
@@ -36,6 +38,28 @@ def test_stream_windows_equal_batch_across_runs(spark, sf, tmp_path, lookback):
         assert flat(got[k][0]) == pytest.approx(flat(x))
 
 
+def _packet(n: int):
+    """One symbol's packet: two held rows, ``n`` new ones, windows of two rows at all but the first new row."""
+    x = [float("nan") if i % 7 == 0 else float(i) for i in range(2 * (n + 2))]
+    return ["a", list(range(n + 2)), x, [i % 3 > 0 for i in range(n + 2)], list(range(n + 2)), 2, [float(i) for i in range(n)], list(range(1, n)), [5] * (n - 1), []]
+
+
+def test_long_packets_are_cut_in_linear_time(spark):
+    def run(n):
+        start = time.perf_counter()
+        got = windows_of(spark.createDataFrame([_packet(n)], _PACKET), 2, 2, 1).orderBy("label_date").collect()
+        return got, time.perf_counter() - start
+
+    got, _ = run(50)
+    step = lambda i: [None if v % 7 == 0 else float(v) for v in (2 * i, 2 * i + 1)]
+    assert len(got) == 49 and [r["y"] for r in got] == [[float(i)] for i in range(1, 50)]
+    assert [r["x"] for r in got] == [[step(i), step(i + 1)] for i in range(1, 50)]
+    assert [r["m"] for r in got] == [[i % 3 > 0, (i + 1) % 3 > 0] for i in range(1, 50)]
+    assert [(r["asset_id"], r["late_rows"], r["label_date"].toordinal() - 719163) for r in got] == [(i + 1, 5, i + 2) for i in range(1, 50)]
+    got, took = run(12_000)
+    assert len(got) == 11_999 and took < 20, "a step is looked up, not made again from the whole packet"
+
+
 def test_late_rows_are_dropped_and_counted(spark, sf, tmp_path):
     panel = build_features(views.ticks(spark, sf), views.TICK_ORDER, [7]).where("date < '1995-03-01' and asset_id = 0")
     panel = panel.select("symbol", "date", "is_trading_day", "asset_id", *FEATS, *TC, *MC).cache()
