@@ -63,3 +63,31 @@ def test_batch_models_load_once_per_worker(spark, tmp_path):
     loads = [n.split("-")[0] for n in __import__("os").listdir(folder)]
     assert len(loads) == len(set(loads)), "one load a worker process, whatever its batches and tasks"
     assert scoring.batch_scorer(make, 2, 2, 2)(df.where("false")).count() == 0
+
+
+def test_ranges_are_windowed_and_not_gathered(spark):
+    panel = panel_of(spark)
+    for cut in (
+        windows.lookback_windows(panel, 5, ["x", "close"], ["t"], ["k"], span_rows=16),
+        windows.label_range_windows(panel, 5, ["x", "close"], [1, 3], "2020-01-05", "2020-05-01", span_rows=16),
+    ):
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert "sort_array" not in plan and "Generate inline" not in plan and "collect_list" in plan
+
+
+def test_sums_of_windows_of_any_length(spark):
+    from tickloom.catalog.base import LOOKBACK
+    from tickloom.catalog.series import _sums
+
+    made = [[[float(i), None if i % 3 else 2.0] for i in range(n)] for n in (0, 1, LOOKBACK, LOOKBACK + 5)]
+    df = spark.createDataFrame([(n, x, [i % 2 == 0 for i in range(len(x))], [1.0]) for n, x in enumerate(made)] + [(9, None, None, [2.0])], "id int, x array<array<float>>, m array<boolean>, y array<float>")
+    out = _sums(df, 2, 1)
+    # steps are added up by compiled terms, one by one only in arrays longer than the lookback
+    assert "CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    for n, x in enumerate(made):
+        r = got[n]
+        assert (r["n_steps"], r["n_ok"]) == (len(x), (len(x) + 1) // 2)
+        assert (r["sum_0"], r["sum_1"]) == (sum(v[0] for v in x), sum(v[1] or 0.0 for v in x))
+        assert r["last_0"] == (x[-1][0] if x else None) and r["y_0"] == 1.0
+    assert got[9]["sum_0"] is None and got[9]["n_steps"] == got[9]["n_ok"] == spark.range(1).select(F.size(F.lit(None).cast("array<int>"))).first()[0]

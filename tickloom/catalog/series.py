@@ -33,6 +33,15 @@ def _features(spark, sf):
     return build_features(views.ticks(spark, sf), views.TICK_ORDER, HORIZONS)
 
 
+def _price_ticks(spark, sf, *prices):
+    """The ticks with these prices only, so that days hold nothing that a query does not read."""
+    return views.ticks(spark, sf).select("symbol", "date", *prices, *views.TICK_ORDER)
+
+
+def _window_features(spark, sf):
+    return build_features(_price_ticks(spark, sf, "high", "low", "close"), views.TICK_ORDER, HORIZONS)
+
+
 @query("c4_densify_calendar", needs("dense") + f"SELECT symbol, date, {rlist(*_PRICE, 'volume')} FROM dense")
 def c4(spark, sf):
     return tidy(_dense(spark, sf).select("symbol", "date", *_PRICE, "volume"))
@@ -175,13 +184,24 @@ def e13b(spark, sf):
 
 
 def _sums(df, n_features: int, n_targets: int):
-    """Comparable view of window arrays: sizes, per-feature sums and the last step."""
+    """Comparable view of window arrays: sizes, per-feature sums and the last step.
+
+    Arrays of ``LOOKBACK`` steps, as all are here, are added up by compiled terms; longer ones step by step.
+    """
+    def value(v, i: int):
+        return F.coalesce(F.get(v, F.lit(i)).cast("double"), F.lit(0.0))
+
     def added(i: int):
-        return lambda acc, v: acc + F.coalesce(F.element_at(v, i + 1).cast("double"), F.lit(0.0))
+        return lambda acc, v: acc + value(v, i)
+
+    def total(i: int):
+        return sum((value(F.get("x", F.lit(j)), i) for j in range(LOOKBACK)), F.lit(0.0))
 
-    cols = {"n_steps": F.size("x"), "n_ok": F.size(F.filter("m", lambda v: v))}
+    marked = sum((F.when(F.get("m", F.lit(j)), 1).otherwise(0) for j in range(1, LOOKBACK)), F.when(F.get("m", F.lit(0)), 1).otherwise(0))
+    short = F.size("x") <= LOOKBACK
+    cols = {"n_steps": F.size("x"), "n_ok": F.when(F.size("m") <= LOOKBACK, F.when(F.col("m").isNotNull(), marked).otherwise(-1)).otherwise(F.size(F.filter("m", lambda v: v)))}
     for i in range(n_features):
-        cols[f"sum_{i}"] = F.aggregate("x", F.lit(0.0), added(i))
+        cols[f"sum_{i}"] = F.when(short & F.col("x").isNotNull(), total(i)).otherwise(F.aggregate("x", F.lit(0.0), added(i)))
         cols[f"last_{i}"] = F.get(F.try_element_at("x", F.lit(-1)), i).cast("double")
     for i in range(n_targets):
         cols[f"y_{i}"] = F.element_at("y", i + 1).cast("double")
@@ -214,13 +234,13 @@ def _window_sql(ok: str) -> str:
 
 @query("e14_lookback_windows", _window_sql("logret_1d IS NOT NULL"))
 def e14(spark, sf):
-    w = windows.lookback_windows(_features(spark, sf), LOOKBACK, _FEATS, _TC, _MC, mode="finite")
+    w = windows.lookback_windows(_window_features(spark, sf), LOOKBACK, _FEATS, _TC, _MC, mode="finite")
     return _sums(w, 3, 2)
 
 
 @query("e15_lookback_windows_trading", _window_sql("is_trading_day"))
 def e15(spark, sf):
-    w = windows.lookback_windows(_features(spark, sf), LOOKBACK, _FEATS, _TC, _MC, mode="trading")
+    w = windows.lookback_windows(_window_features(spark, sf), LOOKBACK, _FEATS, _TC, _MC, mode="trading")
     return _sums(w, 3, 2)
 
 
@@ -237,14 +257,14 @@ _RANGE_SQL = (
 @query("e16_label_range_windows", _RANGE_SQL)
 def e16(spark, sf):
     lo, hi = calendar.date_bounds(views.ticks(spark, sf))
-    w = windows.label_range_windows(_features(spark, sf), LOOKBACK, _FEATS, HORIZONS, str(lo), str(hi))
+    w = windows.label_range_windows(_window_features(spark, sf), LOOKBACK, _FEATS, HORIZONS, str(lo), str(hi))
     return _sums(w, 3, 2)
 
 
 @query("e14_windows_in_ranges", _window_sql("logret_1d IS NOT NULL"))
 def e14_ranges(spark, sf):
     """The windows of e14 with every symbol's history in ranges of 512 rows."""
-    w = windows.lookback_windows(_features(spark, sf), LOOKBACK, _FEATS, _TC, _MC, mode="finite", span_rows=512)
+    w = windows.lookback_windows(_window_features(spark, sf), LOOKBACK, _FEATS, _TC, _MC, mode="finite", span_rows=512)
     return _sums(w, 3, 2)
 
 
@@ -252,7 +272,7 @@ def e14_ranges(spark, sf):
 def e16_ranges(spark, sf):
     """The windows of e16 with every symbol's history in ranges of 512 rows."""
     lo, hi = calendar.date_bounds(views.ticks(spark, sf))
-    w = windows.label_range_windows(_features(spark, sf), LOOKBACK, _FEATS, HORIZONS, str(lo), str(hi), span_rows=512)
+    w = windows.label_range_windows(_window_features(spark, sf), LOOKBACK, _FEATS, HORIZONS, str(lo), str(hi), span_rows=512)
     return _sums(w, 3, 2)
 
 

@@ -3,7 +3,7 @@ densification. All windows of one call share a single exchange and sort on (symb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import finite_or_null, is_finite, positive_or_null
@@ -24,8 +24,8 @@ def _complete(features: list[str]) -> Column:
     return ok
 
 
-def _before(lookback: int):
-    return by_symbol().rowsBetween(-lookback, -1)
+def _before(lookback: int, over: WindowSpec | None = None) -> WindowSpec:
+    return (over or by_symbol()).rowsBetween(-lookback, -1)
 
 
 def valid_labels(
@@ -80,8 +80,10 @@ def lookback_windows(
     marked = valid_labels(panel, lookback, _step_ok(features, mode), targets, masks, require_all)
     y = F.array(*[F.col(c).cast("float") for c in targets])
     if span_rows is not None:
-        cut = _cut_windows(marked, lookback, span_rows, _row(features), F.col("_ok"), F.col("asset_id"), y)
-        return cut.select(SYMBOL, "label_date", "x", "m", F.get("_ids", F.lit(-1) + F.size("_ids")).alias("asset_id"), "y")
+        cut, inside = _cut_ranges(marked, lookback, span_rows, _row(features), F.col("asset_id"), y, "_ok")
+        made = {"x": F.collect_list("_x"), "m": F.collect_list("_ok")}
+        cut = cut.withColumns({n: c.over(_before(lookback, inside)) for n, c in made.items()} | {"_id": F.lag("asset_id", 1).over(inside)})
+        return cut.where("_valid").select(SYMBOL, "label_date", "x", "m", F.col("_id").alias("asset_id"), "y")
     rows = marked.withColumns(
         {
             "x": F.collect_list(_row(features)).over(_before(lookback)),
@@ -92,33 +94,21 @@ def lookback_windows(
     return rows.where("_valid").select(SYMBOL, F.col(DATE).alias("label_date"), "x", "m", F.col("_id").alias("asset_id"), y.alias("y"))
 
 
-def _cut_windows(marked: DataFrame, lookback: int, span_rows: int, row: Column, ok: Column, asset: Column, y: Column) -> DataFrame:
-    """``symbol, label_date, x, m, _ids, own, y`` for every ``_valid`` row: arrays over the ``lookback`` rows before it.
+def _cut_ranges(marked: DataFrame, lookback: int, span_rows: int, row: Column, asset: Column, y: Column, *more: str) -> tuple[DataFrame, WindowSpec]:
+    """``symbol, label_date, _valid, asset_id, y, _x`` and ``more`` of all rows in ranges, and the order inside a range.
 
-    A symbol's history is cut into ranges of rows that also get the last ``lookback`` rows of the range before. Ranges
-    are dealt out by (symbol, range), so a long history is many tasks, and a window's arrays are slices of its
-    range's, which are made for accepted labels alone.
+    A symbol's history is cut into ranges of rows that also get the last ``lookback`` rows of the range before, which
+    are no labels there. Ranges are dealt out by (symbol, range), so a long history is many tasks, whose rows
+    are windowed as they come and never gathered.
     """
     span = max(span_rows, lookback)
     numbered = marked.withColumn("_at", (F.row_number().over(by_symbol()) - 1).cast("long"))
     of = F.expr(f"_at div {span}")
     halo = F.col("_at") % span >= span - lookback
-    step = F.struct("_at", F.col("_valid").alias("v"), F.col(DATE).alias("d"), row.alias("x"), ok.alias("m"), asset.alias("i"), y.alias("y"))
-    copies = numbered.select(SYMBOL, F.explode(F.when(halo, F.array(of, of + 1)).otherwise(F.array(of))).alias("_range"), step.alias("_step"))
-    ranges = copies.repartition(SYMBOL, "_range").groupBy(SYMBOL, "_range").agg(F.sort_array(F.collect_list("_step")).alias("_steps"))
-
-    def part(name: str):
-        return lambda s: s[name]
-
-    whole = ranges.withColumns({f"_{c}": F.transform("_steps", part(c)) for c in "xmi"})
-    places = F.transform("_steps", lambda s, k: F.when(s["v"] & (F.floor(s["_at"] / span) == F.col("_range")), k))
-
-    def window(k: Column) -> Column:
-        label = F.get("_steps", k)
-        before = [F.slice(f"_{c}", k - lookback + 1, lookback) for c in "xmi"]
-        return F.struct(label["d"].alias("label_date"), before[0].alias("x"), before[1].alias("m"), before[2].alias("_ids"), label["i"].alias("own"), label["y"].alias("y"))
-
-    return whole.select(SYMBOL, F.inline(F.transform(F.filter(places, lambda k: k.isNotNull()), window)))
+    step = [F.col("_at"), F.col("_valid"), F.col(DATE).alias("label_date"), row.alias("_x"), asset.alias("asset_id"), y.alias("y"), *more]
+    copies = numbered.select(SYMBOL, F.explode(F.when(halo, F.array(of, of + 1)).otherwise(F.array(of))).alias("_range"), *step)
+    dealt = copies.withColumn("_valid", F.col("_valid") & (of == F.col("_range"))).repartition(SYMBOL, "_range")
+    return dealt, Window.partitionBy(SYMBOL, "_range").orderBy("_at")
 
 
 def count_samples(
@@ -180,8 +170,9 @@ def label_range_windows(
     rows = label_rows(panel, lookback, features, horizons, start, end)
     asset = F.coalesce(F.col("asset_id") if "asset_id" in panel.columns else F.lit(0), F.lit(0))
     if span_rows is not None:
-        cut = _cut_windows(rows, lookback, span_rows, _row(features), F.lit(True), asset, F.col("y"))
-        return cut.select(SYMBOL, "label_date", "x", "m", F.col("own").alias("asset_id"), "y")
+        cut, inside = _cut_ranges(rows, lookback, span_rows, _row(features), asset, F.col("y"))
+        cut = cut.withColumn("x", F.collect_list("_x").over(_before(lookback, inside)))
+        return cut.where("_valid").select(SYMBOL, "label_date", "x", F.array_repeat(F.lit(True), lookback).alias("m"), "asset_id", "y")
     rows = rows.withColumn("x", F.collect_list(_row(features)).over(_before(lookback)))
     return rows.where("_valid").select(SYMBOL, F.col(DATE).alias("label_date"), "x", F.array_repeat(F.lit(True), lookback).alias("m"), asset.alias("asset_id"), "y")
 
