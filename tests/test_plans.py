@@ -70,3 +70,11 @@ def test_registry_is_consistent(spark):
     queries, oracles = entrypoint.queries(), entrypoint.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 100
     assert entrypoint.entry(spark).columns == ["symbol", "date", "close", "logret_30d", "vol_30d", "hl_spread"]
+
+
+def test_stored_panels_hold_only_prices_that_are_read(spark, sf):
+    from tickloom.catalog import models
+
+    path, _ = models._stored_panel(spark, sf)
+    assert set(spark.read.parquet(path).columns) == {"symbol", "date", "open", "close", "is_trading_day"}
+    assert not {"volume", "num_trades", "source", "open"} & set(models._panel(spark, sf).columns)
