@@ -63,6 +63,32 @@ def test_pinball_fit_of_odd_rows(spark):
         pinball.fit_pinball(df.where("x IS NULL"), ["x"], [7], [0.5])
 
 
+def test_pinball_fit_with_many_equal_targets(spark, monkeypatch):
+    """A fifth of the rows of each group has one target, at which the quantile lies: more rows than are decided exactly."""
+    monkeypatch.setattr(pinball, "NEAR_ROWS", 64)
+    rng = np.random.default_rng(9)
+    group, y = rng.integers(0, 7, 20000), rng.normal(size=20000) / 2
+    y[rng.random(20000) < 0.186] = 0.0
+    x = np.eye(7)[group][:, 1:]
+    names = [f"x{i}" for i in range(6)]
+    for q in (0.5432, 0.45):
+        c = pinball.fit_pinball(table(spark, x, y), names, [1], [q])[(1, q)]
+        best = sum(loss_of(np.zeros((len(v), 0)), v, [np.sort(v)[int(np.ceil(len(v) * q)) - 1]], q) for v in (y[group == g] for g in range(7)))
+        assert loss_of(x, y, c, q) == pytest.approx(best, rel=1e-9)
+
+
+def test_pinball_fit_shuffles_no_rows(spark, tmp_path):
+    """What a step shuffles are its sums and a task's nearest rows, however many different rows there are."""
+    from tickloom.plans import design
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(9000, 2))
+    stored = design.design_table(table(spark, x, x @ [1.0, 2.0] + rng.normal(size=9000)), ["x0", "x1"], 1)
+    near = pinball._nearest(stored, np.array([[0.0, 1.0, 2.0]]), np.array([0]), [None], 1)
+    assert len(near) == 1 and near[0][2].sum() == len(near[0][0]) == pinball.NEAR_ROWS
+    assert stored.columns == ["block"] and stored.count() < 9000 / 100
+
+
 def test_quantile_models_keep_their_order_and_rank(spark, tmp_path):
     panel = planted(spark).withColumn("close", F.col("close") * F.when(F.col("symbol") == "s1", 1 + F.dayofyear("date") % 2 * 0.2).otherwise(1.0))
     panel.write.parquet(str(tmp_path / "panel"))
@@ -234,3 +260,18 @@ def test_fits_store_only_what_they_read(spark, sf, monkeypatch):
     monkeypatch.setattr(models, "staged", lambda df, name="staged": kept.setdefault(name, df.columns) and real(df, name))
     models._fit_closed_form(spark, sf)
     assert kept["panel"] == ["symbol", "date", "close", "logret_1d"]
+
+
+def test_tracked_query_computes_its_windows_once(spark, sf, monkeypatch):
+    from tickloom.catalog import models
+
+    class Seen(Exception):
+        pass
+
+    def fit(train, val, *args, **options):
+        raise Seen([f for side in (train, val) for f in side.inputFiles()])
+
+    monkeypatch.setattr(tracked, "fit_tracked", fit)
+    with pytest.raises(Seen) as told:
+        models.k4_tracked(spark, sf)
+    assert told.value.args[0] and all("/labels-" in f for f in told.value.args[0])

@@ -1,80 +1,105 @@
 """Quantile regression on the pinball loss over a stored design table.
 
 First the kink of the loss is rounded over a band of half-width ``h`` around zero, which makes Newton
-steps possible, and the band narrows from step to step. Every step is one aggregate that evaluates
+steps possible, and the band narrows along the path of its optima. Every step is one aggregate that evaluates
 all models (horizon x quantile) at several step lengths together. Once a band holds few rows, these are
 all that is left to decide: with the other rows' sides fixed, the optimum is found among them exactly, by
-moving from vertex to vertex as the simplex method does. The two are repeated until the loss falls no more.
+moving from vertex to vertex as the simplex method does, and this is repeated until the loss falls no more.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.plans.design import design_table, least_squares, sums_over
+from tickloom.plans.design import chunks, design_table, least_squares, sums_over
 
 #: Step lengths tried at a time, and the part of the band that is kept after a step.
 STEPS = (1.0, 0.5, 0.2, 0.05, 0.0)
-NARROWER = 0.3
+NARROWER = 0.2
+#: A band is narrowed once a step moves its rows by no more than this part of it.
+SETTLED = 0.2
 #: Different rows decided exactly, per model: a bound on what reaches the driver.
 NEAR_ROWS = 2048
 #: Half-width of the last band, in deviations of the residuals, and bounds on steps and rounds.
 LAST_BAND = 1e-7
 MAX_STEPS = 60
-MAX_ROUNDS = 8
+MAX_ROUNDS = 24
+#: Ever shorter moves tried towards a vertex that is no better.
+MAX_TRIES = 3
 
 
 def pinball(residual: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum(q * residual, (q - 1) * residual)
 
 
-def band_sums(x: np.ndarray, y: np.ndarray, theta: np.ndarray, target: np.ndarray, q: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Per candidate the rounded loss; then gradient, curvature and rows for its band, and for the next one."""
-    p = x.shape[1]
-    residual = y[:, target] - x @ theta.T
-    inside = np.abs(residual) < h
-    loss = np.where(inside, residual * residual / (4 * h) + h / 4, np.abs(residual) / 2) + (q - 0.5) * residual
-    out = [loss.sum(0)[:, None]]
-    for band in (h, h * NARROWER):
-        slope = np.clip(residual / (2 * band), -0.5, 0.5) + q - 0.5
-        near = np.abs(residual) < band
-        curve = np.empty((theta.shape[0], p, p))
-        for i in range(theta.shape[0]):
-            some = x[near[:, i]]
-            curve[i] = some.T @ some / (2 * band[i])
-        out += [-(slope.T @ x), curve.reshape(-1, p * p), near.sum(0)[:, None].astype(float)]
-    return np.concatenate(out, axis=1).ravel()
-
-
-def narrowing(evaluate, theta: np.ndarray, spread: np.ndarray, rows: float) -> np.ndarray:
+def band_sums(x: np.ndarray, y: np.ndarray, theta: np.ndarray, move: np.ndarray, target: np.ndarray, q: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Per model the rounded loss after each of ``STEPS`` along ``move``; then, after the first of them, the gradient, how
+    it changes with the band, its curvature, and the rows in the band."""
+    models, p = theta.shape
+    # a model's rows lie next to each other: numpy's inner loops run over rows
+    start, change = np.ascontiguousarray(y.T)[target] - theta @ x.T, move @ x.T
+    losses, wide = np.empty((len(STEPS), models)), h[:, None]
+    for i in reversed(range(len(STEPS))):
+        residual = start - STEPS[i] * change
+        size = np.abs(residual)
+        short = np.maximum(wide - size, 0.0)
+        losses[i] = size.sum(1) / 2 + np.einsum("ij,ij->i", short, short) / (4 * h) + (q - 0.5) * residual.sum(1)
+    slope = np.clip(residual / (2 * wide), -0.5, 0.5) + (q - 0.5)[:, None]
+    drift, curve, rows = np.empty((models, p)), np.empty((models, p * p)), np.empty((models, 1))
+    for m in range(models):
+        near = np.flatnonzero(size[m] < h[m])
+        some = x[near]
+        drift[m], curve[m], rows[m] = residual[m, near] @ some / (2 * h[m] ** 2), (some.T @ some / (2 * h[m])).ravel(), len(near)
+    return np.concatenate([losses.T, -(slope @ x), drift, curve, rows], axis=1).ravel()
+
+
+def narrowing(evaluate, theta: np.ndarray, spread: np.ndarray, rows: float, unit: np.ndarray) -> np.ndarray:
     """Newton steps in ever narrower bands, until a band holds less than half of ``NEAR_ROWS``.
 
-    ``theta`` has one row per model, ``spread`` the deviation of its residuals; ``evaluate(theta, model, h)`` gives
-    ``band_sums``.
+    From one band to the next a model follows the path of the optima to first order. Where many rows have one
+    target, its residual shrinks with the band on this path, and Newton steps alone would lose these rows from the band.
+    ``theta`` has one row per model, ``spread`` the deviation of its residuals; ``evaluate(theta, move, model, h)`` gives
+    ``band_sums``. Columns of ``unit`` are ways along which a step of one moves the forecasts of all rows by one in mean square;
+    along none of them a step goes farther than the band, which may hold too few rows of a rare kind to tell their curvature.
     """
     models, p = theta.shape
     h, move = np.maximum(spread, 1e-300), np.zeros_like(theta)
-    active = (spread > 0) & (rows > NEAR_ROWS)
+    active, stuck, slopes_here = (spread > 0) & (rows > NEAR_ROWS), np.zeros(models, int), np.zeros(models, bool)
     for _ in range(MAX_STEPS):
         which = np.flatnonzero(active)
         if not len(which):
             break
-        of = np.repeat(which, len(STEPS))
-        tried = theta[of] + np.tile(STEPS, len(which))[:, None] * move[of]
-        told = evaluate(tried, of, h[of]).reshape(len(which), len(STEPS), -1)
-        for row, m in enumerate(which):
-            best = int(np.argmin(told[row, :, 0]))
-            theta[m] = tried[row * len(STEPS) + best]
-            # a short full step, or none that helps, is all that this band can give
-            done = STEPS[best] == 0.0 or (STEPS[best] == 1.0 and np.abs(move[m]).max() <= h[m])
-            at = 1 + (1 + p + p * p) * done
-            grad, curve = told[row, best, at : at + p], told[row, best, at + p : at + p + p * p].reshape(p, p)
-            if done:
-                active[m] = told[row, best, 1 + p + p * p] > NEAR_ROWS / 2 and h[m] > LAST_BAND * spread[m]
+        told = evaluate(theta[which], move[which], which, h[which]).reshape(len(which), -1)
+        for losses, parts, m in zip(told[:, : len(STEPS)], told[:, len(STEPS) :], which):
+            best = int(np.argmin(losses)) if slopes_here[m] else 0
+            theta[m] += STEPS[best] * move[m]
+            if best:
+                # slopes are those after a full step: where a part of it is better the next pass gives them
+                slopes_here[m], stuck[m] = False, stuck[m] + 1 if STEPS[best] == 0.0 else 0
+                if stuck[m] == 1:
+                    move[m], slopes_here[m] = STEPS[-2] / 4 * move[m], True
+                    continue
+                if stuck[m]:
+                    active[m], h[m], stuck[m] = h[m] > LAST_BAND * spread[m], h[m] * NARROWER, 0
+                move[m] = 0.0
+                continue
+            slopes_here[m], stuck[m] = True, 0
+            grad, drift, curve, near = parts[:p], parts[p : 2 * p], parts[2 * p : 2 * p + p * p].reshape(p, p), parts[-1]
+            sizes, ways = np.linalg.eigh(unit.T @ curve @ unit)
+            sizes, ways = np.maximum(sizes, 1e-10 * max(sizes[-1], 1e-300)), unit @ ways
+
+            def solved(v, ways=ways, sizes=sizes, most=h[m]):
+                return ways @ np.clip((ways.T @ v) / sizes, -most, most)
+
+            move[m] = -solved(grad)
+            if 2 * (move[m] @ curve @ move[m]) <= SETTLED**2 * h[m] * max(near, 1.0):
+                # the next step moves the rows of the band by a small part of it
+                active[m] = near > NEAR_ROWS / 2 and h[m] > LAST_BAND * spread[m]
+                move[m] += (1 - NARROWER) * solved(h[m] * drift)
                 h[m] *= NARROWER
-            move[m] = -np.linalg.lstsq(curve + 1e-10 * np.trace(curve) / p * np.eye(p), grad, rcond=1e-14)[0]
     return theta
 
 
@@ -141,27 +166,34 @@ def fit_pinball(rows: DataFrame, inputs: list[str], horizons: list[int], quantil
 def solve_tables(design: DataFrame, width: int, horizons: list[int], quantiles: list[float]) -> tuple[dict[tuple[int, float], list[float]], dict[tuple[int, float], float], int]:
     """As ``fit_pinball`` over a stored design table; also the summed loss of every model, and the rows."""
     n_targets = len(horizons)
-    n, start, spread = least_squares(design, width, n_targets)
+    n, start, spread, products = least_squares(design, width, n_targets)
     if not n:
         raise ValueError("no usable row to fit quantiles on")
     target = np.repeat(np.arange(n_targets), len(quantiles))
     q = np.tile(np.asarray(quantiles, float), n_targets)
 
-    def evaluate(theta, of, h):
+    def evaluate(theta, move, of, h):
         t, level = target[of], q[of]
-        return sums_over(design, lambda x, y: band_sums(x, y, theta, t, level, h), len(of) * (3 + 2 * (width + width * width)), width, n_targets)
+        return sums_over(design, lambda x, y: band_sums(x, y, theta, move, t, level, h), len(of) * (len(STEPS) + 1 + 2 * width + width * width), width, n_targets)
 
-    theta = narrowing(evaluate, start[target].copy(), spread[target], n)
-    loss, moved, open_ = np.full(len(q), np.inf), theta.copy(), np.ones(len(q), bool)
+    kinds, ways = np.linalg.eigh(products / n)
+    unit = ways[:, kinds > 1e-12 * kinds[-1]] / np.sqrt(kinds[kinds > 1e-12 * kinds[-1]])
+    theta = narrowing(evaluate, start[target].copy(), spread[target], n, unit)
+    loss, moved, open_, tries = np.full(len(q), np.inf), theta.copy(), np.ones(len(q), bool), np.zeros(len(q), int)
     for _ in range(MAX_ROUNDS):
-        near = [_near_rows(design, moved[m], int(target[m])) if open_[m] else ([], None) for m in range(len(q))]
-        found, pull = _outside(design, moved, target, q, [layers for layers, _ in near], n_targets)
-        better = open_ & (found < loss * (1 - 1e-13))
-        theta[better], loss[better], open_ = moved[better], found[better], better
         if not open_.any():
             break
+        near = _near_rows(design, moved, target, open_, n_targets)
+        found, pull = _outside(design, moved, target, q, [layers for layers, _ in near], n_targets)
         for m in np.flatnonzero(open_):
-            moved[m] = vertex(theta[m], *near[m][1], q[m], pull[m])
+            if found[m] < loss[m] * (1 - 1e-13):
+                theta[m], loss[m], tries[m] = moved[m], found[m], 0
+                moved[m] = vertex(theta[m], *near[m][1], q[m], pull[m])
+            else:
+                # the way goes down, but this far rows have changed sides that it took for fixed
+                tries[m] += 1
+                moved[m] = theta[m] + (moved[m] - theta[m]) / 4
+            open_[m] = tries[m] < MAX_TRIES and np.abs(moved[m] - theta[m]).max() > 1e-11 * np.abs(theta[m]).max()
     keys = [(horizons[i], float(level)) for i, level in zip(target, q)]
     return {k: [float(v) for v in b] for k, b in zip(keys, theta)}, {k: float(v) for k, v in zip(keys, loss)}, int(n)
 
@@ -175,61 +207,116 @@ def _outside(design: DataFrame, theta: np.ndarray, target: np.ndarray, q: np.nda
     width = theta.shape[1]
 
     def sums(x, y):
-        residual = y[:, target] - x @ theta.T
+        residual = np.ascontiguousarray(y.T)[target] - theta @ x.T
         near = np.zeros(residual.shape, bool)
         for m, held in enumerate(layers):
             for beyond, reach in held:
-                inside = np.abs(residual[:, m]) <= reach
-                near[:, m] |= inside if beyond is None else inside & (((x @ beyond) ** 2).sum(1) > _SPAN)
-        lean = np.where(near, 0.0, np.where(residual < 0, q - 1, q))
-        return np.concatenate([pinball(residual, q).sum(0)[:, None], lean.T @ x], axis=1).ravel()
+                inside = np.abs(residual[m]) <= reach
+                near[m] |= inside if beyond is None else inside & (((x @ beyond) ** 2).sum(1) > _SPAN)
+        level = q[:, None]
+        lean = np.where(near, 0.0, np.where(residual < 0, level - 1, level))
+        return np.concatenate([pinball(residual, level).sum(1)[:, None], lean @ x], axis=1).ravel()
 
     out = sums_over(design, sums, len(q) * (1 + width), width, n_targets).reshape(len(q), -1)
     return out[:, 0], out[:, 1:]
 
 
-def _near_rows(design: DataFrame, theta: np.ndarray, target: int) -> tuple[list[_Layer], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Layers and their rows (inputs, target, how often): the nearest rows, then the nearest of those with inputs
-    that the ones before do not span, so that a rare kind of rows is decided as well as a frequent one."""
-    layers, parts, beyond = [], [], None
-    while True:
-        x, y, weight, reach = _nearest(design, theta, target, beyond)
-        if not len(x):
-            break
-        layers.append((beyond, reach))
-        parts.append((x, y, weight))
-        _, sizes, kinds = np.linalg.svd(np.concatenate([p[0] for p in parts]), full_matrices=True)
-        missing = np.r_[sizes, np.zeros(len(kinds) - len(sizes))] <= 1e-9 * sizes[0]
-        if reach == np.inf and beyond is None or not missing.any():
-            break
-        beyond = kinds[missing].T
-    if not parts:
-        return [], (np.zeros((0, len(theta))), np.zeros(0), np.zeros(0))
-    return layers, tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+def _near_rows(design: DataFrame, theta: np.ndarray, target: np.ndarray, wanted: np.ndarray, n_targets: int) -> list[tuple[list[_Layer], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Per ``wanted`` model layers and their rows (inputs, target, how often): the nearest rows, then the nearest of those
+    with inputs that the ones before do not span, so that a rare kind of rows is decided as well as a frequent one.
+
+    A pass finds a layer of all models that still need one.
+    """
+    models = len(theta)
+    layers, parts = [[] for _ in range(models)], [[] for _ in range(models)]
+    beyond, more = [None] * models, np.array(wanted, bool)
+    while more.any():
+        which = np.flatnonzero(more)
+        found = _nearest(design, theta[which], target[which], [beyond[m] for m in which], n_targets)
+        for m, (x, y, weight, reach) in zip(which, found):
+            more[m] = False
+            if not len(x):
+                continue
+            layers[m].append((beyond[m], reach))
+            parts[m].append((x, y, weight))
+            _, sizes, kinds = np.linalg.svd(np.concatenate([p[0] for p in parts[m]]), full_matrices=True)
+            missing = np.r_[sizes, np.zeros(len(kinds) - len(sizes))] <= 1e-9 * sizes[0]
+            if reach == np.inf and beyond[m] is None or not missing.any():
+                continue
+            beyond[m], more[m] = kinds[missing].T, True
+    none = np.zeros((0, theta.shape[1])), np.zeros(0), np.zeros(0)
+    return [(layers[m], tuple(np.concatenate([p[i] for p in parts[m]]) for i in range(3)) if parts[m] else none) for m in range(models)]
 
 
 #: Squared part of a row's inputs outside a span from which on it counts as outside.
 _SPAN = 1e-12
 
 
-def _dot(weights: np.ndarray):
-    return F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in weights]), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-
-
-def _nearest(design: DataFrame, theta: np.ndarray, target: int, beyond: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The different rows of least residual (inputs, target, how often), and a bound between them and the others."""
-    rows = design
-    if beyond is not None:
-        rows = rows.where(sum((F.pow(_dot(v), F.lit(2.0)) for v in beyond.T), F.lit(0.0)) > _SPAN)
-    value = F.element_at("y", target + 1)
-    rows = rows.select("x", value.alias("v"), F.abs(value - _dot(theta)).alias("far"))
-    near = rows.groupBy("x", "v").agg(F.count("*").alias("n"), F.min("far").alias("far")).orderBy("far", "x", "v").limit(NEAR_ROWS + 1).collect()
-    reach = np.inf
-    if len(near) > NEAR_ROWS:
-        far = np.array([r["far"] for r in near])
-        # cut where residuals differ by more than rounding
-        gaps = np.flatnonzero(np.diff(far) > 1e-12 * max(far[-1], 1e-300))
-        cut = int(gaps[-1]) + 1 if len(gaps) else 0
-        near, reach = near[:cut], (far[cut - 1] + far[cut]) / 2 if cut else -1.0
-    x = np.array([r["x"] for r in near], float).reshape(len(near), len(theta))
-    return x, np.array([r["v"] for r in near], float), np.array([r["n"] for r in near], float), float(reach)
+def _least(rows: list[np.ndarray], most: int) -> np.ndarray:
+    """The ``most`` different rows (distance, target, inputs, and how often as the last column) that are nearest."""
+    all_ = np.concatenate(rows)
+    # -0.0 and 0.0 are one value
+    order = np.lexsort((all_ + 0.0)[:, -2:0:-1].T)
+    all_ = all_[order]
+    first = np.flatnonzero(np.r_[True, (all_[1:, 1:-1] != all_[:-1, 1:-1]).any(1)])
+    kept = all_[first]
+    kept[:, 0], kept[:, -1] = np.minimum.reduceat(all_[:, 0], first), np.add.reduceat(all_[:, -1], first)
+    return kept[np.argsort(kept[:, 0], kind="stable")[:most]]
+
+
+def _nearest(
+    design: DataFrame, theta: np.ndarray, target: np.ndarray, beyond: list[np.ndarray | None], n_targets: int
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Per model the different rows of least residual (inputs, target, how often), and a bound between them and the others.
+
+    One pass for all models. A task keeps its nearest rows of each, and what is shuffled are these.
+    """
+    models, width = theta.shape
+    most = NEAR_ROWS + 1
+    names = ["far", "v", *[f"x{i}" for i in range(width)], "n"]
+
+    def partial(batches):
+        limit, held, waiting = np.full(models, np.inf), [[] for _ in range(models)], np.zeros(models, int)
+
+        def shrink(m):
+            held[m], waiting[m] = [_least(held[m], most)], 0
+            if len(held[m][0]) == most:
+                limit[m] = held[m][0][-1, 0]
+
+        for part in chunks(batches, width + n_targets):
+            x, y = part[:, :width], part[:, width:]
+            far = np.abs(np.ascontiguousarray(y.T)[target] - theta @ x.T)
+            for m in range(models):
+                near = far[m] <= limit[m]
+                if beyond[m] is not None:
+                    near &= ((x @ beyond[m]) ** 2).sum(1) > _SPAN
+                at = np.flatnonzero(near)
+                if len(at):
+                    held[m].append(np.column_stack([far[m, at], y[at, target[m]], x[at], np.ones(len(at))]))
+                    waiting[m] += len(at)
+                    if waiting[m] > 2 * most:
+                        shrink(m)
+        for m in range(models):
+            if held[m]:
+                rows = _least(held[m], most)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), m, "int32")), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["m", *names])
+
+    told = design.mapInArrow(partial, "m int, " + ", ".join(f"{n} double" for n in names))
+    row = names[1:-1]
+    different = told.groupBy("m", *row).agg(F.sum("n").alias("n"), F.min("far").alias("far"))
+    ranked = different.withColumn("_rank", F.row_number().over(Window.partitionBy("m").orderBy("far", *row))).where(F.col("_rank") <= most)
+    table = ranked.select("m", *names).toArrow()
+    of, data = table.column("m").to_numpy(), np.column_stack([table.column(n).to_numpy() for n in names])
+    out = []
+    for m in range(models):
+        near = data[of == m]
+        near = near[np.lexsort((*near[:, -2:0:-1].T, near[:, 0]))] if len(near) else near
+        reach = np.inf
+        if len(near) > NEAR_ROWS:
+            far = near[:, 0]
+            # cut where residuals differ by more than rounding
+            gaps = np.flatnonzero(np.diff(far) > 1e-12 * max(far[-1], 1e-300))
+            cut = int(gaps[-1]) + 1 if len(gaps) else 0
+            near, reach = near[:cut], (far[cut - 1] + far[cut]) / 2 if cut else -1.0
+        out.append((near[:, 2:-1], near[:, 1], near[:, -1], float(reach)))
+    return out

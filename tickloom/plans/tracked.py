@@ -55,14 +55,15 @@ def _sums(theta: np.ndarray):
     def sums(x, y, val):
         out = []
         for role in (False, True):
-            some = val == role
-            residual = y[some] - x[some] @ theta.T
+            some = np.flatnonzero(val == role)
+            inputs = x[some]
+            residual = y[some].T - theta @ inputs.T
             size = np.abs(residual)
-            out += [[float(some.sum())], [float(np.where(size < 1, 0.5 * residual * residual, size - 0.5).sum())]]
+            out += [[float(len(some))], [float(np.where(size < 1, 0.5 * residual * residual, size - 0.5).sum())]]
             if not role:
-                out.append((np.clip(residual, -1, 1).T @ x[some]).ravel())
+                out.append((np.clip(residual, -1, 1) @ inputs).ravel())
                 for i in range(n_targets):
-                    near = x[some][size[:, i] < 1]
+                    near = inputs[size[i] < 1]
                     out.append((near.T @ near).ravel())
         return np.concatenate(out)
 
@@ -97,12 +98,12 @@ def fit_tracked(
     names = fc.inputs()
     p, k = len(names) + 1, len(horizons)
     both = train.select("y", *names, F.lit(False).alias("val")).unionByName(val.select("y", *names, F.lit(True).alias("val")))
-    design = design_table(both, names, k, val=F.col("val"))
+    design = design_table(both, names, k, F.col("val"))
     now = (_latest(spark, state) if state else None) or TrackedState(np.zeros((k, p)).tolist(), np.zeros((k, p)).tolist())
     while len(now.history) < epochs and not now.stopped:
         theta = np.array(now.coefficients)
         sums, size = _sums(theta)
-        out = sums_over(design, sums, size, p, k, "val")
+        out = sums_over(design, sums, size, p, k, 1)
         n, loss, rest = float(out[0]), float(out[1]), out[2:]
         n_val, val_loss = float(rest[-2]), float(rest[-1] / max(rest[-2] * k, 1))
         if not n:

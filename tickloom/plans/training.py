@@ -22,6 +22,7 @@ from tickloom.operators.scaler import NoTrainingRows, fit_window_scaler, scaler_
 from tickloom.operators.splits import date_range, walk_forward_ranges
 from tickloom.operators.unions import union_folds
 from tickloom.operators.windows import label_rows
+from tickloom.plans.features import TASK_ROWS
 from tickloom.plans.pinball import fit_pinball
 from tickloom.schemas import DATE, SYMBOL
 from tickloom.session import staged
@@ -141,11 +142,16 @@ def fit_columns(panel: DataFrame, features: list[str]) -> DataFrame:
     return panel.select(*[c for c in dict.fromkeys([SYMBOL, DATE, "close", *features]) if c in panel.columns])
 
 
+def dealt(panel: DataFrame) -> DataFrame:
+    """A stored panel dealt out by symbol in tasks of about ``TASK_ROWS`` rows: its bytes, most of them repeats, do not tell."""
+    return panel.repartition(-(-panel.count() // TASK_ROWS) or 1, SYMBOL)
+
+
 def training_rows(
     panel: DataFrame, lookback: int, features: list[str], horizons: list[int], start, end, scaler: dict | None = None
 ) -> tuple[DataFrame, dict]:
     """Accepted labels in [start, end] with their summaries and ``y``; fits the scaler if none is given."""
-    marked = label_rows(panel, lookback, features, horizons, str(start), str(end))
+    marked = label_rows(dealt(panel), lookback, features, horizons, str(start), str(end))
     if scaler is None:
         marked = staged(marked.select(SYMBOL, DATE, *features, "y", "_valid"), "labels")  # read by the scaler and by the fit
         scaler = scaler_values(fit_window_scaler(marked, features, lookback))
