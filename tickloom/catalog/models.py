@@ -195,7 +195,8 @@ def k4_tracked(spark, sf):
     lo, hi = date_bounds(panel)
     h = HORIZONS[1]
     rows, _ = training.training_rows(panel, LOOKBACK, ["logret_1d"], HORIZONS, lo, hi, _UNIT)
-    rows = rows.withColumn("y", F.slice("y", 2, 1))
+    # read for both roles and by both runs
+    rows = staged(rows.select("label_date", F.slice("y", 2, 1).alias("y"), "last_logret_1d"), "labels")
     late = F.col("label_date") >= F.lit(_CUT).cast("date")
     state, args = scratch_path(spark, "fit-state"), (["logret_1d"], [h], LOOKBACK, _UNIT)
     options = {"rate": _RATE, "decay": _DECAY, "patience": _PATIENCE, "min_delta": _DELTA, "inputs": ["last_logret_1d"], "state": state}
