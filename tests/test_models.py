@@ -64,6 +64,22 @@ def test_quantiles_of_hot_group_equal_numpy(spark):
     assert "hashpartitioning(_part" in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_quantiles_of_few_groups_store_and_shuffle_no_values(spark, monkeypatch):
+    from tickloom.functions import quantiles
+
+    rng = np.random.default_rng(3)
+    data = {1: np.r_[rng.standard_cauchy(5000), [1.7e308, -1.7e308]], 2: rng.normal(size=3000).round(1), 3: np.array([4.5]), 4: np.array([0.0, 5e-324, 5e-324, 1.0])}
+    rows = [(k, float(v)) for k, part in data.items() for v in part] + [(2, float("nan")), (2, None), (None, 1.0), (5, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    monkeypatch.setattr(quantiles, "staged", None)  # nothing may be stored
+    probs = [0.0, 0.123, 0.5, 0.9, 1.0]
+    got = {(r["k"], r["measure"], r["prob"]): r["value"] for r in exact_quantiles(df, ["k"], ["v"], probs, few=True).collect()}
+    assert got.keys() == {(k, "v", p) for k in data for p in probs}
+    for k, part in data.items():
+        assert [got[k, "v", p] for p in probs] == pytest.approx([np.quantile(part, p) for p in probs], rel=1e-12)
+    assert exact_quantiles(df.where("k = 5"), ["k"], ["v"], probs, few=True).count() == 0
+
+
 def test_walk_forward_folds(spark):
     days = spark.createDataFrame([(D(2020, 1, 1), D(2021, 12, 31))], "lo date, hi date")
     closed = splits.walk_forward_ranges(days, 100, 50, 60, hmax=30).orderBy("fold").collect()

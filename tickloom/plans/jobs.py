@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.plans.scoring import forecaster_scorer, quantile_scorer, score_as_of
 from tickloom.plans.training import Forecaster, fit_point, fit_quantile, training_rows
+from tickloom.schemas import SYMBOL
+from tickloom.session import staged
 from tickloom.sources.ingest import read_required, stored_bounds
 from tickloom.sources.sinks import write_predictions_csv
 
@@ -27,6 +29,10 @@ def train(
     table = read_required(spark, panel)
     first, last, _ = (start, end, 0) if start and end else stored_bounds(spark, panel)
     rows, scaler = training_rows(table, lookback, features, horizons, start or first, end or last)
+    if quantiles:
+        # read by both fits
+        inputs = fit_options.get("inputs") or [c for c in rows.columns if c not in (SYMBOL, "label_date", "y")]
+        rows = staged(rows.select(SYMBOL, "label_date", "y", *inputs), "labels")
     fc = fit_point(rows, features, horizons, lookback, scaler, **fit_options)
     if quantiles:
         fit_quantile(fc, rows, quantiles, quantile_method)

@@ -208,7 +208,7 @@ def fit_quantile(fc: Forecaster, train: DataFrame, quantiles: list[float], metho
         raise ValueError(f"unknown method {method!r}")
     # read several times: stored narrow rather than recomputed from the windows
     stored = staged(residuals(fc, train).select("horizon", "residual"), "residuals")
-    table = exact_quantiles(stored, ["horizon"], ["residual"], quantiles)
+    table = exact_quantiles(stored, ["horizon"], ["residual"], quantiles, few=True)
     fc.residual_quantiles = {(r["horizon"], r["prob"]): r["value"] for r in table.collect()}
     return fc
 
